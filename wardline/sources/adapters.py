@@ -27,12 +27,13 @@ def read_table(spark: SparkSession, folder: str, name: str = "events") -> DataFr
 def stream_table(
     spark: SparkSession, folder: str, name: str = "events", files_per_trigger: int = 1000
 ) -> DataFrame:
-    """The same files as a stream."""
+    """The same files as a stream. The braces make the path a pattern, as a stream needs for a table
+    that is one file; a folder of files matches too."""
     schema = read_table(spark, folder, name).schema
     return (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(f"{folder}/{name}.parquet")
+        .parquet(f"{folder}/{{{name}}}.parquet")
     )
 
 
