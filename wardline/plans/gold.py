@@ -184,7 +184,7 @@ def executive_dashboard(silver: DataFrame, watermark: str | None = DAY) -> DataF
     )
 
 
-def _threat_columns(grouped: DataFrame) -> DataFrame:
+def threat_columns(grouped: DataFrame) -> DataFrame:
     total = F.col("total_amount_affected")
     return grouped.withColumns({
         "threat_level": ladders.threat_level(F.col("alert_count"), F.col("severity")),
@@ -281,7 +281,7 @@ def combined_threat_analytics(
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("rules")))).alias("active_rules"),
         F.array_compact(F.array(*seen)).alias("event_types"),
     )
-    return _threat_columns(grouped)
+    return threat_columns(grouped)
 
 
 def _per_second(rows: DataFrame, key: str, measures: dict[str, Column]) -> DataFrame:
