@@ -19,9 +19,13 @@ RUNTIME_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply :data:`RUNTIME_CONF` to ``spark`` and return it."""
+    """Apply :data:`RUNTIME_CONF` to ``spark`` and return it. A local session gets as many shuffle
+    tasks as it has cores; on a cluster that number stays as configured there."""
     for name, value in RUNTIME_CONF.items():
         spark.conf.set(name, value)
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        spark.conf.set("spark.sql.shuffle.partitions", str(context.defaultParallelism))
     return spark
 
 
@@ -32,7 +36,6 @@ def local_session(app: str = "wardline", cores: int | str = "*", **conf: str) ->
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", "8" if cores == "*" else str(cores))
     )
     for name, value in conf.items():
         builder = builder.config(name, value)
