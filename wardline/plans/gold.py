@@ -45,9 +45,8 @@ def _windowed(
         per_entity["rules"] = F.sort_array(F.collect_set("rule"))
         # A set of the few rule sets that occur, not one array per entity.
         total["rules"] = F.sort_array(F.array_distinct(F.flatten(F.collect_set("rules"))))
-    span = F.window("event_time", length, slide) if slide else F.window("event_time", length)
     return (
-        alerts.groupBy(span.alias("window"), *dims, "id")
+        alerts.groupBy(_span(alerts, length, slide).alias("window"), *dims, "id")
         .agg(*[c.alias(name) for name, c in per_entity.items()])
         .groupBy("window", *dims)
         .agg(*[c.alias(name) for name, c in total.items()])
@@ -56,6 +55,17 @@ def _windowed(
     )
 
 
+def _span(alerts: DataFrame, length: str, slide: str | None) -> Column:
+    """The event-time window of a row. Alerts without a time have no window, but they do form a day
+    of their own in batch tables (on a stream no watermark could ever close it)."""
+    if slide:
+        return F.window("event_time", length, slide)
+    if length == DAY and not alerts.isStreaming:
+        start = F.date_trunc("day", F.col("event_time"))
+        return F.struct(start.alias("start"), (start + F.expr("INTERVAL 1 DAY")).alias("end"))
+    return F.window("event_time", length)
+
+
 def alert_dashboard(silver: DataFrame, watermark: str | None = "10 minutes") -> DataFrame:
     """Alerts per five minutes, type and severity."""
     minutes = millis(DASHBOARD_WINDOW) / 60_000
