@@ -108,10 +108,6 @@ def _features(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     return event_plans.features_fraud(events), event_plans.features_insider(events)
 
 
-def _as_of():
-    return F.lit(AS_OF).cast("timestamp")
-
-
 def _drained(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over the whole table into a written table, under the shared folder."""
     spark = stream.sparkSession
@@ -506,14 +502,14 @@ _MONTH = "strftime(DATE '2024-01-30' - INTERVAL 30 DAY, '%Y-%m-%d')"
 SELECT window_start, alert_type, severity, alert_count, risk_score FROM dashboard
 WHERE window_start >= epoch_ms(TIMESTAMP '{AS_OF}' - INTERVAL 1 HOUR) ORDER BY window_start DESC""")
 def _report_dashboard(spark, folder):
-    return reports.dashboard_last_hour(_dashboard(spark, folder), _as_of())
+    return reports.dashboard_last_hour(_dashboard(spark, folder), AS_OF)
 
 
 @_query("report_daily_7d", f"""WITH {_DAILY}
 SELECT date, alert_type, total_alerts, severity, weighted_risk_score FROM daily WHERE date >= {_WEEK}
 ORDER BY date DESC, weighted_risk_score DESC""")
 def _report_daily(spark, folder):
-    return reports.daily_summary_week(_daily(spark, folder), _as_of())
+    return reports.daily_summary_week(_daily(spark, folder), AS_OF)
 
 
 @_query("report_spikes", f"""WITH {_PATTERNS}
@@ -528,7 +524,7 @@ SELECT date, total_alerts, round(critical_percentage, 6) AS critical_percentage,
        round(risk_index, 6) AS risk_index, threat_trend
 FROM executive WHERE date >= {_MONTH} ORDER BY date DESC""")
 def _report_executive(spark, folder):
-    return reports.executive_month(_executive(spark, folder), _as_of())
+    return reports.executive_month(_executive(spark, folder), AS_OF)
 
 
 @_query("report_current_hour", f"""WITH {_DASHBOARD}
@@ -537,7 +533,7 @@ SELECT strftime(make_timestamp(window_start * 1000), '%H:%M') AS time_window, al
 FROM dashboard WHERE window_start >= epoch_ms(date_trunc('hour', TIMESTAMP '{AS_OF}'))
 GROUP BY window_start, alert_type, severity ORDER BY window_start DESC""")
 def _report_current_hour(spark, folder):
-    return reports.current_hour(_dashboard(spark, folder), _as_of())
+    return reports.current_hour(_dashboard(spark, folder), AS_OF)
 
 
 @_query("report_risk_trend_7d", f"""WITH {_EXECUTIVE}
@@ -546,7 +542,7 @@ SELECT date, total_alerts, round(critical_percentage, 2) AS critical_pct,
        round(risk_index, 2) AS risk_index, threat_trend
 FROM executive WHERE date >= {_WEEK} ORDER BY date DESC""")
 def _report_risk_trend(spark, folder):
-    return reports.risk_trend_week(_executive(spark, folder), _as_of())
+    return reports.risk_trend_week(_executive(spark, folder), AS_OF)
 
 
 @_query("report_top_patterns", f"""WITH {_PATTERNS}
@@ -555,7 +551,7 @@ SELECT rule, count(*) AS occurrences, count(DISTINCT pattern_date) AS active_day
 FROM patterns WHERE pattern_date >= {_WEEK} AND pattern_intensity IN ('HIGH_SPIKE', 'MODERATE_SPIKE')
 GROUP BY rule ORDER BY occurrences DESC""")
 def _report_top_patterns(spark, folder):
-    return reports.top_patterns_week(_patterns(spark, folder), _as_of())
+    return reports.top_patterns_week(_patterns(spark, folder), AS_OF)
 
 
 @_query("report_fraud_vs_insider", f"""WITH {_COMBINED}
@@ -566,7 +562,7 @@ SELECT date, alert_type, CAST(sum(alert_count) AS BIGINT) AS alerts,
 FROM combined WHERE date >= {_MONTH}
 GROUP BY date, alert_type, threat_level ORDER BY date DESC, alerts DESC""")
 def _report_fraud_vs_insider(spark, folder):
-    return reports.fraud_vs_insider_month(_combined(spark, folder), _as_of())
+    return reports.fraud_vs_insider_month(_combined(spark, folder), AS_OF)
 
 
 # --- model ------------------------------------------------------------------------------------------

@@ -1,32 +1,40 @@
 """Report queries over the gold tables.
 
-``as_of`` (a timestamp Column) stands for "now", so that a report over the same table repeats. Filters
-are on plain columns, so on tables laid out by date they prune files.
+``as_of`` (a Column, a datetime or ISO text) stands for "now", so that a report over the same table
+repeats. Filters are on plain columns, so on tables laid out by date they prune files.
 """
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+Moment = Column | datetime | str
+
 WEEK, MONTH = 7, 30
 
 
-def _since(date: str, as_of: Column, days: int) -> Column:
+def _time(as_of: Moment) -> Column:
+    return (as_of if isinstance(as_of, Column) else F.lit(as_of)).cast("timestamp")
+
+
+def _since(date: str, as_of: Moment, days: int) -> Column:
     """The date text lies at most ``days`` days before ``as_of`` (ISO dates order as text)."""
-    first = F.date_sub(F.to_date(as_of), days)
+    first = F.date_sub(F.to_date(_time(as_of)), days)
     return F.col(date) >= F.date_format(first, "yyyy-MM-dd")
 
 
-def dashboard_last_hour(dashboard: DataFrame, as_of: Column) -> DataFrame:
+def dashboard_last_hour(dashboard: DataFrame, as_of: Moment) -> DataFrame:
     return (
-        dashboard.where(F.col("window_start") >= as_of - F.expr("INTERVAL 1 HOUR"))
+        dashboard.where(F.col("window_start") >= _time(as_of) - F.expr("INTERVAL 1 HOUR"))
         .select("window_start", "alert_type", "severity", "alert_count", "risk_score")
         .orderBy(F.desc("window_start"))
     )
 
 
-def daily_summary_week(daily: DataFrame, as_of: Column) -> DataFrame:
+def daily_summary_week(daily: DataFrame, as_of: Moment) -> DataFrame:
     return (
         daily.where(_since("date", as_of, WEEK))
         .select("date", "alert_type", "total_alerts", "severity", "weighted_risk_score")
@@ -42,7 +50,7 @@ def spikes(patterns: DataFrame) -> DataFrame:
     )
 
 
-def executive_month(executive: DataFrame, as_of: Column) -> DataFrame:
+def executive_month(executive: DataFrame, as_of: Moment) -> DataFrame:
     return (
         executive.where(_since("date", as_of, MONTH))
         .select("date", "total_alerts", "critical_percentage", "risk_index", "threat_trend")
@@ -50,9 +58,9 @@ def executive_month(executive: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def current_hour(dashboard: DataFrame, as_of: Column) -> DataFrame:
+def current_hour(dashboard: DataFrame, as_of: Moment) -> DataFrame:
     grouped = (
-        dashboard.where(F.col("window_start") >= F.date_trunc("HOUR", as_of))
+        dashboard.where(F.col("window_start") >= F.date_trunc("HOUR", _time(as_of)))
         .groupBy("window_start", "alert_type", "severity")
         .agg(F.sum("alert_count").alias("total_alerts"), F.avg("risk_score").alias("avg_risk_score"))
         .orderBy(F.desc("window_start"))
@@ -61,7 +69,7 @@ def current_hour(dashboard: DataFrame, as_of: Column) -> DataFrame:
     return grouped.select(shown, "alert_type", "severity", "total_alerts", "avg_risk_score")
 
 
-def risk_trend_week(executive: DataFrame, as_of: Column) -> DataFrame:
+def risk_trend_week(executive: DataFrame, as_of: Moment) -> DataFrame:
     rounded = {
         "critical_pct": "critical_percentage", "fraud_pct": "fraud_percentage",
         "insider_pct": "insider_percentage", "risk_index": "risk_index",
@@ -77,7 +85,7 @@ def risk_trend_week(executive: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def top_patterns_week(patterns: DataFrame, as_of: Column) -> DataFrame:
+def top_patterns_week(patterns: DataFrame, as_of: Moment) -> DataFrame:
     return (
         patterns.where(
             _since("pattern_date", as_of, WEEK)
@@ -94,7 +102,7 @@ def top_patterns_week(patterns: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def fraud_vs_insider_month(combined: DataFrame, as_of: Column) -> DataFrame:
+def fraud_vs_insider_month(combined: DataFrame, as_of: Moment) -> DataFrame:
     return (
         combined.where(_since("date", as_of, MONTH))
         .groupBy("date", "alert_type", "threat_level")
