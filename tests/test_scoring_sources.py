@@ -1,0 +1,180 @@
+import glob
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SMALL, T
+from wardline.jobs import Settings
+from wardline.operators import scoring
+from wardline.plans.medallion import Tables, build_alert_tables, build_event_tables, start_alert_streams, start_event_streams
+from wardline.sources.tables import lay_out, read_increments, stream_or_static, write_table
+from wardline.sources.topics import arrival_order, read_lines, source_options, topic_options
+from wardline.streaming.runs import drain
+
+
+@pytest.fixture(scope="module")
+def payments(spark):
+    return spark.range(4000).select(
+        F.format_string("c%d", F.col("id") % 50).alias("cardId"),
+        F.when(F.col("id") != 7, -80 * F.log(F.rand(1))).alias("amount"),
+        F.timestamp_millis(F.lit(T) + F.col("id") * 977_000).alias("event_time"),
+    )
+
+
+@pytest.fixture(scope="module")
+def model(payments):
+    return scoring.train(scoring.split(scoring.training_set(payments))[0])
+
+
+def test_training_set(payments):
+    rows = scoring.training_set(payments)
+    assert rows.columns == ["amount", "hour", "label"] and rows.count() == 3999
+    assert rows.where("label != CAST(amount > 120 AS DOUBLE) OR hour NOT BETWEEN 0 AND 23").isEmpty()
+    assert scoring.training_set(payments, label_above=1e9).where("label = 1").isEmpty()
+
+
+def test_split_is_whole_and_repeatable(payments):
+    rows = scoring.training_set(payments)
+    train, test = scoring.split(rows)
+    assert train.unionAll(test).exceptAll(rows).isEmpty() and train.count() + test.count() == rows.count()
+    assert 0.15 < test.count() / rows.count() < 0.25
+    assert scoring.split(rows)[1].exceptAll(test).isEmpty()
+
+
+def test_model_learns_the_rule(payments, model):
+    row = scoring.evaluate(scoring.split(scoring.training_set(payments))[1], model).head()
+    assert row.accuracy > 0.98 and 0 < row.positives < row.n
+
+
+def test_scores_and_decisions(payments, model):
+    scored = scoring.decide(scoring.score(payments, model))
+    assert scored.columns == [*payments.columns, "score", "decision"]
+    missing = scored.where("amount IS NULL").head()
+    assert (missing.score, missing.decision) == (0.0, False)
+    assert scored.where("decision != (score > 0.85)").isEmpty()
+    assert scored.where("amount > 300").agg(F.min("score")).head()[0] > 0.85
+
+
+def test_linear_form_equals_the_model(payments, model):
+    linear = scoring.score_linear(payments, scoring.LinearModel.of(model)).withColumnRenamed("score", "linear")
+    both = scoring.score(payments, model).join(linear, ["cardId", "event_time"])
+    assert both.count() == 4000
+    assert both.where("abs(score - linear) > 1e-9").isEmpty()
+
+
+def test_save_and_load(payments, model, tmp_path):
+    scoring.save(model, str(tmp_path / "m"))
+    scoring.save(model, str(tmp_path / "m"))
+    again = scoring.load(str(tmp_path / "m"))
+    assert scoring.score(payments, again).exceptAll(scoring.score(payments, model)).isEmpty()
+
+
+def test_score_on_a_stream(spark, payments, model, tmp_path):
+    payments.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(payments.schema).parquet(str(tmp_path / "in"))
+    found = drain(scoring.decide(scoring.score(stream, model)), str(tmp_path / "out"), str(tmp_path / "chk"))
+    batch = scoring.decide(scoring.score(payments, model))
+    assert found.count() == 4000 and found.exceptAll(batch).isEmpty()
+
+
+def test_source_options():
+    options = source_options("h:9093", "auth_txn", "insider_events", password="secret", group="g", max_per_trigger=10)
+    assert options == {
+        "kafka.bootstrap.servers": "h:9093",
+        "kafka.security.protocol": "SASL_SSL",
+        "kafka.sasl.mechanism": "PLAIN",
+        "kafka.sasl.jaas.config": "org.apache.kafka.common.security.plain.PlainLoginModule required "
+                                  'username="$ConnectionString" password="secret";',
+        "subscribe": "auth_txn,insider_events",
+        "startingOffsets": "earliest",
+        "kafka.group.id": "g",
+        "maxOffsetsPerTrigger": "10",
+    }
+    assert source_options("h", "t", starting="latest")["startingOffsets"] == "latest"
+    assert topic_options("h") == {"kafka.bootstrap.servers": "h"}
+
+
+def test_arrival_order(spark):
+    rows = spark.createDataFrame([(0, 5), (1, 4), (3, 5)], "partition int, offset long")
+    got = [tuple(r) for r in rows.orderBy(arrival_order(F.col("partition"), F.col("offset"))).collect()]
+    assert got == [(1, 4), (0, 5), (3, 5)]
+
+
+def test_settings_precedence():
+    env = {"MODE": "insider", "EH_BROKER": "env:1", "GROUP_ID": "", "TOPIC_INSIDER": "other"}
+    from_env = Settings.of({}, env)
+    assert (from_env.mode, from_env.broker, from_env.topic, from_env.group) == ("insider", "env:1", "other", "wardline")
+    from_args = Settings.of({"mode": "fraud", "broker": "arg:1"}, env)
+    assert (from_args.mode, from_args.broker, from_args.topic, from_args.alerts_topic) == ("fraud", "arg:1", "auth_txn", "alerts")
+
+
+def test_layout_spreads_and_sorts(spark, tmp_path):
+    rows = spark.range(10_000).select(
+        F.col("id"), (F.col("id") * 7919 % 100).alias("ts"), F.lit("2024-01-01").alias("date"))
+    parts = lay_out(rows, "ts", "id", files=8).withColumn("p", F.spark_partition_id())
+    bounds = sorted(tuple(r) for r in parts.groupBy("p").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).select("lo", "hi").collect())
+    assert len(bounds) == 8 and all(a[1] <= b[0] for a, b in zip(bounds, bounds[1:]))
+    # One value holding every row still spreads, by the tie column.
+    same = lay_out(rows.withColumn("ts", F.lit(1)), "ts", "id", files=8)
+    assert same.select(F.spark_partition_id()).distinct().count() == 8
+    back = write_table(rows, str(tmp_path / "t"), "ts", "id", partition_by="date", files=4)
+    assert back.exceptAll(rows.select(back.columns)).isEmpty()
+    assert len(glob.glob(str(tmp_path / "t" / "date=2024-01-01" / "*.parquet"))) == 4
+
+
+def test_table_as_stream_or_static(spark, tmp_path):
+    spark.sql("DROP TABLE IF EXISTS wl_side")
+    write_table(spark.range(5), str(tmp_path / "side"), "id", table="wl_side")
+    assert read_increments(spark, "wl_side").isStreaming
+    assert stream_or_static(spark, "wl_side", "wl_side").isStreaming
+    assert not stream_or_static(spark, "wl_absent", "wl_side").isStreaming
+    spark.sql("DROP TABLE wl_side")
+
+
+@pytest.fixture
+def topics(spark, tmp_path):
+    """Two folders of lines: events and alerts."""
+    events = [f'{{"type":"TXN","cardId":"c{i % 3}","amount":{i}.5,"ts":{T + i * 60_000}}}' for i in range(60)]
+    events += [f'{{"type":"EXT_SHARE","actor":"c{i % 3}","ts":{T + i * 90_000}}}' for i in range(40)]
+    alerts = [f'{{"id":"c{i % 4}","rule":"SMALL_THEN_LARGE","ts":{T + i * 300_000}}}' for i in range(20)]
+    for name, lines in (("events", [*events, "{bad"]), ("alerts", alerts)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.txt").write_text("\n".join(lines))
+    return tmp_path
+
+
+GOLD = ["gold_alert_dashboard", "gold_daily_alert_summary", "gold_alert_patterns",
+        "gold_alert_pattern_entities", "gold_combined_threat_analytics", "gold_executive_dashboard"]
+
+
+def test_tables_batch(spark, topics):
+    tables = Tables(str(topics / "tables"))
+    events = build_event_tables(read_lines(spark, str(topics / "events"), streaming=False), tables)
+    assert {name: rows.count() for name, rows in events.items()} == {
+        "bronze": 100, "silver": 100, "features_fraud": 60, "features_insider": 40}
+    built = build_alert_tables(
+        read_lines(spark, str(topics / "alerts"), streaming=False).select("value", "file_name"),
+        events["features_fraud"], events["features_insider"], tables)
+    assert set(built) == {"bronze_alerts", "silver_alerts", *GOLD}
+    assert built["bronze_alerts"].where("file_name = 'a.txt'").count() == 20
+    assert built["gold_executive_dashboard"].head().total_alerts == 20
+    assert built["gold_combined_threat_analytics"].head().cards_involved == 3
+
+
+def test_tables_streaming(spark, topics):
+    tables, checkpoints = Tables(str(topics / "tables")), str(topics / "chk")
+    start_event_streams(read_lines(spark, str(topics / "events")), tables, checkpoints, None)
+    read = {name: spark.read.parquet(tables.path(name)) for name in ("silver", "features_fraud", "features_insider")}
+    assert [rows.count() for rows in read.values()] == [100, 60, 40]
+    start_alert_streams(
+        read_lines(spark, str(topics / "alerts")).select("value"),
+        read["features_fraud"], read["features_insider"], tables, checkpoints, None)
+    assert spark.read.parquet(tables.path("silver_alerts")).count() == 20
+    # Windows closed by the last alert (01:35) less ten minutes.
+    assert spark.read.parquet(tables.path("gold_alert_dashboard")).count() == 17
+
+
+def test_small_table_reads(spark):
+    from wardline.sources.adapters import read_table, stream_table
+
+    assert read_table(spark, SMALL).schema == stream_table(spark, SMALL).schema

@@ -37,7 +37,9 @@ def match_sequence_stream(
     flags = [f"is_step{i}" for i in range(len(rule.steps))]
     rows = step_flags(events, rule, "event_time").withWatermark("event_time", delay)
     if rule.only_skips:
-        rows = rows.where(" OR ".join(flags))
+        # Naming the event time keeps this filter above the watermark: events that match no step
+        # need no state, but time passes with them.
+        rows = rows.where(" OR ".join([*flags, "event_time IS NULL"]))
     spread = rows.withColumn(
         "bucket", F.explode(visible_buckets(F.col("ts"), width, ahead=rule.within_ms))
     ).withColumn("is_step0", F.col("is_step0") & (own_bucket(F.col("ts"), width) == F.col("bucket")))
