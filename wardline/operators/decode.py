@@ -8,11 +8,8 @@ from pyspark.sql import types as T
 
 from wardline.schemas import ALERT, EVENT
 
-_BROKEN = "_broken"
-# Every field as text, so that one parse yields the raw value whatever its JSON type.
-_AS_TEXT = T.StructType(
-    [T.StructField(f.name, T.StringType()) for f in EVENT] + [T.StructField(_BROKEN, T.StringType())]
-)
+_FIELDS = EVENT.fieldNames()
+_TEXT = {name: f"_{name}_text" for name in _FIELDS}
 
 
 def decode_events(
@@ -37,16 +34,16 @@ def decode_events(
         raise ValueError(f"unknown decode mode {mode!r}")
     if default_ts is None:
         default_ts = F.unix_millis(F.current_timestamp())
-    parsed = _parse_text(raw, value)
+    parsed = _with_field_texts(raw, value)
     return parsed.where(_is_json(value)).select(
         *others,
-        _text("type"),
-        _text("cardId"),
-        F.coalesce(F.col("j.amount").try_cast("double"), F.lit(0.0)).alias("amount"),
-        _text("actor"),
+        _or_empty("type"),
+        _or_empty("cardId"),
+        F.coalesce(F.col(_TEXT["amount"]).try_cast("double"), F.lit(0.0)).alias("amount"),
+        _or_empty("actor"),
         F.coalesce(
-            F.col("j.ts").try_cast("bigint"),
-            F.col("j.ts").try_cast("double").try_cast("bigint"),
+            F.col(_TEXT["ts"]).try_cast("bigint"),
+            F.col(_TEXT["ts"]).try_cast("double").try_cast("bigint"),
             default_ts,
         ).alias("ts"),
     )
@@ -54,25 +51,24 @@ def decode_events(
 
 def broken_values(raw: DataFrame, value: str = "value") -> DataFrame:
     """The rows strict decoding leaves out, unchanged."""
-    return _parse_text(raw, value).where(~_is_json(value)).select(*raw.columns)
+    return _with_field_texts(raw, value).where(~_is_json(value)).select(*raw.columns)
 
 
-def _parse_text(raw: DataFrame, value: str) -> DataFrame:
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
-    return raw.select("*", F.from_json(value, _AS_TEXT, options).alias("j"))
+def _with_field_texts(raw: DataFrame, value: str) -> DataFrame:
+    """Each field as text whatever its JSON type, from one parse; all NULL if the value is broken."""
+    return raw.select("*", F.json_tuple(value, *_FIELDS).alias(*_TEXT.values()))
 
 
 def _is_json(value: str) -> Column:
-    """JSON of any kind, or empty: a list or a bare number is an event without fields, not broken."""
+    """JSON of any kind, or empty: a list or a bare number is an event without fields, not broken.
+    Only values without any field need the second look."""
     text = F.col(value)
-    return F.coalesce(
-        text.isNotNull() & (F.col(f"j.{_BROKEN}").isNull() | F.try_parse_json(text).isNotNull()),
-        F.lit(False),
-    )
+    has_field = F.coalesce(*_TEXT.values()).isNotNull()
+    return has_field | F.coalesce((F.trim(text) == "") | F.try_parse_json(text).isNotNull(), F.lit(False))
 
 
-def _text(name: str) -> Column:
-    return F.coalesce(F.col(f"j.{name}"), F.lit("")).alias(name)
+def _or_empty(name: str) -> Column:
+    return F.coalesce(_TEXT[name], F.lit("")).alias(name)
 
 
 def with_event_time(events: DataFrame) -> DataFrame:

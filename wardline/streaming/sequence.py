@@ -9,18 +9,22 @@ goes away once the watermark has left it behind.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wardline.functions.times import own_bucket, visible_buckets
 from wardline.operators.sequence import SequenceRule, step_flags
 
-BUCKET_SPANS = 8
+# Executors need not have this package installed: the matcher travels with the query.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+BUCKET_SPANS = 32
 _FAILED = np.iinfo(np.int64).min
 _MATCH = "id string, rule string, ts long, first_ts long, first_seq long"
 
@@ -46,7 +50,7 @@ def match_sequence_stream(
     return (
         spread.select("id", "bucket", "ts", "seq", *flags, "event_time")
         .groupBy("id", "bucket")
-        .transformWithStateInPandas(
+        .transformWithState(
             statefulProcessor=_Matcher(rule),
             outputStructType=_MATCH,
             outputMode="Append",
@@ -80,7 +84,12 @@ def _scan(ts: np.ndarray, flags: np.ndarray, skips: list[bool]) -> tuple[np.ndar
 
 
 class _Matcher(StatefulProcessor):
-    """Holds, per key and bucket, the events ahead of the watermark and the begun sequences."""
+    """Holds, per key and bucket, one list: the events ahead of the watermark (``wait`` 0) and the
+    sequences begun before it (``wait`` is the step they need, ``ts`` and ``seq`` those of their start).
+
+    A timer stands at the earliest held event. Calls into the state cost far more than the matching,
+    so a firing reads the list once and writes it once.
+    """
 
     def __init__(self, rule: SequenceRule) -> None:
         self.rule = rule.rule
@@ -90,69 +99,56 @@ class _Matcher(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         flags = ", ".join(f"is_step{i} boolean" for i in range(len(self.skips)))
         self.handle = handle
-        self.ahead = handle.getListState("ahead", f"ts long, seq long, {flags}")
-        self.begun = handle.getListState("begun", "first_ts long, first_seq long, wait int")
-        self.timer = handle.getValueState("timer", "at long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        earliest = None
-        for frame in rows:
-            events = frame.drop(columns=["id", "bucket", "event_time"])
-            self.ahead.appendList(list(events.itertuples(index=False, name=None)))
-            first = int(frame["ts"].min())
-            earliest = first if earliest is None else min(earliest, first)
-        if earliest is not None:
-            self._wake_at(earliest)
+        self.held = handle.getListState("held", f"wait int, ts long, seq long, {flags}")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        events = [(0, *row[2:-1]) for row in rows]
+        if events:
+            self.held.appendList(events)
+            self.handle.registerTimer(min(event[1] for event in events))
         return iter([])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        self.timer.clear()
-        held = sorted(tuple(row) for row in self.ahead.get())
-        ready = [row for row in held if row[0] <= watermark]
-        self._keep(self.ahead, held[len(ready):])
-        if len(held) > len(ready):
-            self._wake_at(held[len(ready)][0])
-        return self._advance(key[0], ready, watermark)
-
-    def _wake_at(self, at: int) -> None:
-        set_for = self.timer.get()[0] if self.timer.exists() else None
-        if set_for is None or at < set_for:
-            if set_for is not None:
-                self.handle.deleteTimer(set_for)
-            self.handle.registerTimer(at)
-            self.timer.update((at,))
-
-    def _advance(self, who, ready: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
+        held = [tuple(row) for row in self.held.get()]
+        ready = sorted(row[1:] for row in held if row[0] == 0 and row[1] <= watermark)
         if not ready:
             return iter([])
+        begun = [row[:3] for row in held if row[0] > 0]
+        matches, open_ones = self._advance(ready, begun, watermark)
+        ahead = [row for row in held if row[0] == 0 and row[1] > watermark]
+        if ahead:
+            self.handle.registerTimer(min(row[1] for row in ahead))
+        no_flags = (False,) * len(self.skips)
+        kept = ahead + [(*row, *no_flags) for row in open_ones]
+        if kept:
+            self.held.put(kept)
+        else:
+            self.held.clear()
+        return (Row(id=key[0], rule=self.rule, ts=end, first_ts=ts, first_seq=seq) for end, ts, seq in matches)
+
+    def _advance(self, ready: list[tuple], begun: list[tuple], watermark: int) -> tuple[list, list]:
+        """Matches ``(ts, first_ts, first_seq)`` the ready events complete, and what stays begun."""
         ts = np.array([row[0] for row in ready], dtype=np.int64)
         seq = np.array([row[1] for row in ready], dtype=np.int64)
         flags = np.array([row[2:] for row in ready], dtype=bool).T
-        ends, waits = _scan(ts, flags, self.skips)
         starts = np.flatnonzero(flags[0])
-        begun = np.array([tuple(row) for row in self.begun.get()], dtype=np.int64).reshape(-1, 3)
+        if not begun and not len(starts):
+            return [], []
+        ends, waits = _scan(ts, flags, self.skips)
+        older = np.array(begun, dtype=np.int64).reshape(-1, 3)
         # Sequences begun earlier go on at the first row, new ones just after their own.
-        first_ts = np.concatenate([begun[:, 0], ts[starts]])
-        first_seq = np.concatenate([begun[:, 1], seq[starts]])
-        end = np.concatenate([ends[begun[:, 2], 0], ends[1, starts + 1]])
-        wait = np.concatenate([waits[begun[:, 2], 0], waits[1, starts + 1]])
-
-        still = (wait > 0) & (first_ts + self.within > watermark)
-        self._keep(self.begun, list(zip(
-            first_ts[still].tolist(), first_seq[still].tolist(), wait[still].tolist(), strict=True)))
+        first_ts = np.concatenate([older[:, 1], ts[starts]])
+        first_seq = np.concatenate([older[:, 2], seq[starts]])
+        end = np.concatenate([ends[older[:, 0], 0], ends[1, starts + 1]])
+        wait = np.concatenate([waits[older[:, 0], 0], waits[1, starts + 1]])
         done = (end != _FAILED) & (end < first_ts + self.within)
-        return iter([pd.DataFrame({
-            "id": who, "rule": self.rule, "ts": end[done],
-            "first_ts": first_ts[done], "first_seq": first_seq[done],
-        })])
-
-    @staticmethod
-    def _keep(state, rows: list[tuple]) -> None:
-        if rows:
-            state.put(rows)
-        else:
-            state.clear()
+        still = (wait > 0) & (first_ts + self.within > watermark)
+
+        def rows(which: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+            return list(zip(*[column[which].tolist() for column in columns], strict=True))
+
+        return rows(done, end, first_ts, first_seq), rows(still, wait, first_ts, first_seq)
 
     def close(self) -> None:
         pass
