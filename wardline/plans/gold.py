@@ -8,6 +8,8 @@ passed its window.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,48 @@ DASHBOARD_WINDOW = "5 minutes"
 DAY = "1 day"
 
 
+def entity_totals(
+    rows: DataFrame,
+    keys: list[str],
+    measures: dict[str, tuple[Column, Callable]],
+    sets: tuple[str, ...] = (),
+) -> DataFrame:
+    """Per ``keys``: the number of distinct ``id`` as ``entities``, every measure, and the sorted set of
+    values of every column in ``sets`` (columns with few values).
+
+    A measure is a pair: its aggregate per entity, and the function that combines entities. The sets
+    take part as facets of their own, that is each row also counts once under (no id, its value), which
+    a map-side combine reduces to the few values there are. Collecting them per entity instead would
+    cost a sort of all rows, since sets do not fit the hash aggregate.
+    """
+    texts = ("id", *sets)
+    facet = ["id"]
+    if sets:
+        facet = ["facet", *texts]
+
+        def one(number: int, kept: str) -> Column:
+            return F.struct(F.lit(number).alias("facet"), *[
+                (F.col(name) if name == kept else F.lit(None).cast("string")).alias(name)
+                for name in texts
+            ])
+
+        rest = [name for name in rows.columns if name not in texts]
+        facets = F.array(*[one(number, name) for number, name in enumerate(texts)])
+        rows = rows.withColumn("facets", F.explode(facets)).select(*rest, "facets.*")
+    per_entity = rows.groupBy(*keys, *facet).agg(
+        *[column.alias(name) for name, (column, _) in measures.items()]
+    )
+
+    def own(name: str) -> Column:
+        return F.when(F.col("facet") == 0, F.col(name)) if sets else F.col(name)
+
+    return per_entity.groupBy(*keys).agg(
+        F.count("id").alias("entities"),
+        *[combine(own(name)).alias(name) for name, (_, combine) in measures.items()],
+        *[F.sort_array(F.collect_set(name)).alias(f"{name}s") for name in sets],
+    )
+
+
 def _windowed(
     alerts: DataFrame,
     watermark: str | None,
@@ -28,28 +72,21 @@ def _windowed(
     dims: list[str],
     sums: dict[str, Column] | None = None,
     times: bool = False,
-    rules: bool = False,
+    sets: tuple[str, ...] = (),
 ) -> DataFrame:
     """Per event-time window and ``dims``: ``n`` alerts, ``entities`` distinct ids, further sums,
-    first and last time, the sorted set of rules, and the window's bounds."""
+    first and last time, sets, and the window's bounds."""
     if watermark:
         alerts = alerts.withWatermark("event_time", watermark)
-    per_entity = {"n": F.count("*")}
-    total = {"n": F.sum("n"), "entities": F.count("id")}
+    measures = {"n": (F.count("*"), F.sum)}
     for name, column in (sums or {}).items():
-        per_entity[name], total[name] = F.sum(column), F.sum(name)
+        measures[name] = (F.sum(column), F.sum)
     if times:
-        per_entity |= {"first_time": F.min("event_time"), "last_time": F.max("event_time")}
-        total |= {"first_time": F.min("first_time"), "last_time": F.max("last_time")}
-    if rules:
-        per_entity["rules"] = F.sort_array(F.collect_set("rule"))
-        # A set of the few rule sets that occur, not one array per entity.
-        total["rules"] = F.sort_array(F.array_distinct(F.flatten(F.collect_set("rules"))))
+        measures["first_time"] = (F.min("event_time"), F.min)
+        measures["last_time"] = (F.max("event_time"), F.max)
+    spans = alerts.withColumn("window", _span(alerts, length, slide))
     return (
-        alerts.groupBy(_span(alerts, length, slide).alias("window"), *dims, "id")
-        .agg(*[c.alias(name) for name, c in per_entity.items()])
-        .groupBy("window", *dims)
-        .agg(*[c.alias(name) for name, c in total.items()])
+        entity_totals(spans, ["window", *dims], measures, sets)
         .withColumns({"window_start": F.col("window.start"), "window_end": F.col("window.end")})
         .drop("window")
     )
@@ -86,7 +123,7 @@ def daily_alert_summary(silver: DataFrame, watermark: str | None = DAY) -> DataF
     """Alerts per day, type, category and severity."""
     dims = ["alert_type", "alert_category", "severity"]
     weight = ladders.by_value(F.col("severity"), ladders.SEVERITY_WEIGHT, 0)
-    return _windowed(silver, watermark, DAY, None, dims, times=True, rules=True).select(
+    return _windowed(silver, watermark, DAY, None, dims, times=True, sets=("rule",)).select(
         iso_date(F.col("window_start")).alias("date"), *dims,
         F.col("n").alias("total_alerts"),
         F.col("entities").alias("unique_entities_affected"),
@@ -195,11 +232,17 @@ def executive_dashboard(silver: DataFrame, watermark: str | None = DAY) -> DataF
 
 
 def threat_columns(grouped: DataFrame) -> DataFrame:
-    total = F.col("total_amount_affected")
-    return grouped.withColumns({
-        "threat_level": ladders.threat_level(F.col("alert_count"), F.col("severity")),
-        "financial_impact_score": F.coalesce(total / 1000, F.lit(0.0)),
-    })
+    """The combined table from its sums: ``alert_count, cards_involved, actors_involved``, the ``paid``
+    total of ``amounts`` amounts, and the sets ``rules`` and ``types``."""
+    return grouped.select(
+        "date", "alert_type", "severity", "alert_count", "cards_involved", "actors_involved",
+        F.col("paid").alias("total_amount_affected"),
+        F.try_divide("paid", "amounts").alias("avg_transaction_amount"),
+        F.col("rules").alias("active_rules"),
+        F.col("types").alias("event_types"),
+        ladders.threat_level(F.col("alert_count"), F.col("severity")).alias("threat_level"),
+        F.coalesce(F.col("paid") / 1000, F.lit(0.0)).alias("financial_impact_score"),
+    )
 
 
 def combined_threat_analytics(
@@ -267,31 +310,18 @@ def combined_threat_analytics(
     )
 
     payment_copies = F.greatest("payments", F.lit(1))
-    activity_copies = F.greatest("activities", F.lit(1))
-    repeated = F.col("copies") * activity_copies
-    per_entity = (
-        per_alert.groupBy(*dims, "id")
-        .agg(
-            F.sum(repeated * payment_copies).alias("rows"),
-            F.sum(F.when(F.col("amounts") > 0, F.col("paid") * repeated)).alias("paid"),
-            F.sum(F.col("amounts") * repeated).alias("amounts"),
-            (F.max("payments") > 0).cast("int").alias("has_payment"),
-            (F.max("activities") > 0).cast("int").alias("has_activity"),
-            *[F.max(kind).alias(kind) for kind in INSIDER_TYPES],
-            F.sort_array(F.collect_set("rule")).alias("rules"),
-        )
-    )
-    seen = [F.when(F.max(kind) > 0, F.lit(kind)) for kind in sorted(INSIDER_TYPES)]
-    grouped = per_entity.groupBy(*dims).agg(
-        F.sum("rows").alias("alert_count"),
-        F.sum("has_payment").alias("cards_involved"),
-        F.sum("has_activity").alias("actors_involved"),
-        F.sum("paid").alias("total_amount_affected"),
-        F.try_divide(F.sum("paid"), F.sum("amounts")).alias("avg_transaction_amount"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("rules")))).alias("active_rules"),
-        F.array_compact(F.array(*seen)).alias("event_types"),
-    )
-    return threat_columns(grouped)
+    repeated = F.col("copies") * F.greatest("activities", F.lit(1))
+    measures = {
+        "alert_count": (F.sum(repeated * payment_copies), F.sum),
+        "paid": (F.sum(F.when(F.col("amounts") > 0, F.col("paid") * repeated)), F.sum),
+        "amounts": (F.sum(F.col("amounts") * repeated), F.sum),
+        "cards_involved": (F.max((F.col("payments") > 0).cast("int")), F.sum),
+        "actors_involved": (F.max((F.col("activities") > 0).cast("int")), F.sum),
+        **{kind: (F.max(kind), F.max) for kind in INSIDER_TYPES},
+    }
+    seen = [F.when(F.col(kind) > 0, F.lit(kind)) for kind in sorted(INSIDER_TYPES)]
+    grouped = entity_totals(per_alert, dims, measures, ("rule",))
+    return threat_columns(grouped.withColumn("types", F.array_compact(F.array(*seen))))
 
 
 def _per_second(rows: DataFrame, key: str, measures: dict[str, Column]) -> DataFrame:

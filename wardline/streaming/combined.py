@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wardline.functions.times import iso_date
 from wardline.operators.bandjoin import BAND
 from wardline.plans.gold import (
-    DAY, alerts_with_activity, alerts_with_payments, threat_columns,
+    DAY, alerts_with_activity, alerts_with_payments, entity_totals, threat_columns,
 )
 
 
@@ -57,27 +57,14 @@ def stream_combined_threat_analytics(
         .withColumn("event_time", F.window_time("second"))
         .drop("second")
     )
-    per_entity = (
-        alerts_with_activity(paid, watermarked(insider, delay), band)
-        .groupBy(F.window("event_time", DAY).alias("window"), *dims, "id")
-        .agg(
-            F.sum("rows").alias("rows"),
-            F.sum("paid").alias("paid"),
-            F.sum("amounts").alias("amounts"),
-            F.max("has_payment").alias("has_payment"),
-            F.max(F.col("actor").isNotNull().cast("int")).alias("has_activity"),
-            F.sort_array(F.collect_set("rule")).alias("rules"),
-            F.sort_array(F.collect_set("type")).alias("types"),
-        )
-    )
-    grouped = per_entity.groupBy("window", *dims).agg(
-        F.sum("rows").alias("alert_count"),
-        F.sum("has_payment").alias("cards_involved"),
-        F.sum("has_activity").alias("actors_involved"),
-        F.sum("paid").alias("total_amount_affected"),
-        F.try_divide(F.sum("paid"), F.sum("amounts")).alias("avg_transaction_amount"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("rules")))).alias("active_rules"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("types")))).alias("event_types"),
-    )
-    dated = grouped.select(iso_date(F.col("window.start")).alias("date"), "*").drop("window")
-    return threat_columns(dated)
+    joined = alerts_with_activity(paid, watermarked(insider, delay), band)
+    measures = {
+        "alert_count": (F.sum("rows"), F.sum),
+        "paid": (F.sum("paid"), F.sum),
+        "amounts": (F.sum("amounts"), F.sum),
+        "cards_involved": (F.max("has_payment"), F.sum),
+        "actors_involved": (F.max(F.col("actor").isNotNull().cast("int")), F.sum),
+    }
+    days = joined.withColumn("window", F.window("event_time", DAY))
+    grouped = entity_totals(days, ["window", *dims], measures, ("rule", "type"))
+    return threat_columns(grouped.withColumn("date", iso_date(F.col("window.start"))))
