@@ -49,7 +49,7 @@ def entity_totals(
 
         rest = [name for name in rows.columns if name not in texts]
         facets = F.array(*[one(number, name) for number, name in enumerate(texts)])
-        rows = rows.withColumn("facets", F.explode(facets)).select(*rest, "facets.*")
+        rows = rows.withColumn("facets", F.explode_outer(facets)).select(*rest, "facets.*")
     per_entity = rows.groupBy(*keys, *facet).agg(
         *[column.alias(name) for name, (column, _) in measures.items()]
     )
@@ -252,8 +252,8 @@ def combined_threat_analytics(
 
     The figures are those of ``alerts ⟕ payments ⟕ activity`` on the time band, so an alert with p
     payments and a activities counts p × a times (at least once). The pairs themselves are never
-    formed: both sides shrink to one row per entity and second, and running totals at the two ends of
-    an alert's band give its counts and sums. Entities are split into time buckets, so no group holds
+    formed: both sides shrink to one row per entity and second, and running totals over those in the
+    band give an alert's counts and sums. Entities are split into time buckets, so no group holds
     more rows than a bucket has seconds.
     """
     seconds = millis(band) // 1000
@@ -278,36 +278,32 @@ def combined_threat_analytics(
         **{kind: F.count_if(F.col("type") == kind) for kind in INSIDER_TYPES}})
     measures = ["payments", "paid", "amounts", "activities", *no_type]
 
+    # A payment or activity counts for the alerts from ``seconds - 1`` before it to as much after it:
+    # it enters the running totals at the first of these seconds and leaves them after the last.
     points = (
         payments.unionByName(activity, allowMissingColumns=True)
-        .withColumn("bucket", F.explode(visible_buckets(F.col("at"), width, seconds, seconds)))
-        .withColumn("sign", F.lit(0))
+        .withColumn("bucket", F.explode_outer(visible_buckets(F.col("at"), width, seconds, seconds)))
+        .withColumn("marks", F.array(
+            _mark(F.col("at") - (seconds - 1), 1), _mark(F.col("at") + seconds, -1)))
     )
-    # Totals up to the last second inside the band, minus totals up to the last second before it.
-    ends = F.explode(F.array(
-        F.struct((F.col("at") + (seconds - 1)).alias("at"), F.lit(1).alias("sign")),
-        F.struct((F.col("at") - seconds).alias("at"), F.lit(-1).alias("sign")),
-    ))
-    probes = (
-        alert_rows.withColumn("bucket", own_bucket(F.col("at"), width))
-        .withColumn("alert_at", F.col("at"))
-        .withColumn("end", ends)
-        .drop("at")
-        .select("*", "end.at", "end.sign")
-        .drop("end")
+    probes = alert_rows.withColumns({
+        "bucket": own_bucket(F.col("at"), width), "marks": F.array(_mark(F.col("at"), 0))})
+    # Repartitioned before a point becomes two rows, so that it travels once.
+    marked = (
+        points.unionByName(probes, allowMissingColumns=True)
+        .repartition("id", "bucket")
+        .withColumn("mark", F.explode_outer("marks"))
+        .select("*", "mark.second", "mark.sign")
+        .drop("marks", "mark")
     )
     so_far = (
         Window.partitionBy("id", "bucket")
-        .orderBy("at", F.abs("sign"))
+        .orderBy("second", F.col("sign") == 0)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    per_alert = (
-        points.unionByName(probes, allowMissingColumns=True)
-        .withColumns({m: F.sum(m).over(so_far) for m in measures})
-        .where("sign != 0")
-        .groupBy("id", "bucket", *dims, "rule", "alert_at", "copies")
-        .agg(*[F.sum(F.coalesce(m, F.lit(0)) * F.col("sign")).alias(m) for m in measures])
-    )
+    per_alert = marked.withColumns({
+        m: F.coalesce(F.sum(F.col(m) * F.col("sign")).over(so_far), F.lit(0)) for m in measures
+    }).where("sign = 0")
 
     payment_copies = F.greatest("payments", F.lit(1))
     repeated = F.col("copies") * F.greatest("activities", F.lit(1))
@@ -324,6 +320,10 @@ def combined_threat_analytics(
     return threat_columns(grouped.withColumn("types", F.array_compact(F.array(*seen))))
 
 
+def _mark(second: Column, sign: int) -> Column:
+    return F.struct(second.alias("second"), F.lit(sign).alias("sign"))
+
+
 def _per_second(rows: DataFrame, key: str, measures: dict[str, Column]) -> DataFrame:
     return (
         rows.where(F.col(key).isNotNull() & F.col("event_time").isNotNull())
