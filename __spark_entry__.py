@@ -11,7 +11,11 @@ a day) are chosen because the usual ones match nothing in this table.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,8 +108,10 @@ def _silver_alerts(source: DataFrame) -> DataFrame:
 
 
 def _features(source: DataFrame) -> tuple[DataFrame, DataFrame]:
-    events = adapters.domain_events(source)
-    return event_plans.features_fraud(events), event_plans.features_insider(events)
+    return (
+        event_plans.features_fraud(adapters.auth_txn(source)),
+        event_plans.features_insider(adapters.insider_events(source)),
+    )
 
 
 def _drained(stream: DataFrame, name: str) -> DataFrame:
@@ -568,16 +574,12 @@ def _report_fraud_vs_insider(spark, folder):
 # --- model ------------------------------------------------------------------------------------------
 
 
-def _payments(source: DataFrame) -> DataFrame:
-    return event_plans.features_fraud(adapters.auth_txn(source))
-
-
 @_query("training_set", f"""WITH {_DOMAIN}
 SELECT round(value, 6) AS amount, CAST(hour(make_timestamp(ts * 1000)) AS INTEGER) AS hour,
        CASE WHEN value > 120 THEN 1.0 ELSE 0.0 END::DOUBLE AS label
 FROM dom WHERE type = 'TXN' AND value IS NOT NULL""")
 def _training_set(spark, folder):
-    return scoring.training_set(_payments(_source(spark, folder)))
+    return scoring.training_set(_features(_source(spark, folder))[0])
 
 
 @_query("feature_stats", f"""WITH {_DOMAIN},
@@ -601,7 +603,7 @@ SELECT "cardId", round(amount, 6) AS amount, event_time, round(coalesce(score, 0
 
 @_query("score_decision", _SCORED)
 def _score_decision(spark, folder):
-    return scoring.decide(scoring.score_linear(_payments(_source(spark, folder)), MODEL))
+    return scoring.decide(scoring.score_linear(_features(_source(spark, folder))[0], MODEL))
 
 
 @_query("train_fraud_model")
@@ -613,13 +615,13 @@ def _train_fraud_model(spark, folder):
 @_query("score_stream")
 def _score_stream(spark, folder):
     model = scoring.train(_training_set(spark, folder))
-    scored = scoring.decide(scoring.score(_payments(_stream(spark, folder)), model))
+    scored = scoring.decide(scoring.score(_features(_stream(spark, folder))[0], model))
     return _drained(scored, "score-stream")
 
 
 @_query("scored_sink", _SCORED)
 def _scored_sink(spark, folder):
-    scored = scoring.decide(scoring.score_linear(_payments(_stream(spark, folder)), MODEL))
+    scored = scoring.decide(scoring.score_linear(_features(_stream(spark, folder))[0], MODEL))
     return _drained(scored, "scored")
 
 
@@ -676,7 +678,11 @@ def _executive_stream(spark, folder):
     return _drained(gold.executive_dashboard(_silver_alerts(_stream(spark, folder))), "executive")
 
 
-@_query("alerts_join_txn_stream")
+# An alert without partner is emitted once no partner can come any more.
+@_query("alerts_join_txn_stream", f"""WITH {_PAYMENT_JOIN}
+SELECT id, rule, ts, card AS "cardId", round(amount, 6) AS amount, txn_time FROM paid
+WHERE card IS NOT NULL OR ts + 3601000 < least((SELECT max(ts) FROM silver),
+  (SELECT max(ts) FROM dom WHERE type = 'TXN')) - 3600000""")
 def _join_stream(spark, folder):
     source = _stream(spark, folder)
     joined = combined.stream_alerts_with_payments(_silver_alerts(source), _features(source)[0], LATE)

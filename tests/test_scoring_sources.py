@@ -9,7 +9,7 @@ from wardline.operators import scoring
 from wardline.plans.medallion import Tables, build_alert_tables, build_event_tables, start_alert_streams, start_event_streams
 from wardline.sources.tables import lay_out, read_increments, stream_or_static, write_table
 from wardline.sources.topics import arrival_order, read_lines, source_options, topic_options
-from wardline.streaming.runs import drain
+from wardline.streaming.runs import drain, write_stream
 
 
 @pytest.fixture(scope="module")
@@ -77,6 +77,19 @@ def test_score_on_a_stream(spark, payments, model, tmp_path):
     assert found.count() == 4000 and found.exceptAll(batch).isEmpty()
 
 
+def test_scored_table(spark, payments, tmp_path):
+    payments.write.parquet(str(tmp_path / "in"))
+    spark.sql("DROP TABLE IF EXISTS wl_scored")
+    model = scoring.LinearModel((4.0, 0.25), -3.0, (50.0, 11.5), (50.0, 7.0))
+    stream = spark.readStream.schema(payments.schema).parquet(str(tmp_path / "in"))
+    scored = scoring.decide(scoring.score_linear(stream, model))
+    for _ in range(2):  # the second run finds nothing new
+        write_stream(scored, str(tmp_path / "out"), str(tmp_path / "chk"), every=None, table="wl_scored").awaitTermination()
+    assert spark.table("wl_scored").count() == 4000
+    assert spark.table("wl_scored").where("decision").count() > 0
+    spark.sql("DROP TABLE wl_scored")
+
+
 def test_source_options():
     options = source_options("h:9093", "auth_txn", "insider_events", password="secret", group="g", max_per_trigger=10)
     assert options == {

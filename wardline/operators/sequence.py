@@ -29,6 +29,7 @@ from wardline.session import shared_root, shuffle_width
 
 HOT_ROWS = 4_000_000
 PROBE_ONE_IN = 1024
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -120,18 +121,25 @@ def match_sequence(
     else:
         shared_root(events.sparkSession)
         hot = _hot_keys(rows, hot_rows, probe_one_in).checkpoint()
-        if hot.isEmpty():
+        hot_keys = hot.count()
+        if hot_keys == 0:
             matches = _match_whole_keys(rows, rule)
         else:
             is_hot = rows["id"].eqNullSafe(hot["hot_id"])
-            usual = rows.join(F.broadcast(hot), is_hot, "left_anti")
-            heavy = rows.join(F.broadcast(hot), is_hot, "left_semi")
-            matches = _match_whole_keys(usual, rule).unionByName(_match_ranges(heavy, rule))
+            side = _broadcast_if_small(hot, hot_keys)
+            usual = rows.join(side, is_hot, "left_anti")
+            heavy = rows.join(side, is_hot, "left_semi")
+            matches = _match_whole_keys(usual, rule).unionByName(_match_ranges(heavy, rule, hot_keys))
     return matches.select(
         "id", F.lit(rule.rule).alias("rule"), F.col("end_ts").alias("ts"), "first_ts", "first_seq"
     )
 
 
+def _broadcast_if_small(rows: DataFrame, at_most: int) -> DataFrame:
+    """Broadcast a side known to hold ``at_most`` rows, if those are few; else let the planner choose."""
+    return F.broadcast(rows) if at_most <= BROADCAST_ROWS else rows
+
+
 def step_flags(events: DataFrame, rule: SequenceRule, *keep: str) -> DataFrame:
     """The columns matching needs: ``id, ts, seq`` and a never-null boolean per step."""
     flags = [
@@ -146,8 +154,7 @@ def _flags(rule: SequenceRule) -> list[str]:
 
 
 def _hot_keys(rows: DataFrame, hot_rows: int, probe_one_in: int) -> DataFrame:
-    """Keys that seem to hold more than ``hot_rows`` rows: at most ``rows / hot_rows`` of them, which
-    is what bounds the broadcast.
+    """Keys that seem to hold more than ``hot_rows`` rows: about ``rows / hot_rows`` of them at most.
 
     The estimate reads the rows whose content hash falls in one of ``probe_one_in`` classes. It only
     decides which of two exact ways a key takes, so an error costs time and never a match; hashing
@@ -214,11 +221,11 @@ def _match_whole_keys(rows: DataFrame, rule: SequenceRule) -> DataFrame:
     )
 
 
-def _match_ranges(rows: DataFrame, rule: SequenceRule) -> DataFrame:
-    """The same matches with each key spread over ranges of ``(ts, seq)``."""
-    ranges = rows.repartitionByRange(
-        shuffle_width(rows.sparkSession), "id", "ts", "seq"
-    ).withColumn("part", F.spark_partition_id())
+def _match_ranges(rows: DataFrame, rule: SequenceRule, keys: int) -> DataFrame:
+    """The same matches with each of the ``keys`` keys spread over ranges of ``(ts, seq)``."""
+    width = shuffle_width(rows.sparkSession)
+    ranges = rows.repartitionByRange(width, "id", "ts", "seq").withColumn(
+        "part", F.spark_partition_id())
     # Written once and read twice below: range bounds come from a sample, so a second evaluation
     # could cut the ranges elsewhere. Holds the begun sequences and one row per range and key.
     scanned = (
@@ -235,9 +242,9 @@ def _match_ranges(rows: DataFrame, rule: SequenceRule) -> DataFrame:
         .applyInPandas(_continuations(len(rule.steps)), "id string, part int, wait int, end long")
         .toDF("c_id", "c_part", "c_wait", "c_end")
     )
-    # At most one row per step for each (hot key, range): (hot keys + ranges) x steps in all.
+    # A range boundary cuts one key at most, so keys and ranges meet in less than keys + width pairs.
     resolved = scanned.where("is_step0").join(
-        F.broadcast(continued),
+        _broadcast_if_small(continued, (keys + width) * (len(rule.steps) - 1)),
         F.col("id").eqNullSafe(F.col("c_id"))
         & (F.col("part") == F.col("c_part"))
         & (F.col("wait1") == F.col("c_wait")),
