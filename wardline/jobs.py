@@ -32,6 +32,9 @@ TOPICS = {"fraud": "auth_txn", "insider": "insider_events"}
 ALERTS_TOPIC = "alerts"
 GROUP = "wardline"
 CHECKPOINT_INTERVAL = "5 seconds"
+# The matcher holds what a batch brings until the watermark passes it; starting from the earliest
+# offset must not bring the whole topic at once.
+MESSAGES_PER_BATCH = 10_000_000
 
 
 @dataclass(frozen=True)
@@ -71,7 +74,8 @@ def detect_alerts(messages: DataFrame, rule: SequenceRule, delay: str) -> DataFr
 
 def detect(spark: SparkSession, settings: Settings, checkpoint: str, delay: str) -> StreamingQuery:
     source = source_options(
-        settings.broker, settings.topic, password=settings.password, group=settings.group)
+        settings.broker, settings.topic, password=settings.password, group=settings.group,
+        max_per_trigger=MESSAGES_PER_BATCH)
     alerts = detect_alerts(read_topics(spark, source), rule_for_mode(settings.mode), delay)
     return write_alerts(
         alerts, topic_options(settings.broker, settings.password), settings.alerts_topic,

@@ -29,7 +29,8 @@ def decode_events(
     """
     others = [name for name in raw.columns if name != value]
     if mode == "lenient":
-        return raw.select(*others, F.from_json(value, schema).alias("j")).select(*others, "j.*")
+        # As a generated row, so that a filter on a field does not parse the value a second time.
+        return raw.select(*others, F.inline_outer(F.array(F.from_json(value, schema))))
     if mode != "strict":
         raise ValueError(f"unknown decode mode {mode!r}")
     if default_ts is None:
