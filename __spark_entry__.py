@@ -603,7 +603,7 @@ SELECT "cardId", round(amount, 6) AS amount, event_time, round(coalesce(score, 0
 
 @_query("score_decision", _SCORED)
 def _score_decision(spark, folder):
-    return scoring.decide(scoring.score_linear(_features(_source(spark, folder))[0], MODEL))
+    return scoring.decide(scoring.score(_features(_source(spark, folder))[0], MODEL))
 
 
 @_query("train_fraud_model")
@@ -621,7 +621,7 @@ def _score_stream(spark, folder):
 
 @_query("scored_sink", _SCORED)
 def _scored_sink(spark, folder):
-    scored = scoring.decide(scoring.score_linear(_features(_stream(spark, folder))[0], MODEL))
+    scored = scoring.decide(scoring.score(_features(_stream(spark, folder))[0], MODEL))
     return _drained(scored, "scored")
 
 

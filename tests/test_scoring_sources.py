@@ -1,6 +1,8 @@
 import glob
 
 import pytest
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from conftest import SMALL, T
@@ -55,11 +57,28 @@ def test_scores_and_decisions(payments, model):
     assert scored.where("amount > 300").agg(F.min("score")).head()[0] > 0.85
 
 
-def test_linear_form_equals_the_model(payments, model):
-    linear = scoring.score_linear(payments, scoring.LinearModel.of(model)).withColumnRenamed("score", "linear")
-    both = scoring.score(payments, model).join(linear, ["cardId", "event_time"])
-    assert both.count() == 4000
-    assert both.where("abs(score - linear) > 1e-9").isEmpty()
+def test_score_equals_the_pipeline(payments, model, tmp_path):
+    """Against the stages themselves, on a model read back (a fresh one drags its session along)."""
+    scoring.save(model, str(tmp_path / "m"))
+    known = payments.where("amount IS NOT NULL")
+    stages = scoring.load(str(tmp_path / "m")).transform(scoring.model_features(known))
+    theirs = stages.select("cardId", "event_time", vector_to_array("probability")[1].alias("theirs"))
+    both = scoring.score(known, model).join(theirs, ["cardId", "event_time"])
+    assert both.count() == 3999
+    assert both.where("abs(score - theirs) > 1e-9").isEmpty()
+
+
+def test_scoring_survives_an_observed_session(spark, payments):
+    seen = Observation("seen")
+    payments.observe(seen, F.count("*").alias("n")).count()
+    assert seen.get["n"] == 4000
+    fresh = scoring.train(scoring.training_set(payments))
+    assert scoring.score(payments, fresh).where("score > 0.5").count() > 0
+
+
+def test_constant_feature_has_no_weight(payments):
+    model = scoring.LinearModel((1.0, 1.0), 0.0, (50.0, 11.0), (50.0, 0.0))
+    assert scoring.score(payments, model).count() == 4000
 
 
 def test_save_and_load(payments, model, tmp_path):
@@ -82,7 +101,7 @@ def test_scored_table(spark, payments, tmp_path):
     spark.sql("DROP TABLE IF EXISTS wl_scored")
     model = scoring.LinearModel((4.0, 0.25), -3.0, (50.0, 11.5), (50.0, 7.0))
     stream = spark.readStream.schema(payments.schema).parquet(str(tmp_path / "in"))
-    scored = scoring.decide(scoring.score_linear(stream, model))
+    scored = scoring.decide(scoring.score(stream, model))
     for _ in range(2):  # the second run finds nothing new
         write_stream(scored, str(tmp_path / "out"), str(tmp_path / "chk"), every=None, table="wl_scored").awaitTermination()
     assert spark.table("wl_scored").count() == 4000

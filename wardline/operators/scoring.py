@@ -7,8 +7,7 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Features, label rule, split, iterations and decision threshold.
@@ -55,21 +54,9 @@ def train(rows: DataFrame, max_iterations: int = MAX_ITERATIONS, strength: float
     return Pipeline(stages=[assembler, scaler, regression]).fit(rows)
 
 
-def score(payments: DataFrame, model: PipelineModel) -> DataFrame:
-    """``payments`` with ``score``: 0.0 where the model cannot give one."""
-    scored = model.transform(model_features(payments))
-    value = F.nanvl(vector_to_array("probability")[1], F.lit(0.0))
-    keep = [name for name in payments.columns]
-    return scored.select(*keep, F.coalesce(value, F.lit(0.0)).alias("score"))
-
-
-def decide(scored: DataFrame, above: float = DECIDE_ABOVE) -> DataFrame:
-    return scored.withColumn("decision", F.col("score") > above)
-
-
 @dataclass(frozen=True)
 class LinearModel:
-    """A trained model in numbers: score = logistic(intercept + Σ coef × (x − mean) / std)."""
+    """A trained model in numbers: score = logistic(intercept + Σ coefficient × (x − mean) / std)."""
 
     coefficients: tuple[float, ...]
     intercept: float
@@ -84,24 +71,42 @@ class LinearModel:
             tuple(scaler.mean.toArray().tolist()), tuple(scaler.std.toArray().tolist()),
         )
 
+    def probability(self) -> Column:
+        logit = F.lit(self.intercept)
+        for name, coefficient, mean, std in zip(
+            FEATURES, self.coefficients, self.means, self.stds, strict=True
+        ):
+            if std > 0:
+                logit = logit + F.lit(coefficient) * (F.col(name) - F.lit(mean)) / F.lit(std)
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
+
+
+def _linear(model: LinearModel | PipelineModel) -> LinearModel:
+    return model if isinstance(model, LinearModel) else LinearModel.of(model)
 
-def score_linear(payments: DataFrame, model: LinearModel) -> DataFrame:
-    """The same as :func:`score` as one expression, without a model object in the plan."""
-    logit = F.lit(model.intercept)
-    parts = zip(FEATURES, model.coefficients, model.means, model.stds, strict=True)
-    for name, coefficient, mean, std in parts:
-        logit = logit + F.lit(coefficient) * (F.col(name) - F.lit(mean)) / F.lit(std)
-    value = F.coalesce(F.lit(1.0) / (F.lit(1.0) + F.exp(-logit)), F.lit(0.0))
+
+def score(payments: DataFrame, model: LinearModel | PipelineModel) -> DataFrame:
+    """``payments`` (a table or a stream) with ``score``: 0.0 where the model cannot give one.
+
+    The model enters as its numbers. That is one built-in expression within whole-stage codegen, and
+    spares the plan a model object, which carries its training summary and session along and then
+    cannot always be sent to executors.
+    """
+    value = F.coalesce(F.nanvl(_linear(model).probability(), F.lit(0.0)), F.lit(0.0))
     return model_features(payments).select(*payments.columns, value.alias("score"))
 
 
-def evaluate(rows: DataFrame, model: PipelineModel) -> DataFrame:
+def decide(scored: DataFrame, above: float = DECIDE_ABOVE) -> DataFrame:
+    return scored.withColumn("decision", F.col("score") > above)
+
+
+def evaluate(rows: DataFrame, model: LinearModel | PipelineModel) -> DataFrame:
     """Rows, positives and accuracy on labelled ``rows``."""
-    predicted = model.transform(rows)
-    return predicted.agg(
+    predicted = (_linear(model).probability() > 0.5).cast("double")
+    return rows.agg(
         F.count("*").alias("n"),
         F.sum(F.col("label").cast("long")).alias("positives"),
-        F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"),
+        F.avg((predicted == F.col("label")).cast("double")).alias("accuracy"),
     )
 
 
