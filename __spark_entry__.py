@@ -56,6 +56,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    """Every registered query by name."""
     return dict(_QUERIES)
 
 
@@ -712,3 +713,25 @@ def _combined_stream(spark, folder):
         combined.stream_combined_threat_analytics(_silver_alerts(source), *_features(source), delay=LATE),
         "combined",
     )
+
+
+# --- queries of the training-data operators, where that subpackage is present ------------------------
+
+try:
+    import wardline.llm.queries as _llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("wardline.llm", "wardline.llm.queries"):
+        raise
+else:
+    _QUERIES.update(_llm.QUERIES)
+    _SQL.update(_llm.SQL)
+
+try:
+    import corpus_pipeline as _pipeline
+except ModuleNotFoundError as missing:
+    if missing.name != "corpus_pipeline":
+        raise
+else:
+    _QUERIES["pipeline"] = _pipeline.run
+    if _pipeline.ORACLE_SQL:
+        _SQL["pipeline"] = _pipeline.ORACLE_SQL
