@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import mixing, sharding
+from wardline.llm import mixing, repeats, sharding
 from wardline.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,12 @@ def _query(build):
     return build
 
 
+@_query
+def op1_remove_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = repeats.remove_repeats(read(spark, folder, "documents"), window=50)
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @_query
 def op2_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard(read(spark, folder, "documents"), shards=8)
