@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import mixing, repeats, sharding
+from wardline.llm import mixing, repeats, sharding, simhash
 from wardline.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,12 @@ def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@_query
+def op10_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.components(read(spark, folder, "documents"), shingle=4, bits=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 # The level at which the sources fill up is found by trying each source's own.
 SQL["op8_mix_sources"] = r"""
 WITH d AS (

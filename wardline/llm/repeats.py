@@ -221,7 +221,7 @@ def _cleaned(window: int):
         order = [("doc_id", "ascending"), ("k", "ascending")]
         part = _Part(docs, window)
         removed = words.covered(_all_places(found), window, len(part.hashes))
-        counts = np.diff(np.concatenate([np.zeros(1, np.int64), np.cumsum(removed)])[part.first])
+        counts = words.by_row(removed, part.first)
         kept = []
         for row, text in enumerate(part.texts):
             own = (text.as_py() or "").encode().split()

@@ -123,8 +123,13 @@ def window_hashes(hashes: np.ndarray, width: int, powers: Powers = WORDS) -> np.
 
 
 def covered(starts: np.ndarray, width: int, total: int) -> np.ndarray:
-    """Which of ``total`` words lie in a window of ``width`` that begins at one of ``starts``."""
-    steps = np.zeros(total + 1, np.int32)
-    np.add.at(steps, starts, 1)
-    np.add.at(steps, np.minimum(starts + width, total), -1)
+    """Which of ``total`` words lie in a window of ``width`` words that begins at one of ``starts``, all different."""
+    steps = np.zeros(total + width + 1, np.int32)
+    steps[starts] += 1
+    steps[starts + width] -= 1
     return np.cumsum(steps[:total]) > 0
+
+
+def by_row(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many of ``flags`` are set between each two of ``bounds``."""
+    return np.diff(np.concatenate([np.zeros(1, np.int64), np.cumsum(flags, dtype=np.int64)])[bounds])
