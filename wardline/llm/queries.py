@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import mixing, repeats, sharding, simhash
+from wardline.llm import mixing, quality, repeats, sharding, simhash
 from wardline.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,13 @@ def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@_query
+def op9_quality_votes(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality.judged(read(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                        "kept", F.round("p_good", 6).alias("p_good"))
+
+
 @_query
 def op10_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.components(read(spark, folder, "documents"), shingle=4, bits=4)
