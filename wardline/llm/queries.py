@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import mixing, quality, repeats, sharding, simhash
+from wardline.llm import mixing, packing, quality, repeats, sharding, simhash
 from wardline.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +33,12 @@ def op2_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+@_query
+def op5_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(read(spark, folder, "documents"), tokenizer, capacity=4096, end_id=1).drop("row")
+
+
 @_query
 def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     taken = mixing.copies(read(spark, folder, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
