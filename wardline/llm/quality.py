@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from wardline.llm import words
 from wardline.llm.shared import cut
+from wardline.llm.voting import posteriors
 
 WINDOW = 5
 _SYMBOLS = np.zeros(256, bool)
@@ -121,34 +122,6 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def posteriors(patterns: np.ndarray, counts: np.ndarray, trust: float = 0.9, strength: float = 10.0,
-               rounds: int = 100) -> np.ndarray:
-    """P(good) of each vote pattern, by expectation-maximisation over ``counts`` documents of each.
-
-    ``patterns`` has a row of votes (0 none, 1 good, 2 bad) per pattern. A rule has an accuracy for each of its two
-    votes: the share of documents it casts that vote on which are of that class. The expectation weighs each vote by
-    its accuracy's odds against the class's own odds and takes an abstention for no evidence; the maximisation sets
-    accuracies and class share to the documents' expected classes, with ``strength`` documents' worth of prior
-    ``trust`` in every vote. The prior also settles which class is which.
-    """
-    cast = np.stack([patterns == 1, patterns == 2], axis=2).astype(float)  # pattern, rule, vote
-    votes = np.einsum("p,prv->rv", counts, cast)
-    accuracy, share, belief = np.full(votes.shape, trust), trust, None
-    logit = lambda x: np.log(x) - np.log1p(-x)
-    for _ in range(rounds):
-        weight = np.stack([logit(accuracy[:, 0]) - logit(share), -(logit(accuracy[:, 1]) + logit(share))], axis=1)
-        odds = logit(share) + np.einsum("prv,rv->p", cast, weight)
-        now = 1.0 / (1.0 + np.exp(-np.clip(odds, -500, 500)))
-        if belief is not None and np.abs(now - belief).max() < 1e-9:
-            break
-        belief = now
-        right = np.einsum("p,prv->rv", counts * belief, cast) * [1, 0]
-        right += np.einsum("p,prv->rv", counts * (1 - belief), cast) * [0, 1]
-        accuracy = (right + strength * trust) / (votes + strength)
-        share = (np.dot(counts, belief) + strength * trust) / (counts.sum() + strength)
-    return belief
-
-
 def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row ``doc_id``, :data:`COUNTS`, ``base_failed``, ``p_good`` and ``kept``: the base rules passed and the
     posterior at least one half."""

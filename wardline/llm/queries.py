@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import mixing, packing, quality, repeats, sharding, simhash
+from wardline.llm import mixing, packing, pii, quality, repeats, sharding, simhash
 from wardline.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,22 @@ def op5_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(read(spark, folder, "documents"), tokenizer, capacity=4096, end_id=1).drop("row")
 
 
+@_query
+def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(read(spark, folder, "documents"))
+
+    def shown(spans):
+        """kind:start:end of the spans, which come by kind and start."""
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["base"])
+    counts = map(number, pii.KINDS[:4])
+    return found.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
 @_query
 def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     taken = mixing.copies(read(spark, folder, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
