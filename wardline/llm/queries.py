@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import mixing, packing, pii, quality, repeats, sharding, simhash
+from wardline.llm import mixing, packing, pii, quality, repeats, sharding, simhash, topk
 from wardline.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,28 @@ def op2_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+@_query
+def op4_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = topk.scaled(read(spark, folder, "embeddings"), factor=256.0)
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+SQL["op4_top_k"] = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         max(CAST(coalesce(list_sum(list_transform(list_zip(q.vec, c.vec), lambda z: z[1] * z[2])), 0) AS BIGINT)) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.vec) = len(c.vec)
+  WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 5"""
+
+
 @_query
 def op5_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
