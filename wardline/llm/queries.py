@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import mixing, packing, pii, quality, repeats, sharding, simhash, topk
+from wardline.llm import mixing, packing, pii, pseudo, quality, repeats, sharding, simhash, topk
 from wardline.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,13 @@ def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
 
 
+@_query
+def op7_pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    found = pseudo.score(read(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", F.round("log_probability", 4).alias("log_probability"),
+                        F.round("mean_log_probability", 6).alias("mean_log_probability"))
+
+
 @_query
 def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     taken = mixing.copies(read(spark, folder, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
