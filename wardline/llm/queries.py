@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import mixing, packing, pii, pseudo, quality, repeats, sharding, simhash, topk
+from wardline.llm import mixing, packing, pii, pseudo, quality, repeats, sharding, simhash, topk, urls
 from wardline.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,83 @@ def op2_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _day(number):
+    return F.date_add(F.lit("2024-01-01").cast("date"), number.cast("int"))
+
+
+def _captures(pages: DataFrame) -> DataFrame:
+    """The pages as captures: the table has no dates, so the id gives one."""
+    return pages.select("page_id", "url", _day(F.col("page_id") * 7919 % 366).alias("fetched"))
+
+
+def _entries(pages: DataFrame) -> DataFrame:
+    """Dated lists over the pages' own hosts and domains: every host is blocked, later freed, and every third blocked
+    again; every domain is allowed or blocked from some day on, and the other way round half a year later."""
+    hosts = pages.select("page_id", urls.host_of(F.col("url")).alias("host")).where("host IS NOT NULL")
+    domains = hosts.select("page_id", F.try_element_at(urls.covering(F.col("host")), F.lit(-2)).alias("domain"))
+    host = hosts.groupBy(F.col("host").alias("pattern")).agg(F.min("page_id").alias("n"))
+    domain = domains.groupBy(F.col("domain").alias("pattern")).agg(F.min("page_id").alias("n"))
+
+    def log(of, name, action, day):
+        return of.select(F.lit(name).alias("list"), "pattern", F.lit(action).alias("action"), _day(day).alias("day"))
+
+    n = F.col("n")
+    return (
+        log(host, "hosts", "block", n * 31 % 300)
+        .union(log(host, "hosts", "remove", n * 31 % 300 + 20 + n % 60))
+        .union(log(host.where("n % 3 = 0"), "hosts", "block", n * 31 % 300 + 120))
+        .union(log(domain.where("n % 2 = 0"), "domains", "allow", n % 100))
+        .union(log(domain.where("n % 2 = 0"), "domains", "block", n % 100 + 180))
+        .union(log(domain.where("n % 2 = 1"), "domains", "block", n % 100))
+        .union(log(domain.where("n % 2 = 1"), "domains", "allow", n % 100 + 180))
+    )
+
+
+@_query
+def op3_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read(spark, folder, "pages")
+    found = urls.evaluate(_captures(pages), _entries(pages))
+    return found.select("page_id", "host", F.col("fetched").cast("string").alias("fetched"), "verdict", "list", "pattern",
+                        F.col("since").cast("string").alias("since"))
+
+
+SQL["op3_url_verdicts"] = r"""
+WITH named AS (
+  SELECT page_id, DATE '2024-01-01' + CAST(page_id * 7919 % 366 AS INTEGER) AS fetched,
+         regexp_replace(regexp_extract(lower(trim(url)),
+           '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^:/?#]*)', 1), '\.+$', '') AS h
+  FROM pages),
+c AS (SELECT page_id, fetched, CASE WHEN length(h) BETWEEN 1 AND 253 THEN h END AS host FROM named),
+cov AS (
+  SELECT DISTINCT host, CASE WHEN regexp_matches(host, '^(\[.*|[0-9.]+)$') THEN [host]
+    ELSE list_transform(range(1, len(string_split(host, '.')) + 1),
+                        lambda i: array_to_string(string_split(host, '.')[i:], '.')) END AS above
+  FROM c WHERE host IS NOT NULL),
+n AS (
+  SELECT 'hosts' AS list, host AS pattern, min(page_id) AS n FROM c WHERE host IS NOT NULL GROUP BY host
+  UNION ALL
+  SELECT 'domains', above[-2], min(page_id) FROM c JOIN cov USING (host) WHERE len(above) > 1 GROUP BY above[-2]),
+log AS (
+  SELECT list, pattern, 'block' AS action, n * 31 % 300 AS d FROM n WHERE list = 'hosts'
+  UNION ALL SELECT list, pattern, 'remove', n * 31 % 300 + 20 + n % 60 FROM n WHERE list = 'hosts'
+  UNION ALL SELECT list, pattern, 'block', n * 31 % 300 + 120 FROM n WHERE list = 'hosts' AND n % 3 = 0
+  UNION ALL SELECT list, pattern, CASE n % 2 WHEN 0 THEN 'allow' ELSE 'block' END, n % 100 FROM n WHERE list = 'domains'
+  UNION ALL SELECT list, pattern, CASE n % 2 WHEN 0 THEN 'block' ELSE 'allow' END, n % 100 + 180 FROM n WHERE list = 'domains'),
+v AS (
+  SELECT list, pattern, action, DATE '2024-01-01' + CAST(d AS INTEGER) AS since,
+         DATE '2024-01-01' + CAST(lead(d) OVER (PARTITION BY list, pattern ORDER BY d) AS INTEGER) AS until
+  FROM log),
+m AS (
+  SELECT c.page_id, c.host, c.fetched, v.*,
+         row_number() OVER (PARTITION BY c.page_id ORDER BY length(v.pattern) DESC, v.action = 'allow', v.list) AS nth
+  FROM c JOIN cov USING (host) JOIN v ON list_contains(cov.above, v.pattern)
+   AND v.since <= c.fetched AND (v.until IS NULL OR c.fetched < v.until)
+  WHERE v.action <> 'remove')
+SELECT c.page_id, c.host, CAST(c.fetched AS VARCHAR) AS fetched, coalesce(m.action, 'none') AS verdict, m.list, m.pattern,
+       CAST(m.since AS VARCHAR) AS since
+FROM c LEFT JOIN m ON c.page_id = m.page_id AND m.nth = 1"""
+
+
 @_query
 def op4_top_k(spark: SparkSession, folder: str) -> DataFrame:
     vectors = topk.scaled(read(spark, folder, "embeddings"), factor=256.0)
