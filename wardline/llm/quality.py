@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from wardline.llm import words
 from wardline.llm.shared import cut
@@ -78,16 +79,16 @@ def _lines(text: str) -> tuple[int, int]:
     return len(held), len(set(held))
 
 
-def signals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and :data:`COUNTS` for every row."""
+def signals(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with :data:`COUNTS` of the text; columns of ``docs`` with such a name are replaced."""
+    docs = docs.drop(*(name for name in COUNTS if name != text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = count_signals(batch["text"])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *map(pa.array, counts.values())], ["doc_id", *counts])
+            counts = count_signals(batch[text])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, counts.values())], [*batch.schema.names, *counts])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"{name} long" for name in ("doc_id", *COUNTS)))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(name, LongType()) for name in COUNTS)]))
 
 
 def _rules() -> dict[str, Column]:
@@ -122,22 +123,31 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row ``doc_id``, :data:`COUNTS`, ``base_failed``, ``p_good`` and ``kept``: the base rules passed and the
-    posterior at least one half."""
+def _judge(counted: DataFrame, learnt_from: DataFrame) -> DataFrame:
+    """``counted`` with ``base_failed``, ``p_good`` and ``kept``, the rules' worth estimated over ``learnt_from``."""
     rules = _rules()
-    code = sum(vote * 3**place for place, vote in enumerate(rules.values()))
-    counted = cut(signals(docs, doc_id, text)).withColumn("pattern", code.cast("int"))
-    found = counted.groupBy("pattern").count().toPandas()  # 3 ** len(rules) rows at most
+    pattern = sum(vote * 3**place for place, vote in enumerate(rules.values())).cast("int")
+    found = learnt_from.groupBy(pattern.alias("pattern")).count().toPandas()  # 3 ** len(rules) rows at most
+    p_good = F.lit(None).cast("double")
     if len(found):
         votes = found["pattern"].to_numpy()[:, None] // 3 ** np.arange(len(rules)) % 3
         belief = posteriors(votes, found["count"].to_numpy(float))
         known = F.create_map(*[F.lit(x) for pair in zip(found["pattern"].tolist(), belief.tolist()) for x in pair])
-        p_good = F.element_at(known, F.col("pattern"))
-    else:
-        p_good = F.lit(None).cast("double")
-    return (
-        counted.withColumn("base_failed", base_failed()).withColumn("p_good", p_good)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
-        .drop("pattern")
-    )
+        p_good = F.element_at(known, pattern)
+    return counted.withColumns({"base_failed": base_failed(), "p_good": p_good}).withColumn(
+        "kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
+
+
+def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row ``doc_id``, :data:`COUNTS`, ``base_failed``, ``p_good`` and ``kept``: the base rules passed and the
+    posterior at least one half."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    counted = cut(signals(rows).drop("text"))
+    return _judge(counted, counted)
+
+
+def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns. Texts are read twice and stay where they are."""
+    votes = signals(docs.select(F.col(text).alias("text"))).drop("text")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    return _judge(signals(whole), votes).where("kept").select("row.*")

@@ -25,8 +25,9 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from wardline.llm.shared import cut, tasks
 from wardline.llm.words import mixed
@@ -52,16 +53,16 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fingerprint`` (a signed long) for every row."""
+def fingerprinted(docs: DataFrame, shingle: int = 4, text: str = "text") -> DataFrame:
+    """``docs`` with ``fingerprint`` (a signed long), in place of a column of that name."""
+    docs = docs.drop("fingerprint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch["text"]), np.uint64, len(batch))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found.view(np.int64))], ["doc_id", "fingerprint"])
+            found = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch[text]), np.uint64, len(batch))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, "fingerprint"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fingerprint long")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("fingerprint", LongType())]))
 
 
 def _positions(bits: int) -> list[tuple[int, ...]]:
@@ -185,14 +186,35 @@ def labels(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
+def _rooted(known: DataFrame, bits: int) -> DataFrame:
+    """``known`` (``fingerprint`` and more, a row each) with the ``root`` of its component."""
+    roots = cut(labels(links(known, bits)))
+    return known.join(roots, F.col("fingerprint") == F.col("node"), "left").withColumn(
+        "root", F.coalesce("root", "fingerprint")).drop("node")
+
+
 def components(docs: DataFrame, shingle: int = 4, bits: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row ``doc_id, fingerprint, component_id``: the smallest id that links of at most ``bits`` differing bits
     reach, the row's own included."""
-    rows = cut(fingerprints(docs, shingle, doc_id, text))
-    known = cut(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
-    roots = cut(labels(links(known, bits)))
-    rooted = known.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
-        "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = cut(fingerprinted(rows, shingle).drop("text"))
+    rooted = cut(_rooted(cut(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))), bits))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(rooted.join(ids, "root").select("fingerprint", "component_id"))
     return rows.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, bits: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their columns, that are the first of their component: the one of least id, or among
+    rows of that id one, whichever hashes least. Texts are read twice and moved once, by fingerprint and id."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")
+    known = fingerprinted(rows, shingle).groupBy("fingerprint").agg(F.min(order).alias("least"))
+    rooted = cut(_rooted(cut(known), bits))
+    firsts = rooted.groupBy("root").agg(F.min(F.struct("least", "fingerprint")).alias("first"))
+    firsts = firsts.select(F.col("first.fingerprint").alias("_fingerprint"), F.col("first.least.doc_id").alias("_id"))
+    whole = fingerprinted(docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text")), shingle).drop("text")
+    held = whole.withColumn("_own", F.col(f"row.{doc_id}"))
+    kept = held.join(firsts, (F.col("fingerprint") == F.col("_fingerprint")) & F.col("_own").eqNullSafe(F.col("_id")))
+    among = Window.partitionBy("fingerprint", "_own").orderBy(F.xxhash64("row"))
+    return kept.withColumn("_nth", F.row_number().over(among)).where("_nth = 1").select("row.*")
