@@ -1,0 +1,102 @@
+from itertools import product
+from zlib import crc32
+
+import numpy as np
+import public_tokenizers
+import pytest
+from awkward import docs, empty, rows
+from tokenizers import Tokenizer
+
+from conftest import SMALL
+from wardline.llm import packing, queries
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+def ids_of(text):
+    return np.array([*Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+
+
+def check(found, pairs, capacity=4096):
+    """Pieces are those of the documents, sequences hold them gaplessly and not too many tokens."""
+    want = []
+    for number, text in pairs:
+        ids = ids_of(text)
+        want += [(number, piece, start, len(ids[start:start + capacity]), crc32(ids[start:start + capacity].tobytes()))
+                 for piece, start in enumerate(range(0, len(ids), capacity))]
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found), key=repr) == sorted(want, key=repr)
+    sequences = {}
+    for r in found:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for held in sequences.values():
+        ends = [offset + length for offset, length in sorted(held)]
+        assert [offset for offset, _ in sorted(held)] == [0, *ends[:-1]] and ends[-1] <= capacity
+    return len(sequences)
+
+
+def test_awkward_rows(spark):
+    pairs = [row[:2] for row in rows()]
+    assert check(packing.pack_documents(docs(spark), PATH).collect(), pairs) >= 2
+    check(packing.pack_documents(docs(spark), PATH, capacity=16).collect(), pairs, 16)
+
+
+def test_empty_table(spark):
+    assert packing.pack_documents(empty(spark), PATH).collect() == []
+
+
+@pytest.mark.parametrize("text", [
+    "", "  \t", "a<|endoftext|>b  don't I'LL \x0b\x1c\x85 x", "Σας ΟΔΟΣ é é 12345 ½ 中文 😀👍\t\n\rabc",
+    "<|startoftext|> hi <|endoftext|>", "ﬁ İstanbul ǅ 　 wide", "'s 're x's " + "long" * 3000])
+def test_words_encode_like_the_text(text):
+    assert packing._encoder(PATH)([text])[0] + (1).to_bytes(4, "little") == ids_of(text).tobytes()
+
+
+def test_kept_words_are_forgotten_without_harm():
+    texts = [f"alpha{i} beta{i % 7} gamma" for i in range(60)]
+    small = packing._encoder.__wrapped__(PATH, kept=20)
+    assert [small([t])[0] for t in texts] == packing._encoder(PATH)(texts)
+
+
+def optimum(lengths, capacity):
+    best = len(lengths)
+    for bins in product(range(len(lengths)), repeat=len(lengths)):
+        if max(np.bincount(bins, lengths)) <= capacity:
+            best = min(best, len(set(bins)))
+    return best
+
+
+def test_bound_holds_and_best_fit_is_a_packing():
+    draw = np.random.default_rng(2)
+    for _ in range(25):
+        lengths = draw.integers(1, 20, 6)
+        bound, best = packing.lower_bound(lengths, 20), optimum(lengths, 20)
+        place, offset, room = packing.best_fit(lengths, 20)
+        assert bound <= best <= len(room)
+        assert (np.bincount(place, lengths) + room == 20).all() and (offset + lengths <= 20).all()
+
+
+def test_bound_sees_more_than_the_sum():
+    assert packing.lower_bound(np.full(9, 11), 20) == 9
+    assert packing.lower_bound(np.full(9, 7), 20) == 5
+
+
+def test_partitions_with_gaps_exchange(spark):
+    draw = np.random.default_rng(4)
+    lengths = draw.choice([3, 5, 7, 11, 13], 3000)
+    items = spark.createDataFrame(list(enumerate(map(int, lengths))), "row long, length long")
+    one = {r.sequence_id for r in packing.pack(items, 32, size=60, rounds=1).collect()}
+    found = packing.pack(items, 32, size=60).collect()
+    assert len(found) == 3000 and len({r.row for r in found}) == 3000
+    several = {r.sequence_id for r in found}
+    assert packing.lower_bound(lengths, 32) <= len(several) <= len(one)
+    held = {}
+    for r in found:
+        held.setdefault(r.sequence_id, []).append((r.offset, int(lengths[r.row])))
+    assert all([o for o, _ in sorted(x)] == [0, *np.cumsum([n for _, n in sorted(x)])[:-1]] for x in held.values())
+
+
+def test_query(spark):
+    pairs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    found = queries.op5_pack_sequences(spark, SMALL).collect()
+    total = check(found, pairs)
+    assert total <= -(-sum(r.length for r in found) // 4096) + 1

@@ -106,11 +106,16 @@ class BallTree:
                 continue
             rows = slice(self.start[node], self.end[node])
             scores = self.points[rows] @ query
-            for at in np.flatnonzero(scores >= kth):
-                score, number = int(scores[at]), int(self.ids[rows][at])
-                if number == own or any(-held == number for _, held in best):
+            for place in np.flatnonzero(scores >= kth):
+                score, number = int(scores[place]), int(self.ids[rows][place])
+                if number == own:
                     continue
-                heapq.heappush(best, (score, -number))
+                same = next((at for at, (_, held) in enumerate(best) if -held == number), None)
+                if same is not None:  # another row of this id
+                    best[same] = max(best[same], (score, -number))
+                    heapq.heapify(best)
+                else:
+                    heapq.heappush(best, (score, -number))
                 if len(best) > k:
                     heapq.heappop(best)
                 if len(best) == k:
