@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,6 +207,43 @@ def test_combined_with_missing_values_and_one_dense_key(spark, silver, payments,
     assert same_as_literal(alerts, fraud, insider)
 
 
+@pytest.mark.parametrize("far", [1e9, 1e17, -1e17, float("nan"), float("inf")])
+def test_amounts_outside_the_band_leave_no_trace(silver, payments, activity, far):
+    alerts = silver([("a", STL, T + 2 * HOUR)])
+    fraud = payments([("a", far, T + at) for at in (0, HOUR // 2, 4 * HOUR)] + [("a", 0.1, T + 2 * HOUR)])
+    row = gold.combined_threat_analytics(alerts, fraud, activity([])).head()
+    assert (row.alert_count, row.total_amount_affected, row.avg_transaction_amount) == (1, 0.1, 0.1)
+
+
+def test_any_type_of_activity_counts(silver, payments, activity):
+    alerts, insider = silver([("a", STL, T)]), activity([("a", "LOGIN", T), ("a", "PRIV_ESC", T + 1), ("a", "LOGIN", T + 2)])
+    row = gold.combined_threat_analytics(alerts, payments([]), insider).head()
+    assert (row.alert_count, row.actors_involved, row.event_types) == (3, 1, ["LOGIN", "PRIV_ESC"])
+    assert same_as_literal(alerts, payments([]), insider)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_combined_equals_joined_rows_at_random(silver, payments, activity, seed):
+    draw = random.Random(seed)
+
+    def at():
+        return T + draw.choice([0, 1, 3599, 3600, 7198, 7199, 7200, 14398]) * 1000 + draw.randint(0, 8) * 1000
+
+    alerts = silver([(draw.choice("ab"), draw.choice([STL, EXFIL]), at()) for _ in range(40)])
+    fraud = payments([(draw.choice("ab"), draw.choice([1.5, 2.25, None]), at()) for _ in range(40)])
+    insider = activity([(draw.choice("ab"), draw.choice(["PRIV_ESC", "EXT_SHARE", "X"]), at()) for _ in range(30)])
+    assert same_as_literal(alerts, fraud, insider)
+
+
+def test_combined_shuffles_four_times(spark):
+    source = adapters.read_table(spark, SMALL)
+    events = adapters.domain_events(source)
+    alerts = alert_plans.silver_alerts(with_event_time(adapters.alert_feed(source)))
+    table = gold.combined_threat_analytics(alerts, event_plans.features_fraud(events), event_plans.features_insider(events))
+    plan = table._jdf.queryExecution().toString()
+    assert plan[plan.index("== Physical Plan =="):].count("Exchange hashpartitioning") <= 4
+
+
 AS_OF = "2024-01-10 10:20:00"
 
 

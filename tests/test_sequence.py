@@ -1,4 +1,4 @@
-"""Batch sequence matching: hand-made cases, a plain-Python model, and the split of hot keys."""
+"""Batch sequence matching: hand-made cases, a plain-Python model, and a key that holds most rows."""
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -47,10 +47,10 @@ PAIR_CASES = {
 
 
 @pytest.mark.parametrize("case", PAIR_CASES)
-@pytest.mark.parametrize("hot_rows", [None, 0])
-def test_pair(events, case, hot_rows):
+@pytest.mark.parametrize("spans", [1, 8])
+def test_pair(events, case, spans):
     rows, expected = PAIR_CASES[case]
-    assert len(matched(events(rows), PAIR, hot_rows=hot_rows, probe_one_in=1)) == expected
+    assert len(matched(events(rows), PAIR, bucket_spans=spans)) == expected
 
 
 def test_alert_carries_key_rule_and_last_time(events):
@@ -79,10 +79,10 @@ TRIPLE_CASES = {
 
 
 @pytest.mark.parametrize("case", TRIPLE_CASES)
-@pytest.mark.parametrize("hot_rows", [None, 0])
-def test_triple(events, case, hot_rows):
+@pytest.mark.parametrize("spans", [1, 8])
+def test_triple(events, case, spans):
     rows, expected = TRIPLE_CASES[case]
-    got = matched(events(rows), insider_exfil(), hot_rows=hot_rows, probe_one_in=1)
+    got = matched(events(rows), insider_exfil(), bucket_spans=spans)
     assert len(got) == expected
     assert all(alert[:2] == ("u", "INSIDER_EXFIL") for alert in got)
 
@@ -147,24 +147,32 @@ def test_against_model(events, mix, drawn):
     rows = [(i, key, kind, 0.0, T + 1000 * sec) for i, (key, kind, sec) in enumerate(drawn)]
     rule = MIXES[mix]
     expected = model(rows, rule)
-    for options in ({"hot_rows": None}, {"hot_rows": 5, "probe_one_in": 1}):
-        found = match_sequence(events(rows), rule, **options).select("id", "ts", "first_ts", "first_seq")
+    for spans in (1, 3):
+        found = match_sequence(events(rows), rule, spans).select("id", "ts", "first_ts", "first_seq")
         assert sorted(tuple(r) for r in found.collect()) == expected
 
 
 @pytest.mark.parametrize("mix", MIXES)
-def test_hot_key_in_ranges(spark, mix):
-    """One key with nearly all rows, most of them at one moment, equals the unsplit result."""
-    frame = spark.range(20_000).select(
+def test_hot_key_in_buckets(spark, mix):
+    """One key with nearly all rows, most of them at one moment, against the plain model."""
+    frame = spark.range(3_000).select(
         F.col("id").alias("seq"),
         F.when(F.col("id") % 50 == 0, F.lit("rare")).otherwise("hot").alias("cardId"),
         F.element_at(F.array(*[F.lit(c) for c in "aabcx"]), (F.pmod(F.xxhash64("id"), F.lit(5)) + 1).cast("int")).alias("type"),
-        (F.lit(T) + F.when(F.col("id") < 12_000, 0).otherwise((F.col("id") % 997) * 100)).alias("ts"),
+        F.lit(0.0).alias("amount"),
+        (F.lit(T) + F.when(F.col("id") < 1_800, 0).otherwise((F.col("id") % 997) * 100)).alias("ts"),
     )
-    whole = match_sequence(frame, MIXES[mix], hot_rows=None)
-    split = match_sequence(frame, MIXES[mix], hot_rows=3_000, probe_one_in=8)
-    assert whole.count() > 100
-    assert whole.exceptAll(split).isEmpty() and split.exceptAll(whole).isEmpty()
+    found = match_sequence(frame, MIXES[mix], 1).select("id", "ts", "first_ts", "first_seq")
+    expected = model([tuple(r) for r in frame.collect()], MIXES[mix])
+    assert len(expected) > 10 and sorted(tuple(r) for r in found.collect()) == expected
+
+
+def test_building_runs_no_job(spark, events):
+    frame = events(PAIR_CASES["plain match"][0])
+    status = spark.sparkContext.statusTracker()
+    before = status.getJobIdsForGroup(None)
+    match_sequence(frame, PAIR)
+    assert status.getJobIdsForGroup(None) == before
 
 
 def test_ordinary_keys_need_one_shuffle(events):

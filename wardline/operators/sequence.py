@@ -8,28 +8,25 @@ key and ``ts``, it decides between events of the same millisecond.
 
 Physical shape
 --------------
-Step predicates become booleans before the shuffle, so only the key, ``ts``, ``seq`` and one boolean
-per step travel. Ordinary keys take one hash shuffle on the key and one sorted window pass, all
-JVM-side. A key with more than ``hot_rows`` events never lands in one task: its rows are
-range-partitioned on ``(key, ts, seq)``, each range is scanned on its own, and sequences cut by the
-end of a range are completed from a small table with one row per range and key.
+One lazy plan: step predicates become booleans before the shuffle, so only the key, ``ts``, ``seq`` and
+one boolean per step travel, in one hash shuffle on the key and a time bucket, to one sorted window pass,
+all JVM-side. A bucket sees its own events and those up to ``within`` past its end, which is all that a
+match starting in it can need; the others of its key are other groups. So no group holds more than one
+key's events of ``bucket_spans + 1`` times ``within``, in a sort that spills, and a row is copied
+``1 / bucket_spans`` times on average.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.functions.times import millis
+from wardline.functions.times import millis, own_bucket, visible_buckets
 from wardline.schemas import INSIDER_EXFIL, INSIDER_TYPES, SMALL_THEN_LARGE, TXN
-from wardline.session import shared_root, shuffle_width
 
-HOT_ROWS = 4_000_000
-PROBE_ONE_IN = 1024
-BROADCAST_ROWS = 1_000_000
+BUCKET_SPANS = 8
 
 
 @dataclass(frozen=True)
@@ -101,43 +98,28 @@ def rule_for_mode(mode: str) -> SequenceRule:
     return small_then_large() if mode == "fraud" else insider_exfil()
 
 
-def match_sequence(
-    events: DataFrame,
-    rule: SequenceRule,
-    hot_rows: int | None = HOT_ROWS,
-    probe_one_in: int = PROBE_ONE_IN,
-) -> DataFrame:
+def match_sequence(events: DataFrame, rule: SequenceRule, bucket_spans: int = BUCKET_SPANS) -> DataFrame:
     """All matches: ``id`` (the key), ``rule``, ``ts`` of the last event, ``first_ts``, ``first_seq``.
 
-    Looks for hot keys first, which is a job of its own over ``(key, ts, seq)``; ``hot_rows=None``
-    leaves that out for keys known to be small.
+    Events without ``ts`` have no place in the order and take no part.
     """
-    rows = step_flags(events, rule)
-    if rule.only_skips:
-        # Rows matching no step can neither extend nor break such a sequence.
-        rows = rows.where(" OR ".join(_flags(rule)))
-    if hot_rows is None:
-        matches = _match_whole_keys(rows, rule)
-    else:
-        shared_root(events.sparkSession)
-        hot = _hot_keys(rows, hot_rows, probe_one_in).checkpoint()
-        hot_keys = hot.count()
-        if hot_keys == 0:
-            matches = _match_whole_keys(rows, rule)
-        else:
-            is_hot = rows["id"].eqNullSafe(hot["hot_id"])
-            side = _broadcast_if_small(hot, hot_keys)
-            usual = rows.join(side, is_hot, "left_anti")
-            heavy = rows.join(side, is_hot, "left_semi")
-            matches = _match_whole_keys(usual, rule).unionByName(_match_ranges(heavy, rule, hot_keys))
-    return matches.select(
-        "id", F.lit(rule.rule).alias("rule"), F.col("end_ts").alias("ts"), "first_ts", "first_seq"
+    rows = spread_over_buckets(step_flags(events, rule), rule, bucket_spans)
+    begun = _scan(rows, rule).where("is_step0").where(F.col("end1") < F.col("ts") + F.lit(rule.within_ms))
+    return begun.select(
+        "id", F.lit(rule.rule).alias("rule"), F.col("end1").alias("ts"), F.col("ts").alias("first_ts"),
+        F.col("seq").alias("first_seq"),
     )
 
 
-def _broadcast_if_small(rows: DataFrame, at_most: int) -> DataFrame:
-    """Broadcast a side known to hold ``at_most`` rows, if those are few; else let the planner choose."""
-    return F.broadcast(rows) if at_most <= BROADCAST_ROWS else rows
+def spread_over_buckets(rows: DataFrame, rule: SequenceRule, bucket_spans: int) -> DataFrame:
+    """Each row once per ``bucket`` that sees it; it can begin a match in its own bucket only."""
+    width = rule.within_ms * bucket_spans
+    if rule.only_skips:
+        # Rows matching no step can neither extend nor break such a sequence.
+        rows = rows.where(" OR ".join(_flags(rule)))
+    return rows.withColumn(
+        "bucket", F.explode(visible_buckets(F.col("ts"), width, ahead=rule.within_ms))
+    ).withColumn("is_step0", F.col("is_step0") & (own_bucket(F.col("ts"), width) == F.col("bucket")))
 
 
 def step_flags(events: DataFrame, rule: SequenceRule, *keep: str) -> DataFrame:
@@ -153,135 +135,26 @@ def _flags(rule: SequenceRule) -> list[str]:
     return [f"is_step{i}" for i in range(len(rule.steps))]
 
 
-def _hot_keys(rows: DataFrame, hot_rows: int, probe_one_in: int) -> DataFrame:
-    """Keys that seem to hold more than ``hot_rows`` rows: about ``rows / hot_rows`` of them at most.
+def _scan(rows: DataFrame, rule: SequenceRule) -> DataFrame:
+    """``end{j}``: when a sequence ends that needs step ``j`` next, from just after each row; NULL if it
+    has no end among the rows at hand.
 
-    The estimate reads the rows whose content hash falls in one of ``probe_one_in`` classes. It only
-    decides which of two exact ways a key takes, so an error costs time and never a match; hashing
-    the content gives the same answer each time the probe is evaluated.
+    Works from the last step to the first over rows in descending order, where "the next row" and "the
+    nearest later row of step j" are a lag and a running last value, so one sort serves all steps.
     """
-    probed = rows.where(F.pmod(F.xxhash64("id", "ts", "seq"), F.lit(probe_one_in)) == 0)
-    return (
-        probed.groupBy(F.col("id").alias("hot_id"))
-        .count()
-        .where(F.col("count") * probe_one_in > hot_rows)
-        .select("hot_id")
-    )
-
-
-def _backward(group: list[str]):
-    return Window.partitionBy(*group).orderBy(F.col("ts").desc(), F.col("seq").desc())
-
-
-def _scan(rows: DataFrame, rule: SequenceRule, group: list[str]) -> DataFrame:
-    """How a sequence goes on that needs step ``j`` next, from just after each row.
-
-    ``end{j}`` is the time it ends; ``wait{j}`` the step it still waits for when the rows at hand run
-    out; both NULL means it has failed. Works from the last step to the first over rows in descending
-    order, where "the next row" and "the nearest later row of step j" are a lag and a running last
-    value, so one sort serves all steps.
-    """
-    backward = _backward(group)
+    backward = Window.partitionBy("id", "bucket").orderBy(F.col("ts").desc(), F.col("seq").desc())
     later = backward.rowsBetween(Window.unboundedPreceding, -1)
-    end, wait = F.col("ts"), F.lit(None).cast("int")
+    end = F.col("ts")
     for j, flag in reversed(list(enumerate(_flags(rule)))[1:]):
         if rule.steps[j].skip:
-            hit = F.last(
-                F.when(F.col(flag), F.struct(end.alias("end"), wait.alias("wait"))), ignorenulls=True
-            ).over(later)
-            next_end = hit["end"]
-            next_wait = F.when(hit.isNull(), F.lit(j)).otherwise(hit["wait"])
+            hit = F.last(F.when(F.col(flag), F.struct(end.alias("end"))), ignorenulls=True).over(later)["end"]
         else:
-            hit = F.lag(flag).over(backward)
-            next_end = F.when(hit, F.lag(end).over(backward))
-            next_wait = F.when(hit.isNull(), F.lit(j)).when(hit, F.lag(wait).over(backward))
-        rows = rows.withColumns({f"end{j}": next_end, f"wait{j}": next_wait})
-        end, wait = F.col(f"end{j}"), F.col(f"wait{j}")
+            hit = F.when(F.lag(flag).over(backward), F.lag(end).over(backward))
+        rows = rows.withColumn(f"end{j}", hit)
+        end = F.col(f"end{j}")
     return rows
 
 
-def _entries(rule: SequenceRule) -> list[Column]:
-    """The same outcomes as ``_scan``, for a sequence that needs step ``j`` from this row on."""
-    flags, last = _flags(rule), len(rule.steps) - 1
-    columns = []
-    for j in range(1, last + 1):
-        end = F.col("ts") if j == last else F.col(f"end{j + 1}")
-        wait = F.lit(None).cast("int") if j == last else F.col(f"wait{j + 1}")
-        end, wait = F.when(F.col(flags[j]), end), F.when(F.col(flags[j]), wait)
-        if rule.steps[j].skip:
-            end, wait = end.otherwise(F.col(f"end{j}")), wait.otherwise(F.col(f"wait{j}"))
-        columns += [end.alias(f"entry_end{j}"), wait.alias(f"entry_wait{j}")]
-    return columns
-
-
-def _match_whole_keys(rows: DataFrame, rule: SequenceRule) -> DataFrame:
-    """One task sees all rows of a key, so whatever still waits at the end has no match."""
-    return _in_time(
-        _scan(rows, rule, ["id"]).where("is_step0").withColumn("end_ts", F.col("end1")), rule
-    )
-
-
-def _match_ranges(rows: DataFrame, rule: SequenceRule, keys: int) -> DataFrame:
-    """The same matches with each of the ``keys`` keys spread over ranges of ``(ts, seq)``."""
-    width = shuffle_width(rows.sparkSession)
-    ranges = rows.repartitionByRange(width, "id", "ts", "seq").withColumn(
-        "part", F.spark_partition_id())
-    # Written once and read twice below: range bounds come from a sample, so a second evaluation
-    # could cut the ranges elsewhere. Holds the begun sequences and one row per range and key.
-    scanned = (
-        _scan(ranges, rule, ["id", "part"])
-        .withColumn("opens_part", F.lead("ts").over(_backward(["id", "part"])).isNull())
-        .where("opens_part OR (is_step0 AND (end1 IS NOT NULL OR wait1 IS NOT NULL))")
-        .select("id", "part", "ts", "seq", "is_step0", "end1", "wait1", "opens_part", *_entries(rule))
-        .checkpoint()
-    )
-    continued = (
-        scanned.where("opens_part")
-        .drop("ts", "seq", "is_step0", "end1", "wait1", "opens_part")
-        .groupBy("id")
-        .applyInPandas(_continuations(len(rule.steps)), "id string, part int, wait int, end long")
-        .toDF("c_id", "c_part", "c_wait", "c_end")
-    )
-    # A range boundary cuts one key at most, so keys and ranges meet in less than keys + width pairs.
-    resolved = scanned.where("is_step0").join(
-        _broadcast_if_small(continued, (keys + width) * (len(rule.steps) - 1)),
-        F.col("id").eqNullSafe(F.col("c_id"))
-        & (F.col("part") == F.col("c_part"))
-        & (F.col("wait1") == F.col("c_wait")),
-        "left",
-    )
-    return _in_time(
-        resolved.withColumn("end_ts", F.coalesce("end1", "c_end")), rule
-    )
-
-
-def _continuations(steps: int):
-    """Per key (one row per range), where a sequence that still waits at the end of a range ends."""
-
-    def resolve(entries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        reached = dict.fromkeys(range(1, steps))
-        for row in entries.sort_values("part", ascending=False).to_dict("records"):
-            out += [
-                (row["id"], row["part"], wait, end)
-                for wait, end in reached.items() if end is not None
-            ]
-            before = {}
-            for j in reached:
-                end, wait = row[f"entry_end{j}"], row[f"entry_wait{j}"]
-                before[j] = int(end) if pd.notna(end) else reached.get(wait)
-            reached = before
-        return pd.DataFrame(out, columns=["id", "part", "wait", "end"])
-
-    return resolve
-
-
-def _in_time(starts: DataFrame, rule: SequenceRule) -> DataFrame:
-    return starts.where(F.col("end_ts") < F.col("ts") + F.lit(rule.within_ms)).select(
-        "id", "end_ts", F.col("ts").alias("first_ts"), F.col("seq").alias("first_seq")
-    )
-
-
 def to_alerts(matches: DataFrame) -> DataFrame:
     """A match as an alert: ``id, rule, ts``."""
     return matches.select("id", "rule", "ts")

@@ -14,9 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import ladders
-from wardline.functions.times import iso_date, millis, own_bucket, visible_buckets
-from wardline.operators.bandjoin import BAND, BUCKET_BANDS, band_join, whole_seconds
-from wardline.schemas import INSIDER_TYPES
+from wardline.functions.times import iso_date, millis
+from wardline.operators.bandjoin import BAND, band_join, whole_seconds
 
 DASHBOARD_WINDOW = "5 minutes"
 DAY = "1 day"
@@ -29,7 +28,7 @@ def entity_totals(
     sets: tuple[str, ...] = (),
 ) -> DataFrame:
     """Per ``keys``: the number of distinct ``id`` as ``entities``, every measure, and the sorted set of
-    values of every column in ``sets`` (columns with few values).
+    values of every column in ``sets`` (columns with few values, or arrays of them).
 
     A measure is a pair: its aggregate per entity, and the function that combines entities. The sets
     take part as facets of their own, that is each row also counts once under (no id, its value), which
@@ -41,14 +40,18 @@ def entity_totals(
     if sets:
         facet = ["facet", *texts]
 
-        def one(number: int, kept: str) -> Column:
+        def one(number: int, kept: str, value: Column) -> Column:
             return F.struct(F.lit(number).alias("facet"), *[
-                (F.col(name) if name == kept else F.lit(None).cast("string")).alias(name)
-                for name in texts
+                (value if name == kept else F.lit(None).cast("string")).alias(name) for name in texts
             ])
 
+        def several(number: int, name: str) -> Column:
+            if rows.schema[name].dataType.typeName() == "array":
+                return F.transform(name, lambda value: one(number, name, value))
+            return F.array(one(number, name, F.col(name)))
+
         rest = [name for name in rows.columns if name not in texts]
-        facets = F.array(*[one(number, name) for number, name in enumerate(texts)])
+        facets = F.concat(*[several(number, name) for number, name in enumerate(texts)])
         rows = rows.withColumn("facets", F.explode_outer(facets)).select(*rest, "facets.*")
     per_entity = rows.groupBy(*keys, *facet).agg(
         *[column.alias(name) for name, (column, _) in measures.items()]
@@ -251,85 +254,80 @@ def combined_threat_analytics(
     """Alerts per day, type and severity with the payments and activity of the same entity around them.
 
     The figures are those of ``alerts ⟕ payments ⟕ activity`` on the time band, so an alert with p
-    payments and a activities counts p × a times (at least once). The pairs themselves are never
-    formed: both sides shrink to one row per entity and second, and running totals over those in the
-    band give an alert's counts and sums. Entities are split into time buckets, so no group holds
-    more rows than a bucket has seconds.
+    payments and a activities counts p × a times (at least once). The pairs themselves are never formed.
+    Alerts, payments and activities shrink to one row per entity, second and what else they carry, in one
+    aggregate. Time is cut into blocks as long as a band, so an alert's band is the end of one block and
+    the beginning of the next. A group is an entity and two such neighbours; a total that grows from the
+    end of the first block backwards and one that grows from the beginning of the second give an alert
+    its counts and sums. They only ever add what lies in the band: nothing is subtracted, so amounts
+    outside it, however large or not finite, leave no trace. A group holds no more rows than two blocks
+    have seconds, times the kinds of rows.
     """
-    seconds = millis(band) // 1000
-    width = seconds * BUCKET_BANDS
+    reach = millis(band) // 1000 - 1
+    length = 2 * reach + 1
     dims = ["date", "alert_type", "severity"]
+    totals = ["payments", "paid", "amounts", "activities"]
+
+    # One aggregate over all three kinds: 0 payments, 1 activities, 2 alerts.
+    nothing = F.lit(None).cast("string")
+    columns = {"type": nothing, "rule": nothing, **dict.fromkeys(dims, nothing), "amount": F.lit(None).cast("double")}
 
-    alert_rows = (
-        silver.select(
-            "id", "alert_type", "severity", "rule",
-            iso_date(F.col("event_time")).alias("date"),
-            whole_seconds(F.col("event_time")).alias("at"),
+    def rows(frame: DataFrame, kind: int, key: str, **own: Column) -> DataFrame:
+        return frame.select(
+            F.lit(kind).alias("kind"), F.col(key).alias("id"), whole_seconds(F.col("event_time")).alias("at"),
+            *[value.alias(name) for name, value in (columns | own).items()],
         )
-        .groupBy("id", *dims, "rule", "at")
-        .agg(F.count("*").alias("copies"))
-    )
-    amount = F.col("amount")
-    no_type = {kind: F.lit(0) for kind in INSIDER_TYPES}
-    payments = _per_second(fraud, "cardId", {
-        "payments": F.count("*"), "paid": F.sum(amount), "amounts": F.count(amount)})
-    activity = _per_second(insider.where(F.col("type").isin(*INSIDER_TYPES)), "actor", {
-        "activities": F.count("*"),
-        **{kind: F.count_if(F.col("type") == kind) for kind in INSIDER_TYPES}})
-    measures = ["payments", "paid", "amounts", "activities", *no_type]
-
-    # A payment or activity counts for the alerts from ``seconds - 1`` before it to as much after it:
-    # it enters the running totals at the first of these seconds and leaves them after the last.
-    points = (
-        payments.unionByName(activity, allowMissingColumns=True)
-        .withColumn("bucket", F.explode_outer(visible_buckets(F.col("at"), width, seconds, seconds)))
-        .withColumn("marks", F.array(
-            _mark(F.col("at") - (seconds - 1), 1), _mark(F.col("at") + seconds, -1)))
+
+    paid = rows(fraud, 0, "cardId", amount=F.col("amount"))
+    acted = rows(insider, 1, "actor", type=F.col("type"))
+    points = paid.union(acted).where(F.col("id").isNotNull() & F.col("at").isNotNull())
+    probes = rows(
+        silver, 2, "id", rule=F.col("rule"), date=iso_date(F.col("event_time")),
+        alert_type=F.col("alert_type"), severity=F.col("severity"),
     )
-    probes = alert_rows.withColumns({
-        "bucket": own_bucket(F.col("at"), width), "marks": F.array(_mark(F.col("at"), 0))})
-    # Repartitioned before a point becomes two rows, so that it travels once.
-    marked = (
-        points.unionByName(probes, allowMissingColumns=True)
-        .repartition("id", "bucket")
-        .withColumn("mark", F.explode_outer("marks"))
-        .select("*", "mark.second", "mark.sign")
-        .drop("marks", "mark")
+    merged = points.union(probes).groupBy("kind", "id", "at", "type", "rule", *dims).agg(
+        F.count("*").alias("copies"), F.sum("amount").alias("paid"), F.count("amount").alias("amounts"))
+
+    # An alert's band begins in the block that names its group; a point stands in the first block of one
+    # group and in the second of the group before.
+    is_alert = F.col("kind") == 2
+    block = F.floor(F.when(is_alert, F.col("at") - reach).otherwise(F.col("at")) / F.lit(length))
+    sides = F.when(is_alert, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    grouped = (
+        merged.withColumns({"block": block, "side": F.explode(sides)})
+        .withColumn("block", F.col("block") - F.col("side"))
+        .withColumn("payments", F.when(F.col("kind") == 0, F.col("copies")))
+        .withColumn("activities", F.when(F.col("kind") == 1, F.col("copies")))
     )
-    so_far = (
-        Window.partitionBy("id", "bucket")
-        .orderBy("second", F.col("sign") == 0)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = Window.partitionBy("id", "block")
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    first = F.when(is_alert, F.col("at") - reach).otherwise(F.col("at"))
+    last = F.when(is_alert, F.col("at") + reach).otherwise(F.col("at"))
+    halves = [same.orderBy(first.desc(), "kind").rowsBetween(*so_far), same.orderBy(last, "kind").rowsBetween(*so_far)]
+
+    def on_side(side: int, value: Column) -> Column:
+        return F.when(~is_alert & (F.col("side") == side), value)
+
+    sums = {
+        name: sum(F.coalesce(F.sum(on_side(side, F.col(name))).over(half), F.lit(0)) for side, half in enumerate(halves))
+        for name in totals
+    }
+    types = F.array_union(*[F.collect_set(on_side(side, F.col("type"))).over(half) for side, half in enumerate(halves)])
+    alert = F.struct("kind", "id", *dims, "rule", F.col("copies").alias("alerts"))
+    per_alert = (
+        grouped.select(alert.alias("alert"), types.alias("type"), *[value.alias(name) for name, value in sums.items()])
+        .where("alert.kind = 2").select("alert.*", "type", *totals)
     )
-    per_alert = marked.withColumns({
-        m: F.coalesce(F.sum(F.col(m) * F.col("sign")).over(so_far), F.lit(0)) for m in measures
-    }).where("sign = 0")
 
-    payment_copies = F.greatest("payments", F.lit(1))
-    repeated = F.col("copies") * F.greatest("activities", F.lit(1))
+    repeated = F.col("alerts") * F.greatest("activities", F.lit(1))
     measures = {
-        "alert_count": (F.sum(repeated * payment_copies), F.sum),
+        "alert_count": (F.sum(repeated * F.greatest("payments", F.lit(1))), F.sum),
         "paid": (F.sum(F.when(F.col("amounts") > 0, F.col("paid") * repeated)), F.sum),
         "amounts": (F.sum(F.col("amounts") * repeated), F.sum),
         "cards_involved": (F.max((F.col("payments") > 0).cast("int")), F.sum),
         "actors_involved": (F.max((F.col("activities") > 0).cast("int")), F.sum),
-        **{kind: (F.max(kind), F.max) for kind in INSIDER_TYPES},
     }
-    seen = [F.when(F.col(kind) > 0, F.lit(kind)) for kind in sorted(INSIDER_TYPES)]
-    grouped = entity_totals(per_alert, dims, measures, ("rule",))
-    return threat_columns(grouped.withColumn("types", F.array_compact(F.array(*seen))))
-
-
-def _mark(second: Column, sign: int) -> Column:
-    return F.struct(second.alias("second"), F.lit(sign).alias("sign"))
-
-
-def _per_second(rows: DataFrame, key: str, measures: dict[str, Column]) -> DataFrame:
-    return (
-        rows.where(F.col(key).isNotNull() & F.col("event_time").isNotNull())
-        .groupBy(F.col(key).alias("id"), whole_seconds(F.col("event_time")).alias("at"))
-        .agg(*[measure.alias(name) for name, measure in measures.items()])
-    )
+    return threat_columns(entity_totals(per_alert, dims, measures, ("rule", "type")))
 
 
 def alerts_with_payments(silver: DataFrame, fraud: DataFrame, band: str = BAND) -> DataFrame:
