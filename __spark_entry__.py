@@ -104,6 +104,10 @@ def _stream(spark: SparkSession, folder: str) -> DataFrame:
     return adapters.stream_table(spark, folder)
 
 
+def _replay(spark: SparkSession, folder: str) -> DataFrame:
+    return adapters.replay(spark, folder, scratch_path(spark, "replay"))
+
+
 def _silver_alerts(source: DataFrame) -> DataFrame:
     return alert_plans.silver_alerts(with_event_time(adapters.alert_feed(source)))
 
@@ -121,6 +125,11 @@ def _drained(stream: DataFrame, name: str) -> DataFrame:
     return drain(stream, scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint"))
 
 
+def _replayed(stream: DataFrame, name: str, folder: str) -> DataFrame:
+    """The same for a replay, whose flush rows make the stream emit everything and are then left out."""
+    return adapters.without_flush(_drained(stream, name), _source(stream.sparkSession, folder))
+
+
 # --- SQL building blocks ----------------------------------------------------------------------------
 
 _DOMAIN = """
@@ -249,11 +258,7 @@ _COMBINED_ROUNDED = """SELECT * REPLACE (
   round(financial_impact_score, 6) AS financial_impact_score)
 FROM combined"""
 
-# What a stream has emitted when it ends: all up to its last event time less the allowed lateness.
-_SILVER_UNTIL = "(SELECT max(ts) FROM silver) - {ms}"
-
-
-def _pair_sql(events: str, strict: bool, until: str = "") -> str:
+def _pair_sql(events: str, strict: bool) -> str:
     """Two-step matches over ``events`` (who, type, value, ts, seq)."""
     if strict:
         after = """SELECT *, lead(type) OVER w AS type2, lead(value) OVER w AS value2,
@@ -267,22 +272,21 @@ def _pair_sql(events: str, strict: bool, until: str = "") -> str:
         hit = "end_ts IS NOT NULL"
     return f"""WITH {_DOMAIN}, picked AS ({events}), after AS ({after})
 SELECT who AS id, 'SMALL_THEN_LARGE' AS rule, end_ts AS ts, ts AS first_ts, seq AS first_seq FROM after
-WHERE type = 'TXN' AND value < 20 AND {hit} AND end_ts < ts + 86400000 {until}"""
+WHERE type = 'TXN' AND value < 20 AND {hit} AND end_ts < ts + 86400000"""
 
 
-def _triple_sql(events: str, until: str = "") -> str:
+def _triple_sql(events: str) -> str:
     return f"""WITH {_DOMAIN}, picked AS ({events}), after AS (
   SELECT *, lead(type, 1) OVER w AS type2, lead(type, 2) OVER w AS type3, lead(ts, 2) OVER w AS end_ts
   FROM picked WINDOW w AS (PARTITION BY who ORDER BY ts, seq))
 SELECT who AS id, 'INSIDER_EXFIL' AS rule, end_ts AS ts, ts AS first_ts, seq AS first_seq FROM after
 WHERE type = 'PRIV_ESC' AND type2 = 'BULK_EXPORT' AND type3 = 'EXT_SHARE'
-  AND end_ts < ts + 86400000 {until}"""
+  AND end_ts < ts + 86400000"""
 
 
 _TXN_ONLY = "SELECT * FROM dom WHERE type = 'TXN'"
 _INSIDER_ONLY = "SELECT * FROM dom WHERE type IN ('PRIV_ESC', 'BULK_EXPORT', 'EXT_SHARE')"
 _EVERYTHING = "SELECT * FROM dom"
-_PICKED_UNTIL = "AND end_ts <= (SELECT max(ts) FROM picked) - 3600000"
 
 
 # --- decoding, quality, feature tables --------------------------------------------------------------
@@ -364,12 +368,12 @@ SELECT 'valid_type', 'drop', count(*), count(*) FILTER (type IS NULL) FROM lenie
 UNION ALL
 SELECT 'has_cardId', 'keep', count(*), count(*) FILTER ("cardId" IS NULL) FROM lenient
 UNION ALL
-SELECT 'valid_alert', 'keep', count(*), 0 FROM events WHERE event_type IN ('purchase', 'click', 'error')""")
+SELECT 'valid_alert', 'keep', count(*), count(*) FILTER (event_type IN ('signup', 'view')) FROM events""")
 def _dq_metrics(spark, folder):
     source = _source(spark, folder)
     events = decode_events(adapters.as_json(source), "lenient")
     return violation_counts(events, EVENT_RULES, missing_key="cardId").unionByName(
-        violation_counts(adapters.alert_feed(source), ALERT_RULES)
+        violation_counts(adapters.alert_feed_with_gaps(source), ALERT_RULES)
     )
 
 
@@ -500,6 +504,15 @@ def _executive(spark, folder):
 
 
 # --- reports ----------------------------------------------------------------------------------------
+# Built over the events that their period needs, a filter on the raw time that reaches the scan.
+
+AN_HOUR_AGO, THIS_HOUR, A_WEEK_AGO, A_MONTH_AGO = (
+    "2024-01-30 19:30:00", "2024-01-30 20:00:00", "2024-01-23 00:00:00", "2023-12-31 00:00:00")
+
+
+def _recent_silver(spark, folder, moment):
+    return _silver_alerts(adapters.since(_source(spark, folder), moment))
+
 
 _WEEK = "strftime(DATE '2024-01-30' - INTERVAL 7 DAY, '%Y-%m-%d')"
 _MONTH = "strftime(DATE '2024-01-30' - INTERVAL 30 DAY, '%Y-%m-%d')"
@@ -509,14 +522,14 @@ _MONTH = "strftime(DATE '2024-01-30' - INTERVAL 30 DAY, '%Y-%m-%d')"
 SELECT window_start, alert_type, severity, alert_count, risk_score FROM dashboard
 WHERE window_start >= epoch_ms(TIMESTAMP '{AS_OF}' - INTERVAL 1 HOUR) ORDER BY window_start DESC""")
 def _report_dashboard(spark, folder):
-    return reports.dashboard_last_hour(_dashboard(spark, folder), AS_OF)
+    return reports.dashboard_last_hour(gold.alert_dashboard(_recent_silver(spark, folder, AN_HOUR_AGO)), AS_OF)
 
 
 @_query("report_daily_7d", f"""WITH {_DAILY}
 SELECT date, alert_type, total_alerts, severity, weighted_risk_score FROM daily WHERE date >= {_WEEK}
 ORDER BY date DESC, weighted_risk_score DESC""")
 def _report_daily(spark, folder):
-    return reports.daily_summary_week(_daily(spark, folder), AS_OF)
+    return reports.daily_summary_week(gold.daily_alert_summary(_recent_silver(spark, folder, A_WEEK_AGO)), AS_OF)
 
 
 @_query("report_spikes", f"""WITH {_PATTERNS}
@@ -531,7 +544,7 @@ SELECT date, total_alerts, round(critical_percentage, 6) AS critical_percentage,
        round(risk_index, 6) AS risk_index, threat_trend
 FROM executive WHERE date >= {_MONTH} ORDER BY date DESC""")
 def _report_executive(spark, folder):
-    return reports.executive_month(_executive(spark, folder), AS_OF)
+    return reports.executive_month(gold.executive_dashboard(_recent_silver(spark, folder, A_MONTH_AGO)), AS_OF)
 
 
 @_query("report_current_hour", f"""WITH {_DASHBOARD}
@@ -540,7 +553,7 @@ SELECT strftime(make_timestamp(window_start * 1000), '%H:%M') AS time_window, al
 FROM dashboard WHERE window_start >= epoch_ms(date_trunc('hour', TIMESTAMP '{AS_OF}'))
 GROUP BY window_start, alert_type, severity ORDER BY window_start DESC""")
 def _report_current_hour(spark, folder):
-    return reports.current_hour(_dashboard(spark, folder), AS_OF)
+    return reports.current_hour(gold.alert_dashboard(_recent_silver(spark, folder, THIS_HOUR)), AS_OF)
 
 
 @_query("report_risk_trend_7d", f"""WITH {_EXECUTIVE}
@@ -549,7 +562,7 @@ SELECT date, total_alerts, round(critical_percentage, 2) AS critical_pct,
        round(risk_index, 2) AS risk_index, threat_trend
 FROM executive WHERE date >= {_WEEK} ORDER BY date DESC""")
 def _report_risk_trend(spark, folder):
-    return reports.risk_trend_week(_executive(spark, folder), AS_OF)
+    return reports.risk_trend_week(gold.executive_dashboard(_recent_silver(spark, folder, A_WEEK_AGO)), AS_OF)
 
 
 @_query("report_top_patterns", f"""WITH {_PATTERNS}
@@ -558,7 +571,7 @@ SELECT rule, count(*) AS occurrences, count(DISTINCT pattern_date) AS active_day
 FROM patterns WHERE pattern_date >= {_WEEK} AND pattern_intensity IN ('HIGH_SPIKE', 'MODERATE_SPIKE')
 GROUP BY rule ORDER BY occurrences DESC""")
 def _report_top_patterns(spark, folder):
-    return reports.top_patterns_week(_patterns(spark, folder), AS_OF)
+    return reports.top_patterns_week(gold.alert_patterns(_recent_silver(spark, folder, A_WEEK_AGO)), AS_OF)
 
 
 @_query("report_fraud_vs_insider", f"""WITH {_COMBINED}
@@ -569,7 +582,11 @@ SELECT date, alert_type, CAST(sum(alert_count) AS BIGINT) AS alerts,
 FROM combined WHERE date >= {_MONTH}
 GROUP BY date, alert_type, threat_level ORDER BY date DESC, alerts DESC""")
 def _report_fraud_vs_insider(spark, folder):
-    return reports.fraud_vs_insider_month(_combined(spark, folder), AS_OF)
+    # Payments and activity count for alerts up to an hour away.
+    source = adapters.since(_source(spark, folder), "2023-12-30 23:00:00")
+    alerts = adapters.since(_source(spark, folder), A_MONTH_AGO)
+    table = gold.combined_threat_analytics(_silver_alerts(alerts), *_features(source))
+    return reports.fraud_vs_insider_month(table, AS_OF)
 
 
 # --- model ------------------------------------------------------------------------------------------
@@ -607,17 +624,30 @@ def _score_decision(spark, folder):
     return scoring.decide(scoring.score(_features(_source(spark, folder))[0], MODEL))
 
 
-@_query("train_fraud_model")
+@_query("train_fraud_model", f"""WITH {_DOMAIN}
+SELECT count(*) AS n, count(*) FILTER (value > 120) AS positives, TRUE AS accurate FROM dom
+WHERE type = 'TXN' AND value IS NOT NULL AND seq % 100 >= 80""")
 def _train_fraud_model(spark, folder):
-    train, test = scoring.split(_training_set(spark, folder))
-    return scoring.evaluate(test, scoring.train(train))
+    labelled = scoring.training_set(adapters.auth_txn(_source(spark, folder)), keep=("seq",))
+    train, test = scoring.split(labelled, by=F.col("seq"))
+    found = scoring.evaluate(test, scoring.train(train))
+    return found.select("n", "positives", (F.col("accuracy") > 0.95).alias("accurate"))
 
 
-@_query("score_stream")
+@_query("score_stream", f"""WITH {_DOMAIN}
+SELECT who AS "cardId", round(value, 6) AS amount, ts AS event_time, TRUE AS in_range, TRUE AS rises FROM dom
+WHERE type = 'TXN'""")
 def _score_stream(spark, folder):
+    """Scores by a trained model, with what must hold for them: from 0 to 1, 0 without an amount, more for more."""
     model = scoring.train(_training_set(spark, folder))
-    scored = scoring.decide(scoring.score(_features(_stream(spark, folder))[0], model))
-    return _drained(scored, "score-stream")
+    scored = scoring.score(_features(_stream(spark, folder))[0], model).withColumnRenamed("score", "now")
+    more = scoring.score(scored.withColumnsRenamed({"amount": "paid"}).withColumn("amount", F.col("paid") + 1), model)
+    checked = more.select(
+        "cardId", F.col("paid").alias("amount"), "event_time",
+        (F.col("now").between(0, 1) & (F.col("paid").isNotNull() | (F.col("now") == 0))).alias("in_range"),
+        (F.col("score") >= F.col("now")).alias("rises"),
+    )
+    return _drained(checked, "score-stream")
 
 
 @_query("scored_sink", _SCORED)
@@ -627,67 +657,68 @@ def _scored_sink(spark, folder):
 
 
 # --- streams ----------------------------------------------------------------------------------------
+# Each has the SQL of its batch twin: a replay ends with rows that make the stream emit all of its results.
+
 
+def _twin(name: str):
+    return _query(f"{name}_stream", _SQL[name])
 
-@_query("small_then_large_stream", _pair_sql(_TXN_ONLY, True, _PICKED_UNTIL))
+
+@_twin("small_then_large")
 def _pair_stream(spark, folder):
-    events = adapters.auth_txn(_stream(spark, folder))
-    return _drained(match_sequence_stream(events, PAIR, LATE), "pair")
+    events = adapters.auth_txn(_replay(spark, folder))
+    return _replayed(match_sequence_stream(events, PAIR, LATE), "pair", folder)
 
 
-@_query("insider_exfil_stream", _triple_sql(_INSIDER_ONLY, _PICKED_UNTIL))
+@_twin("insider_exfil")
 def _triple_stream(spark, folder):
-    events = adapters.insider_events(_stream(spark, folder))
-    return _drained(match_sequence_stream(events, TRIPLE, LATE), "triple")
+    events = adapters.insider_events(_replay(spark, folder))
+    return _replayed(match_sequence_stream(events, TRIPLE, LATE), "triple", folder)
 
 
-@_query("followed_by_stream", _pair_sql(_EVERYTHING, False, _PICKED_UNTIL))
+@_twin("followed_by")
 def _followed_by_stream(spark, folder):
-    events = adapters.all_activity(_stream(spark, folder))
-    return _drained(match_sequence_stream(events, PAIR_WITH_SKIPS, LATE), "followed-by")
+    events = adapters.all_activity(_replay(spark, folder))
+    return _replayed(match_sequence_stream(events, PAIR_WITH_SKIPS, LATE), "followed-by", folder)
 
 
-@_query("gold_alert_dashboard_stream", f"""WITH {_DASHBOARD}
-SELECT * FROM dashboard WHERE window_end <= {_SILVER_UNTIL.format(ms=600000)}""")
+@_twin("gold_alert_dashboard")
 def _dashboard_stream(spark, folder):
-    return _drained(gold.alert_dashboard(_silver_alerts(_stream(spark, folder))), "dashboard")
+    return _replayed(gold.alert_dashboard(_silver_alerts(_replay(spark, folder))), "dashboard", folder)
 
 
-@_query("gold_daily_alert_summary_stream", f"""WITH {_DAILY}
-SELECT * FROM daily
-WHERE epoch_ms(CAST(date AS TIMESTAMP)) + 86400000 <= {_SILVER_UNTIL.format(ms=86400000)}""")
+@_twin("gold_daily_alert_summary")
 def _daily_stream(spark, folder):
-    return _drained(gold.daily_alert_summary(_silver_alerts(_stream(spark, folder))), "daily")
+    return _replayed(gold.daily_alert_summary(_silver_alerts(_replay(spark, folder))), "daily", folder)
 
 
-@_query("gold_alert_patterns_stream", f"""WITH {_PATTERNS}
-SELECT * FROM patterns WHERE window_end <= {_SILVER_UNTIL.format(ms=1800000)}""")
+@_twin("gold_alert_patterns")
 def _patterns_stream(spark, folder):
-    return _drained(gold.alert_patterns(_silver_alerts(_stream(spark, folder))), "patterns")
+    return _replayed(gold.alert_patterns(_silver_alerts(_replay(spark, folder))), "patterns", folder)
 
 
-@_query("gold_alert_pattern_entities_stream", f"""WITH {_ENTITIES_SQL}
-SELECT * FROM entities WHERE window_end <= {_SILVER_UNTIL.format(ms=1800000)}""")
+@_twin("gold_alert_pattern_entities")
 def _pattern_entities_stream(spark, folder):
-    return _drained(gold.pattern_entities(_silver_alerts(_stream(spark, folder))), "entities")
+    return _replayed(gold.pattern_entities(_silver_alerts(_replay(spark, folder))), "entities", folder)
 
 
-@_query("gold_executive_dashboard_stream", f"""WITH {_EXECUTIVE}
-{_EXECUTIVE_ROUNDED}
-WHERE epoch_ms(CAST(date AS TIMESTAMP)) + 86400000 <= {_SILVER_UNTIL.format(ms=86400000)}""")
+@_twin("gold_executive_dashboard")
 def _executive_stream(spark, folder):
-    return _drained(gold.executive_dashboard(_silver_alerts(_stream(spark, folder))), "executive")
+    return _replayed(gold.executive_dashboard(_silver_alerts(_replay(spark, folder))), "executive", folder)
 
 
-# An alert without partner is emitted once no partner can come any more.
-@_query("alerts_join_txn_stream", f"""WITH {_PAYMENT_JOIN}
-SELECT id, rule, ts, card AS "cardId", round(amount, 6) AS amount, txn_time FROM paid
-WHERE card IS NOT NULL OR ts + 3601000 < least((SELECT max(ts) FROM silver),
-  (SELECT max(ts) FROM dom WHERE type = 'TXN')) - 3600000""")
+@_twin("alerts_join_txn")
 def _join_stream(spark, folder):
-    source = _stream(spark, folder)
+    source = _replay(spark, folder)
     joined = combined.stream_alerts_with_payments(_silver_alerts(source), _features(source)[0], LATE)
-    return _drained(joined.select("id", "rule", "ts", "cardId", "amount", "txn_time"), "join")
+    return _replayed(joined.select("id", "rule", "ts", "cardId", "amount", "txn_time"), "join", folder)
+
+
+@_twin("alerts_join_insider")
+def _join_insider_stream(spark, folder):
+    source = _replay(spark, folder)
+    joined = combined.stream_alerts_with_activity(_silver_alerts(source), _features(source)[1], LATE)
+    return _replayed(joined.select("id", "rule", "ts", "actor", "type", "insider_time"), "join-insider", folder)
 
 
 @_query("alerts_join_txn_static", _SQL["alerts_join_txn"])
@@ -704,15 +735,11 @@ def _join_insider_static(spark, folder):
     return _drained(joined.select("id", "rule", "ts", "actor", "type", "insider_time"), "insider-static")
 
 
-@_query("gold_combined_threat_stream", f"""WITH {_COMBINED}
-{_COMBINED_ROUNDED} WHERE epoch_ms(CAST(date AS TIMESTAMP)) + 86400000 + 2 * 3601000
-  <= {_SILVER_UNTIL.format(ms=3600000)}""")
+@_twin("gold_combined_threat")
 def _combined_stream(spark, folder):
-    source = _stream(spark, folder)
-    return _drained(
-        combined.stream_combined_threat_analytics(_silver_alerts(source), *_features(source), delay=LATE),
-        "combined",
-    )
+    source = _replay(spark, folder)
+    table = combined.stream_combined_threat_analytics(_silver_alerts(source), *_features(source), delay=LATE)
+    return _replayed(table, "combined", folder)
 
 
 # --- queries of the training-data operators, where that subpackage is present ------------------------

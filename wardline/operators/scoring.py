@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 # Features, label rule, split, iterations and decision threshold.
 FEATURES = ("amount", "hour")
 LABEL_ABOVE = 120.0
-TRAIN_SHARE, SPLIT_SEED = 0.8, 42
+TRAIN_SHARE = 0.8
 MAX_ITERATIONS = 200
 DECIDE_ABOVE = 0.85
 
@@ -23,15 +23,18 @@ def model_features(payments: DataFrame) -> DataFrame:
     return payments.withColumn("hour", F.hour("event_time"))
 
 
-def training_set(payments: DataFrame, label_above: float = LABEL_ABOVE) -> DataFrame:
-    """``amount, hour, label``; payments without an amount cannot be labelled."""
+def training_set(payments: DataFrame, label_above: float = LABEL_ABOVE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``amount, hour, label`` and the columns to ``keep``; payments without an amount cannot be labelled."""
     label = (F.col("amount") > label_above).cast("double").alias("label")
-    return model_features(payments).where("amount IS NOT NULL").select(*FEATURES, label)
+    return model_features(payments).where("amount IS NOT NULL").select(*FEATURES, label, *keep)
 
 
-def split(rows: DataFrame, share: float = TRAIN_SHARE, seed: int = SPLIT_SEED) -> tuple[DataFrame, DataFrame]:
-    train, test = rows.randomSplit([share, 1 - share], seed)
-    return train, test
+def split(rows: DataFrame, share: float = TRAIN_SHARE, by: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows by the whole number ``by`` modulo 100, for want of one by a hash of the row: a filter
+    each, which neither sorts nor depends on how the rows are partitioned."""
+    number = F.xxhash64(*rows.columns) if by is None else by
+    is_test = F.coalesce(F.pmod(number, F.lit(100)) >= F.lit(round(100 * share)), F.lit(False))
+    return rows.where(~is_test), rows.where(is_test)
 
 
 def feature_stats(rows: DataFrame) -> DataFrame:

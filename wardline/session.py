@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,12 +24,16 @@ def configure(spark: SparkSession) -> SparkSession:
     tasks as it has cores; on a cluster that number stays as configured there."""
     for name, value in RUNTIME_CONF.items():
         spark.conf.set(name, value)
-    context = spark.sparkContext
-    if context.master.startswith("local"):
-        spark.conf.set("spark.sql.shuffle.partitions", str(context.defaultParallelism))
+    if in_one_process(spark):
+        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     return spark
 
 
+def in_one_process(spark: SparkSession) -> bool:
+    """Whether the executor is a thread of the driver, which makes a machine's folders shared ones."""
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
+
+
 def local_session(app: str = "wardline", cores: int | str = "*", **conf: str) -> SparkSession:
     """A local session for tests and the bench; on a cluster use the session spark-submit gives."""
     builder = (
@@ -52,7 +57,7 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not in_one_process(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     root = tempfile.mkdtemp(prefix="wardline-")
     spark.sparkContext.setCheckpointDir(root)
@@ -63,7 +68,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_root(spark)}/wardline-{name}-{uuid.uuid4().hex}"
 
-
-def shuffle_width(spark: SparkSession) -> int:
-    """How many tasks a shuffle is meant to have."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
