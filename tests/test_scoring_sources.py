@@ -1,13 +1,16 @@
 import glob
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from conftest import SMALL, T
+from wardline import jobs
 from wardline.jobs import Settings
 from wardline.operators import scoring
+from wardline.plans import gold
 from wardline.plans.medallion import Tables, build_alert_tables, build_event_tables, start_alert_streams, start_event_streams
 from wardline.sources.tables import lay_out, read_increments, stream_or_static, write_table
 from wardline.sources.topics import arrival_order, read_lines, source_options, topic_options
@@ -196,12 +199,15 @@ def test_tables_batch(spark, topics):
 def test_tables_streaming(spark, topics):
     tables, checkpoints = Tables(str(topics / "tables")), str(topics / "chk")
     start_event_streams(read_lines(spark, str(topics / "events")), tables, checkpoints, None)
-    read = {name: spark.read.parquet(tables.path(name)) for name in ("silver", "features_fraud", "features_insider")}
-    assert [rows.count() for rows in read.values()] == [100, 60, 40]
+    read = {name: spark.read.parquet(tables.path(name)) for name in ("bronze", "silver", "features_fraud", "features_insider")}
+    assert [rows.count() for rows in read.values()] == [100, 100, 60, 40]
     start_alert_streams(
         read_lines(spark, str(topics / "alerts")).select("value"),
         read["features_fraud"], read["features_insider"], tables, checkpoints, None)
+    assert spark.read.parquet(tables.path("bronze_alerts")).count() == 20
     assert spark.read.parquet(tables.path("silver_alerts")).count() == 20
+    laid_out = tables.lay_out(spark, "silver_alerts")
+    assert laid_out.exceptAll(tables.read(spark, "silver_alerts")).isEmpty() and laid_out.count() == 20
     # Windows closed by the last alert (01:35) less ten minutes.
     assert spark.read.parquet(tables.path("gold_alert_dashboard")).count() == 17
 
@@ -210,3 +216,57 @@ def test_small_table_reads(spark):
     from wardline.sources.adapters import read_table, stream_table
 
     assert read_table(spark, SMALL).schema == stream_table(spark, SMALL).schema
+
+
+def test_ingest_then_analyse(spark, topics):
+    """The features that one job writes are those the other one joins; bronze alerts carry their file."""
+    out, checkpoint = str(topics / "out"), str(topics / "chk")
+    events = read_lines(spark, str(topics / "events"))
+    jobs.await_all(spark, jobs.ingest(events, checkpoint, out, every=None))
+    tables = Tables(out)
+    assert tables.stream_or_static(spark, "features_fraud", "none").isStreaming
+    (topics / "alerts" / "b.txt").write_text("\n".join(
+        f'{{"id":"zz","rule":"INSIDER_EXFIL","ts":{T + days * 86_400_000}}}' for days in (40, 80, 120)))
+    (topics / "events" / "b.txt").write_text("\n".join(
+        f'{{"type":"{kind}","cardId":"zz","actor":"zz","amount":1.0,"ts":{T + days * 86_400_000}}}'
+        for days in (40, 80, 120) for kind in ("TXN", "EXT_SHARE")))
+    jobs.ingest(events, checkpoint, out, every=None)
+    jobs.analyse(read_lines(spark, str(topics / "alerts")), checkpoint, out, every=None)
+    assert tables.read(spark, "bronze_alerts").where("file_name IS NOT NULL").count() == 23
+    day = tables.read(spark, "gold_combined_threat_analytics").where("date = '2024-01-01'").head()
+    batch = gold.combined_threat_analytics(
+        *(tables.read(spark, name) for name in ("silver_alerts", "features_fraud", "features_insider")))
+    assert day.asDict() == batch.where("date = '2024-01-01'").head().asDict()
+
+
+def test_train_then_score(spark, payments, tmp_path):
+    out, model = str(tmp_path / "out"), str(tmp_path / "model")
+    payments.write.parquet(Tables(out).path("features_fraud"))
+    assert jobs.train_model(spark, out, model).head().accuracy > 0.98
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("\n".join(
+        f'{{"type":"TXN","cardId":"c","amount":{amount},"ts":{T}}}' for amount in (1, 400)))
+    jobs.score_payments(read_lines(spark, str(tmp_path / "in")), str(tmp_path / "chk"), out, model, every=None).awaitTermination()
+    scored = Tables(out).read(spark, "realtime_scored").orderBy("amount").collect()
+    assert [r.decision for r in scored] == [False, True]
+
+
+def test_broken_messages_are_kept(spark, topics):
+    messages = read_lines(spark, str(topics / "events")).select("value", "file_name")
+    jobs.quarantine(messages, str(topics / "chk"), str(topics / "out"), every=None).awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(str(topics / "out" / "quarantine")).collect()] == [("{bad", "a.txt")]
+
+
+def test_a_failing_query_ends_the_job(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    bad = write_stream(stream.selectExpr("1 / (id - id) AS x"), str(tmp_path / "out"), str(tmp_path / "chk"), None, name="bad")
+    with pytest.raises(StreamingQueryException):
+        jobs.await_all(spark, [bad])
+        bad.awaitTermination()
+
+
+def test_folders_must_be_named(capsys):
+    for argv in (["ingest", "--out", "/x"], ["detect", "--checkpoint", "/x"], ["train", "--checkpoint", "/x", "--out", "/x"]):
+        with pytest.raises(SystemExit):
+            jobs.main(argv)

@@ -1,9 +1,11 @@
 """Long-running jobs over topics, for ``spark-submit``.
 
     spark-submit --packages org.apache.spark:spark-sql-kafka-0-10_2.13:4.1.2 \\
-        -m wardline.jobs detect --mode fraud --broker host:9093 --checkpoint /shared/chk
+        -m wardline.jobs detect --mode fraud --broker host:9093 --checkpoint /shared/chk --out /shared/tables
 
-A setting is taken from the command line, else from the environment, else from its default; an empty
+``ingest`` writes the event tables under ``--out``, where ``analyse`` finds the features and ``train`` its payments;
+``train`` saves the model that ``score`` loads. The broker's password comes from the environment only, since command
+lines show in process lists. A setting is taken from the command line, else from the environment, else from its default; an empty
 environment variable counts as not set.
 """
 
@@ -17,12 +19,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from wardline.operators.decode import decode_events, with_event_time
-from wardline.operators.scoring import decide, load, score
+from wardline.operators.decode import broken_values, decode_events, with_event_time
+from wardline.operators.scoring import decide, evaluate, load, save, score, split, train, training_set
 from wardline.operators.sequence import SequenceRule, rule_for_mode, to_alerts
 from wardline.plans.medallion import Tables, start_alert_streams, start_event_streams
-from wardline.session import configure, shared_root
-from wardline.sources.tables import stream_or_static
+from wardline.session import configure
 from wardline.sources.topics import read_topics, source_options, topic_options, write_alerts
 from wardline.streaming.runs import SCORING_INTERVAL, write_stream
 from wardline.streaming.sequence import match_sequence_stream
@@ -60,7 +61,7 @@ class Settings:
             topic=pick("topic", f"TOPIC_{kind.upper()}", TOPICS[kind]),
             group=pick("group", "GROUP_ID", GROUP),
             alerts_topic=pick(None, "TOPIC_ALERTS", ALERTS_TOPIC),
-            password=pick("sasl", "EH_LISTEN", ""),
+            password=pick(None, "EH_LISTEN", ""),
         )
 
 
@@ -72,65 +73,91 @@ def detect_alerts(messages: DataFrame, rule: SequenceRule, delay: str) -> DataFr
     return to_alerts(match_sequence_stream(events, rule, delay))
 
 
-def detect(spark: SparkSession, settings: Settings, checkpoint: str, delay: str) -> StreamingQuery:
-    source = source_options(
-        settings.broker, settings.topic, password=settings.password, group=settings.group,
-        max_per_trigger=MESSAGES_PER_BATCH)
-    alerts = detect_alerts(read_topics(spark, source), rule_for_mode(settings.mode), delay)
-    return write_alerts(
+def quarantine(messages: DataFrame, checkpoint: str, out: str, every: str | None = CHECKPOINT_INTERVAL) -> StreamingQuery:
+    """The messages that strict decoding leaves out, unchanged, as a table."""
+    return write_stream(broken_values(messages), f"{out}/quarantine", f"{checkpoint}/quarantine", every, name="quarantine")
+
+
+def detect(
+    messages: DataFrame, settings: Settings, checkpoint: str, out: str, delay: str
+) -> list[StreamingQuery]:
+    """Alerts to their topic, broken messages to the quarantine."""
+    alerts = detect_alerts(messages, rule_for_mode(settings.mode), delay)
+    sent = write_alerts(
         alerts, topic_options(settings.broker, settings.password), settings.alerts_topic,
         f"{checkpoint}/detect-{settings.mode}", CHECKPOINT_INTERVAL)
+    return [sent, quarantine(messages, f"{checkpoint}/detect-{settings.mode}", out)]
 
 
-def ingest(spark: SparkSession, settings: Settings, checkpoint: str, out: str) -> list[StreamingQuery]:
-    source = source_options(
-        settings.broker, *TOPICS.values(), password=settings.password, starting="latest")
-    return start_event_streams(
-        read_topics(spark, source), Tables(out), f"{checkpoint}/ingest", CHECKPOINT_INTERVAL)
+def ingest(messages: DataFrame, checkpoint: str, out: str, every: str | None = CHECKPOINT_INTERVAL) -> list[StreamingQuery]:
+    """The event tables."""
+    return start_event_streams(messages, Tables(out), f"{checkpoint}/ingest", every)
 
 
 def analyse(
-    spark: SparkSession, settings: Settings, checkpoint: str, out: str, database: str = "fraud"
+    messages: DataFrame, checkpoint: str, out: str, database: str = "fraud", every: str | None = CHECKPOINT_INTERVAL
 ) -> list[StreamingQuery]:
-    source = source_options(
-        settings.broker, settings.alerts_topic, password=settings.password, starting="latest")
+    """The alert tables, with the features that ``ingest`` writes, or else the tables of ``database`` as they stand."""
+    tables, spark = Tables(out), messages.sparkSession
     fraud, insider = (
-        stream_or_static(spark, name, f"{database}.{name}")
-        for name in ("features_fraud", "features_insider")
-    )
-    return start_alert_streams(
-        read_topics(spark, source), fraud, insider, Tables(out), f"{checkpoint}/analyse", CHECKPOINT_INTERVAL)
-
-
-def score_payments(spark: SparkSession, settings: Settings, checkpoint: str, out: str, model: str) -> StreamingQuery:
-    source = source_options(
-        settings.broker, TOPICS["fraud"], password=settings.password, starting="latest")
-    payments = with_event_time(decode_events(read_topics(spark, source).select("value"), "lenient"))
-    scored = decide(score(payments, load(model)))
+        tables.stream_or_static(spark, name, f"{database}.{name}") for name in ("features_fraud", "features_insider"))
+    return start_alert_streams(messages, fraud, insider, tables, f"{checkpoint}/analyse", every)
+
+
+def train_model(spark: SparkSession, out: str, path: str) -> DataFrame:
+    """Train on the payments that ``ingest`` has written, save the model, and return its figures on held-out rows."""
+    train_rows, test_rows = split(training_set(Tables(out).read(spark, "features_fraud")))
+    model = train(train_rows)
+    save(model, path)
+    return evaluate(test_rows, model)
+
+
+def score_payments(
+    messages: DataFrame, checkpoint: str, out: str, model: str, every: str | None = SCORING_INTERVAL
+) -> StreamingQuery:
+    payments = with_event_time(decode_events(messages.select("value"), "lenient"))
     return write_stream(
-        scored, f"{out}/realtime_scored", f"{checkpoint}/score", SCORING_INTERVAL)
+        decide(score(payments, load(model))), f"{out}/realtime_scored", f"{checkpoint}/score", every, name="score")
+
+
+def await_all(spark: SparkSession, queries: Sequence[StreamingQuery]) -> None:
+    """Wait until every query has ended; the first that fails raises its error, which names it."""
+    while any(query.isActive for query in queries):
+        spark.streams.awaitAnyTermination()
+        spark.streams.resetTerminated()
 
 
 def main(argv: Sequence[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="wardline")
-    parser.add_argument("job", choices=["detect", "ingest", "analyse", "score"])
-    for name in ("mode", "broker", "topic", "group", "sasl", "checkpoint", "out", "model"):
+    parser.add_argument("job", choices=["detect", "ingest", "analyse", "train", "score"])
+    for name in ("mode", "broker", "topic", "group", "model"):
         parser.add_argument(f"--{name}")
+    for name, what in (("checkpoint", "progress and state"), ("out", "the tables")):
+        parser.add_argument(f"--{name}", required=True, help=f"folder of {what}, shared by all executors")
     parser.add_argument("--delay", default="10 minutes", help="how late an event may come")
+    parser.add_argument("--messages-per-batch", type=int, default=MESSAGES_PER_BATCH, help="for detect")
     args = vars(parser.parse_args(argv))
+    if args["job"] in ("train", "score") and not args["model"]:
+        parser.error(f"{args['job']} needs --model")
     spark = configure(SparkSession.builder.appName(f"wardline-{args['job']}").getOrCreate())
-    settings = Settings.of(args)
-    checkpoint = args["checkpoint"] or f"{shared_root(spark)}/wardline"
-    out = args["out"] or f"{shared_root(spark)}/tables"
+    settings, checkpoint, out = Settings.of(args), args["checkpoint"], args["out"]
+
+    def topics(*names: str, **options) -> DataFrame:
+        return read_topics(spark, source_options(settings.broker, *names, password=settings.password, **options))
+
+    if args["job"] == "train":
+        train_model(spark, out, args["model"]).show()
+        return
     if args["job"] == "detect":
-        detect(spark, settings, checkpoint, args["delay"])
+        messages = topics(settings.topic, group=settings.group, max_per_trigger=args["messages_per_batch"])
+        queries = detect(messages, settings, checkpoint, out, args["delay"])
     elif args["job"] == "ingest":
-        ingest(spark, settings, checkpoint, out)
+        queries = ingest(topics(*TOPICS.values(), starting="latest"), checkpoint, out)
     elif args["job"] == "analyse":
-        analyse(spark, settings, checkpoint, out)
+        queries = analyse(topics(settings.alerts_topic, starting="latest"), checkpoint, out)
     else:
-        score_payments(spark, settings, checkpoint, out, args["model"])
-    spark.streams.awaitAnyTermination()
+        queries = [score_payments(topics(TOPICS["fraud"], starting="latest"), checkpoint, out, args["model"])]
+    await_all(spark, queries)
 
 
 if __name__ == "__main__":

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from wardline.plans import alerts as alert_plans
@@ -58,6 +59,23 @@ class Tables:
         spark.createDataFrame([], like.schema).write.mode("ignore").parquet(self.path(name))
         return spark.readStream.schema(like.schema).parquet(self.path(name))
 
+    def read(self, spark: SparkSession, name: str) -> DataFrame:
+        return spark.read.parquet(self.path(name))
+
+    def stream_or_static(self, spark: SparkSession, name: str, fallback: str) -> DataFrame:
+        """The stream of what is appended to ``name``, or the catalog table ``fallback`` as it stands now if no job
+        has written ``name`` here."""
+        try:
+            schema = self.read(spark, name).schema
+        except AnalysisException:
+            return spark.table(fallback)
+        return spark.readStream.schema(schema).parquet(self.path(name))
+
+    def lay_out(self, spark: SparkSession, name: str) -> DataFrame:
+        """A copy of ``name`` under ``laid_out`` with rows of neighbouring values side by side: streams append many
+        small files in order of arrival, which scans can't skip."""
+        return write_table(self.read(spark, name), f"{self.root}/laid_out/{name}", CLUSTERED_BY[name], *_TIES.get(name, ()))
+
 
 def build_event_tables(raw: DataFrame, tables: Tables, mode: str = "lenient", observe=None) -> dict[str, DataFrame]:
     """bronze, silver, features_fraud, features_insider."""
@@ -106,10 +124,12 @@ _GOLD = {
 def start_event_streams(
     raw: DataFrame, tables: Tables, checkpoints: str, every: str | None
 ) -> list[StreamingQuery]:
-    """silver, features_fraud and features_insider as running streams, chained over the silver table."""
-    silver = event_plans.silver_events(event_plans.bronze_events(raw.select("value"), observe="events"))
+    """bronze, silver, features_fraud and features_insider as running streams, each over the table before."""
+    bronze = event_plans.bronze_events(raw.select("value"), observe="events")
+    silver = event_plans.silver_events(tables.stream("bronze", bronze))
     grown = tables.stream("silver", silver)
     return _start({
+        "bronze": bronze,
         "silver": silver,
         "features_fraud": event_plans.features_fraud(grown),
         "features_insider": event_plans.features_insider(grown),
@@ -120,11 +140,12 @@ def start_alert_streams(
     raw: DataFrame, fraud: DataFrame, insider: DataFrame, tables: Tables, checkpoints: str,
     every: str | None,
 ) -> list[StreamingQuery]:
-    """silver_alerts and the gold tables as running streams, chained over the silver table. The
-    features may be streams or tables."""
-    silver = alert_plans.silver_alerts(alert_plans.bronze_alerts(raw, observe="alerts"))
+    """bronze_alerts with the provenance ``raw`` brings, silver_alerts and the gold tables as running streams,
+    each over the table before. The features may be streams or tables."""
+    bronze = alert_plans.bronze_alerts(raw, observe="alerts")
+    silver = alert_plans.silver_alerts(tables.stream("bronze_alerts", bronze))
     grown = tables.stream("silver_alerts", silver)
-    streams = {"silver_alerts": silver} | {name: build(grown) for name, build in _GOLD.items()}
+    streams = {"bronze_alerts": bronze, "silver_alerts": silver} | {name: build(grown) for name, build in _GOLD.items()}
     streams["gold_combined_threat_analytics"] = stream_combined_threat_analytics(grown, fraud, insider)
     return _start(streams, tables, checkpoints, every)
 
@@ -136,7 +157,7 @@ def _start(
     next one starts."""
     queries = []
     for name, rows in streams.items():
-        queries.append(write_stream(rows, tables.path(name), f"{checkpoints}/{name}", every))
+        queries.append(write_stream(rows, tables.path(name), f"{checkpoints}/{name}", every, name=name))
         if every is None:
             queries[-1].awaitTermination()
     return queries

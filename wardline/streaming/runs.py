@@ -16,10 +16,11 @@ def write_stream(
     table_format: str = "parquet",
     partition_by: tuple[str, ...] = (),
     table: str | None = None,
+    name: str | None = None,
 ) -> StreamingQuery:
     """Append ``stream`` to the files at ``path`` (and the catalog ``table`` over them, if named).
 
-    ``every`` is the micro-batch interval; ``None`` takes what is there now and stops. A restart with
+    ``name`` shows in progress reports and errors. ``every`` is the micro-batch interval; ``None`` takes what is there now and stops. A restart with
     the same ``checkpoint`` goes on where the last run ended, without repeating rows.
     """
     writer = (
@@ -30,6 +31,8 @@ def write_stream(
     )
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if name:
+        writer = writer.queryName(name)
     writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
     return writer.toTable(table) if table else writer.start()
 
