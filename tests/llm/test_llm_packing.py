@@ -46,14 +46,15 @@ def test_empty_table(spark):
 
 @pytest.mark.parametrize("text", [
     "", "  \t", "a<|endoftext|>b  don't I'LL \x0b\x1c\x85 x", "Σας ΟΔΟΣ é é 12345 ½ 中文 😀👍\t\n\rabc",
-    "<|startoftext|> hi <|endoftext|>", "ﬁ İstanbul ǅ 　 wide", "'s 're x's " + "long" * 3000])
+    "<|startoftext|> hi <|endoftext|>", "ﬁ İstanbul ǅ 　 wide", "'s 're x's " + "long" * 3000,
+    "a1b2,c!!d ÀÉé.ßx (x)=[y] ~{z} x^_`y 3.14 @&% <b> |p| x<|y"])
 def test_words_encode_like_the_text(text):
     assert packing._encoder(PATH)([text])[0] + (1).to_bytes(4, "little") == ids_of(text).tobytes()
 
 
 def test_kept_words_are_forgotten_without_harm():
     texts = [f"alpha{i} beta{i % 7} gamma" for i in range(60)]
-    small = packing._encoder.__wrapped__(PATH, kept=20)
+    small = packing._Encoder(PATH, kept=20)
     assert [small([t])[0] for t in texts] == packing._encoder(PATH)(texts)
 
 

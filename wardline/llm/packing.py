@@ -17,48 +17,81 @@ an empty table gives an empty result; columns other than id and text are ignored
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from wardline.llm.shared import cut
 
 CAPACITY = 4096
 PIECES = 50_000
 ROUNDS = 4
-CACHED_WORDS = 200_000
+CACHED_WORDS = 500_000
 
+# Words whose pieces (letters, single digits, runs of signs) can be counted without the tokenizer: no apostrophes, which
+# may start a suffix, no signs of special tokens, no letters that change their number in lower case.
+_COUNTABLE = re.compile(r"[0-9A-Za-zÀ-ÖØ-öø-ÿ!-&(-/:;=-@\[-`{}~]+")
+_PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^0-9A-Za-zÀ-ÖØ-öø-ÿ]+")
 
-@cache
-def _encoder(path: str, kept: int = CACHED_WORDS) -> Callable[[list[str]], list[bytes]]:
+
+class _Encoder:
     """Little-endian ids of texts, for a tokenizer that never joins or looks across ASCII white space.
 
-    Its ids of a text are then those of its words one after the other, and words repeat: their ids are kept, up to
-    ``kept`` words at a time.
+    Its ids of a text are then those of its words one after the other, and words repeat: the ids of recent words are
+    kept, in two generations of up to ``kept`` words. New words are encoded together; where the tokens say which of
+    them end a piece, the ids are cut by counting pieces, otherwise words are encoded one by one.
     """
-    from tokenizers import Tokenizer
 
-    encode, known = Tokenizer.from_file(path).encode_batch, {}
+    def __init__(self, path: str, kept: int = CACHED_WORDS):
+        self.tokenizer, self.kept = Tokenizer.from_file(path), kept
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def ids(texts: list[str]) -> list[bytes]:
+    def __call__(self, texts: list[str]) -> list[bytes]:
         split = [text.encode().split() for text in texts]
-        fresh = list({word for some in split for word in some if word not in known})
-        if len(known) + len(fresh) > kept:
-            known.clear()
-            fresh = list({word for some in split for word in some})
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at:at + 4096]
-            for word, found in zip(some, encode([word.decode() for word in some], add_special_tokens=False)):
-                known[word] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join([known[word] for word in some]) for some in split]
+        fresh = set(chain.from_iterable(split)).difference(self.recent)
+        if len(self.recent) + len(fresh) > self.kept:
+            self.recent, self.older = {}, self.recent
+            fresh = set(chain.from_iterable(split))
+        known = fresh.intersection(self.older)
+        self.recent.update((word, self.older[word]) for word in known)
+        self._learn([word.decode() for word in fresh - known])
+        return [b"".join(map(self.recent.__getitem__, some)) for some in split]
+
+    def _learn(self, fresh: list[str]) -> None:
+        countable = [word for word in fresh if _COUNTABLE.fullmatch(word)]
+        for at in range(0, len(countable), 2000):
+            some = countable[at:at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            last = np.cumsum([len(_PIECE.findall(word)) for word in some]) - 1
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != last[-1] + 1:
+                self._learn_singly(some)
+                continue
+            raw, bounds = ids.tobytes(), [0, *(4 * ends[last]).tolist()]
+            self.recent.update((word.encode(), raw[a:b]) for word, a, b in zip(some, bounds, bounds[1:]))
+        self._learn_singly([word for word in fresh if not _COUNTABLE.fullmatch(word)])
+
+    def _learn_singly(self, some: list[str]) -> None:
+        for word, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
+            self.recent[word.encode()] = np.array(found.ids, "<u4").tobytes()
 
-    return ids
+
+@cache
+def _encoder(path: str) -> _Encoder:
+    return _Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, doc_id: str = "doc_id",
@@ -69,8 +102,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
                 texts = [x or "" for x in part["text"].to_pylist()]
                 rows: list[list[int]] = [[], [], [], [], []]
                 for number, ids in zip(part["doc_id"].to_pylist(), encode(texts)):
