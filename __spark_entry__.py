@@ -721,18 +721,26 @@ def _join_insider_stream(spark, folder):
     return _replayed(joined.select("id", "rule", "ts", "actor", "type", "insider_time"), "join-insider", folder)
 
 
+def _joined_by_batch(spark, folder, number, join, name):
+    """The alert stream joined, batch by batch, with the period of a feature table that it can reach."""
+    source, path = _source(spark, folder), scratch_path(spark, name)
+    combined.join_by_batch(
+        _silver_alerts(_stream(spark, folder)), lambda first, last: _features(adapters.between(source, first, last))[number],
+        join, path, scratch_path(spark, f"{name}-checkpoint"),
+    ).awaitTermination()
+    return spark.read.parquet(path)
+
+
 @_query("alerts_join_txn_static", _SQL["alerts_join_txn"])
 def _join_static(spark, folder):
-    static = _features(_source(spark, folder))[0]
-    joined = combined.stream_alerts_with_payments(_silver_alerts(_stream(spark, folder)), static, LATE)
-    return _drained(joined.select("id", "rule", "ts", "cardId", "amount", "txn_time"), "join-static")
+    joined = _joined_by_batch(spark, folder, 0, gold.alerts_with_payments, "join-static")
+    return joined.select("id", "rule", "ts", "cardId", "amount", "txn_time")
 
 
 @_query("alerts_join_insider_static", _SQL["alerts_join_insider"])
 def _join_insider_static(spark, folder):
-    static = _features(_source(spark, folder))[1]
-    joined = combined.stream_alerts_with_activity(_silver_alerts(_stream(spark, folder)), static, LATE)
-    return _drained(joined.select("id", "rule", "ts", "actor", "type", "insider_time"), "insider-static")
+    joined = _joined_by_batch(spark, folder, 1, gold.alerts_with_activity, "insider-static")
+    return joined.select("id", "rule", "ts", "actor", "type", "insider_time")
 
 
 @_twin("gold_combined_threat")

@@ -41,6 +41,17 @@ def test_strict(raw):
     ]
 
 
+@pytest.mark.parametrize("text, expected", [
+    ('{"type":{"a":1},"cardId":["x"],"amount":true}', ("", "", 1.0)),
+    ('{"type":"{\\"a\\":1}","cardId":"[x]","amount":"true"}', ('{"a":1}', "[x]", 0.0)),
+    ('{"type":true,"cardId":{},"amount":false}', ("true", "", 0.0)),
+    ('{"type":"TXN","cardId":"{","amount":{"v":1}}', ("TXN", "{", 0.0)),
+])
+def test_strict_values_of_other_kinds(spark, text, expected):
+    row = decode_events(spark.createDataFrame([(text,)], "value string"), "strict").head()
+    assert (row.type, row.cardId, row.amount) == expected
+
+
 def test_broken_values_are_set_aside(raw):
     assert rows(broken_values(raw)) == [(3, "{bad")]
 

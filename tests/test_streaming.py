@@ -13,7 +13,7 @@ from wardline.plans import alerts as alert_plans
 from wardline.plans import gold
 from wardline.schemas import ALERT, EVENT
 from wardline.streaming.combined import (
-    stream_alerts_with_activity, stream_alerts_with_payments, stream_combined_threat_analytics,
+    join_by_batch, stream_alerts_with_activity, stream_alerts_with_payments, stream_combined_threat_analytics,
 )
 from wardline.streaming.runs import drain, write_stream
 from wardline.streaming.sequence import match_sequence_stream
@@ -240,3 +240,26 @@ def test_decoding_works_on_streams(spark, tmp_path):
     write_files(tmp_path / "in", [[{"value": '{"type":"TXN","ts":5}'}]])
     stream = decode_events(read_stream(spark, tmp_path / "in", "value string"), "strict", default_ts=F.lit(0).cast("long"))
     assert drain(stream, str(tmp_path / "out"), str(tmp_path / "chk")).head().type == "TXN"
+
+
+def test_static_side_is_read_in_part(spark, tmp_path):
+    """Each micro-batch meets only the payments near its own alerts, and all of those."""
+    rows = [alert("a", "SMALL_THEN_LARGE", T + i * 3_600_000) for i in range(6)]
+    write_files(tmp_path / "in", [rows[:2], [alert("a", "FRAUD", None)], rows[2:]])
+    payments = spark.createDataFrame(
+        [("a", float(i), T + i * 600_000) for i in range(80)], "cardId string, amount double, ts long"
+    ).selectExpr("cardId", "amount", "timestamp_millis(ts) AS event_time")
+    periods = []
+
+    def side(first, last):
+        periods.append((first, last))
+        return payments.where(F.unix_millis("event_time").between(first, last))
+
+    stream = silver(read_stream(spark, tmp_path / "in", ALERT))
+    join_by_batch(stream, side, gold.alerts_with_payments, str(tmp_path / "out"), str(tmp_path / "chk")).awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out")).drop("batch")
+    alerts = silver(spark.createDataFrame([tuple(r.values()) for r in [*rows, alert("a", "FRAUD", None)]], ALERT))
+    expected = gold.alerts_with_payments(alerts, payments).select(found.columns)
+    assert found.exceptAll(expected).isEmpty() and expected.exceptAll(found).isEmpty()
+    hour = 3_600_000
+    assert periods == [(T - hour, T + 2 * hour), (0, 0), (T + hour, T + 6 * hour)]

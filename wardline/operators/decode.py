@@ -23,7 +23,7 @@ def decode_events(
 
     ``lenient`` reads with the declared schema: a value of another type, a missing field and every
     field of a broken text become NULL. ``strict`` coerces instead: numbers may come as text or be
-    fractional, a missing text is ``''``, a missing amount ``0.0``, a missing ``ts`` is
+    fractional, a missing or nested text is ``''``, a missing amount ``0.0`` and ``true`` 1.0, a missing ``ts`` is
     ``default_ts`` (the current time unless given). Broken texts are left out; take them from
     :func:`broken_values`.
     """
@@ -38,10 +38,11 @@ def decode_events(
     parsed = _with_field_texts(raw, value)
     return parsed.where(_is_json(value)).select(
         *others,
-        _or_empty("type"),
-        _or_empty("cardId"),
-        F.coalesce(F.col(_TEXT["amount"]).try_cast("double"), F.lit(0.0)).alias("amount"),
-        _or_empty("actor"),
+        _or_empty("type", value),
+        _or_empty("cardId", value),
+        F.when(_is_kind("amount", value, "BOOLEAN", F.col(_TEXT["amount"]) == "true"), 1.0)
+        .otherwise(F.coalesce(F.col(_TEXT["amount"]).try_cast("double"), F.lit(0.0))).alias("amount"),
+        _or_empty("actor", value),
         F.coalesce(
             F.col(_TEXT["ts"]).try_cast("bigint"),
             F.col(_TEXT["ts"]).try_cast("double").try_cast("bigint"),
@@ -68,8 +69,18 @@ def _is_json(value: str) -> Column:
     return has_field | F.coalesce((F.trim(text) == "") | F.try_parse_json(text).isNotNull(), F.lit(False))
 
 
-def _or_empty(name: str) -> Column:
-    return F.coalesce(_TEXT[name], F.lit("")).alias(name)
+def _is_kind(name: str, value: str, kind: str, looks: Column) -> Column:
+    """Whether a field is of a JSON ``kind``; only where its text ``looks`` so is the value parsed again."""
+    field = F.try_variant_get(F.try_parse_json(value), f"$.{name}", "variant")
+    return F.coalesce(looks & F.when(looks, F.schema_of_variant(field) == kind), F.lit(False))
+
+
+def _or_empty(name: str, value: str) -> Column:
+    """The field's text; a missing field, an object and a list have none."""
+    text = F.col(_TEXT[name])
+    looks = text.startswith("{") | text.startswith("[")
+    nested = F.coalesce(looks, F.lit(False)) & ~_is_kind(name, value, "STRING", looks)
+    return F.when(nested, "").otherwise(F.coalesce(text, F.lit(""))).alias(name)
 
 
 def with_event_time(events: DataFrame) -> DataFrame:

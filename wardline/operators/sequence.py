@@ -115,8 +115,10 @@ def spread_over_buckets(rows: DataFrame, rule: SequenceRule, bucket_spans: int)
     """Each row once per ``bucket`` that sees it; it can begin a match in its own bucket only."""
     width = rule.within_ms * bucket_spans
     if rule.only_skips:
-        # Rows matching no step can neither extend nor break such a sequence.
-        rows = rows.where(" OR ".join(_flags(rule)))
+        # Rows matching no step can neither extend nor break such a sequence. On a stream, naming the event time
+        # keeps this filter above the watermark: such rows need no state, but time passes with them.
+        timeless = ["event_time IS NULL"] if rows.isStreaming else []
+        rows = rows.where(" OR ".join([*_flags(rule), *timeless]))
     return rows.withColumn(
         "bucket", F.explode(visible_buckets(F.col("ts"), width, ahead=rule.within_ms))
     ).withColumn("is_step0", F.col("is_step0") & (own_bucket(F.col("ts"), width) == F.col("bucket")))

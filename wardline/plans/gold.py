@@ -183,15 +183,6 @@ def pattern_entities(silver: DataFrame, watermark: str | None = "30 minutes") ->
     )
 
 
-def affected_entities(entities: DataFrame) -> DataFrame:
-    """:func:`pattern_entities` with each pattern's entities in one sorted list, repeated as often as
-    they were alerted. For small windows: the list of a pattern is one row of one task."""
-    once_per_alert = F.flatten(F.collect_list(F.array_repeat("entity", F.col("alerts").cast("int"))))
-    return entities.groupBy("window_start", "window_end", "rule", "alert_type").agg(
-        F.sort_array(once_per_alert).alias("affected_entities")
-    )
-
-
 def executive_dashboard(silver: DataFrame, watermark: str | None = DAY) -> DataFrame:
     """Key figures per day."""
 

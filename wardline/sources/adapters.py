@@ -5,7 +5,7 @@ One fixed mapping from its event types to ours; ``error`` has no counterpart and
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,10 +52,9 @@ def replay(spark: SparkSession, folder: str, path: str, slices: int = 3) -> Data
     first, last = table.agg(F.min("ts"), F.max("ts")).first()
     step = (last - first) / slices
     for number in range(slices):
-        from_here = F.col("ts").isNull() if number == 0 else F.lit(False)
-        from_here = from_here | (F.col("ts") >= F.lit(first + number * step))
-        part = table.where(from_here) if number == slices - 1 else table.where(
-            from_here & (F.col("ts").isNull() | (F.col("ts") < F.lit(first + (number + 1) * step))))
+        from_here = F.col("ts").isNull() if number == 0 else F.lit(False)  # events without a time go first
+        to_there = F.lit(True) if number == slices - 1 else F.col("ts") < _moment(first + (number + 1) * step)
+        part = table.where(from_here | ((F.col("ts") >= _moment(first + number * step)) & to_there))
         part.coalesce(1).write.mode("append").parquet(path)
     kinds = [name for name, _ in [*TYPE_OF, ("error", None)]]
     for number in range(1, FLUSHES + 1):
@@ -73,13 +72,23 @@ def without_flush(results: DataFrame, source: DataFrame) -> DataFrame:
             return results.where(F.col(name).isNull() | (F.col(name) != str(FLUSH_USER)))
     end = source.agg(F.max("ts").alias("end")).first()["end"] + timedelta(days=FLUSH_EVERY_DAYS // 2)
     if "window_start" in results.columns:
-        return results.where(F.col("window_start") < F.lit(end).cast("timestamp"))
+        return results.where(F.col("window_start") < F.lit(str(end)).cast("timestamp"))
     return results.where(F.col("date").isNull() | (F.col("date") < end.strftime("%Y-%m-%d")))
 
 
+def _moment(at: object) -> Column:
+    return F.lit(str(at)).cast("timestamp_ntz")
+
+
 def since(source: DataFrame, moment: str) -> DataFrame:
     """Events from ``moment`` (ISO text) on, as a filter the scan can use."""
-    return source.where(F.col("ts") >= F.lit(moment).cast("timestamp_ntz"))
+    return source.where(F.col("ts") >= _moment(moment))
+
+
+def between(source: DataFrame, first_ms: int, last_ms: int) -> DataFrame:
+    """Events of a period (epoch milliseconds, both ends included), as a filter the scan can use."""
+    first, last = (datetime.fromtimestamp(ms / 1000, timezone.utc).replace(tzinfo=None) for ms in (first_ms, last_ms))
+    return source.where((F.col("ts") >= _moment(first)) & (F.col("ts") <= _moment(last)))
 
 
 def _event_time() -> Column:

@@ -5,10 +5,13 @@ Stream-stream outer joins emit an unmatched row once the watermark shows that no
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from wardline.functions.times import iso_date
+from wardline.functions.times import iso_date, millis
 from wardline.operators.bandjoin import BAND
 from wardline.plans.gold import (
     DAY, alerts_with_activity, alerts_with_payments, entity_totals, threat_columns,
@@ -34,6 +37,32 @@ def stream_alerts_with_activity(
     return alerts_with_activity(watermarked(silver, delay), watermarked(insider, delay), band)
 
 
+def join_by_batch(
+    stream: DataFrame,
+    side: Callable[[int, int], DataFrame],
+    join: Callable[[DataFrame, DataFrame], DataFrame],
+    path: str,
+    checkpoint: str,
+    every: str | None = None,
+    band: str = BAND,
+) -> StreamingQuery:
+    """Join every micro-batch with the part of a static table that it can reach, into files at ``path``.
+
+    ``side`` gives that part for a period in epoch milliseconds: the batch's own, widened by ``band``, so that a
+    table laid out by time is read and shuffled in part. A repeated batch overwrites its own files.
+    """
+    reach = millis(band)
+
+    def one(batch: DataFrame, number: int) -> None:
+        at = F.unix_millis("event_time")
+        first, last = batch.agg(F.min(at), F.max(at)).first()
+        near = side(0, 0).where("false") if first is None else side(first - reach, last + reach)
+        join(batch, near).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
+
+
 def stream_combined_threat_analytics(
     silver: DataFrame, fraud: DataFrame, insider: DataFrame, delay: str = DAY, band: str = BAND
 ) -> DataFrame:

@@ -13,18 +13,16 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from wardline.functions.times import own_bucket, visible_buckets
-from wardline.operators.sequence import SequenceRule, step_flags
+from wardline.operators.sequence import BUCKET_SPANS, SequenceRule, spread_over_buckets, step_flags
 
 # Executors need not have this package installed: the matcher travels with the query.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BUCKET_SPANS = 32
 _FAILED = np.iinfo(np.int64).min
 _MATCH = "id string, rule string, ts long, first_ts long, first_seq long"
 
@@ -37,20 +35,13 @@ def match_sequence_stream(
     ``delay`` is how late an event may come. A match is emitted (append mode) once the watermark has
     passed its last event.
     """
-    width = rule.within_ms * bucket_spans
     flags = [f"is_step{i}" for i in range(len(rule.steps))]
     rows = step_flags(events, rule, "event_time").withWatermark("event_time", delay)
-    if rule.only_skips:
-        # Naming the event time keeps this filter above the watermark: events that match no step
-        # need no state, but time passes with them.
-        rows = rows.where(" OR ".join([*flags, "event_time IS NULL"]))
-    spread = rows.withColumn(
-        "bucket", F.explode(visible_buckets(F.col("ts"), width, ahead=rule.within_ms))
-    ).withColumn("is_step0", F.col("is_step0") & (own_bucket(F.col("ts"), width) == F.col("bucket")))
+    spread = spread_over_buckets(rows, rule, bucket_spans)
     return (
         spread.select("id", "bucket", "ts", "seq", *flags, "event_time")
         .groupBy("id", "bucket")
-        .transformWithState(
+        .transformWithStateInPandas(
             statefulProcessor=_Matcher(rule),
             outputStructType=_MATCH,
             outputMode="Append",
@@ -84,11 +75,12 @@ def _scan(ts: np.ndarray, flags: np.ndarray, skips: list[bool]) -> tuple[np.ndar
 
 
 class _Matcher(StatefulProcessor):
-    """Holds, per key and bucket, one list: the events ahead of the watermark (``wait`` 0) and the
-    sequences begun before it (``wait`` is the step they need, ``ts`` and ``seq`` those of their start).
+    """Holds, per key and bucket, the events ahead of the watermark and the sequences begun before it.
 
-    A timer stands at the earliest held event. Calls into the state cost far more than the matching,
-    so a firing reads the list once and writes it once.
+    Events come as Arrow batches and are kept as they are held: per batch one row of three arrays, 24 bytes an event.
+    A timer stands at the earliest held event. Calls into the state cost far more than the matching, so a firing reads
+    the rows once and writes one. A group holds one key's events of ``bucket_spans + 1`` times ``within``, less what
+    the watermark has passed.
     """
 
     def __init__(self, rule: SequenceRule) -> None:
@@ -97,58 +89,74 @@ class _Matcher(StatefulProcessor):
         self.skips = [step.skip for step in rule.steps]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        flags = ", ".join(f"is_step{i} boolean" for i in range(len(self.skips)))
         self.handle = handle
-        self.held = handle.getListState("held", f"wait int, ts long, seq long, {flags}")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        events = [(0, *row[2:-1]) for row in rows]
-        if events:
-            self.held.appendList(events)
-            self.handle.registerTimer(min(event[1] for event in events))
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.held = handle.getListState("held", "ts binary, seq binary, steps binary")
+        self.begun = handle.getValueState("begun", "wait binary, ts binary, seq binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        earliest = []
+        for events in rows:
+            if len(events):
+                steps = sum(events[f"is_step{i}"].to_numpy(np.int64) << i for i in range(len(self.skips)))
+                self._hold(events["ts"].to_numpy(np.int64), events["seq"].to_numpy(np.int64), steps)
+                earliest.append(int(events["ts"].min()))
+        if earliest:
+            self.handle.registerTimer(min(earliest))
+        return iter(())
+
+    def _hold(self, *arrays: np.ndarray) -> None:
+        self.held.appendValue(_as_bytes(arrays))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(row) for row in self.held.get()]
-        ready = sorted(row[1:] for row in held if row[0] == 0 and row[1] <= watermark)
-        if not ready:
-            return iter([])
-        begun = [row[:3] for row in held if row[0] > 0]
-        matches, open_ones = self._advance(ready, begun, watermark)
-        ahead = [row for row in held if row[0] == 0 and row[1] > watermark]
-        if ahead:
-            self.handle.registerTimer(min(row[1] for row in ahead))
-        no_flags = (False,) * len(self.skips)
-        kept = ahead + [(*row, *no_flags) for row in open_ones]
-        if kept:
-            self.held.put(kept)
-        else:
-            self.held.clear()
-        return (Row(id=key[0], rule=self.rule, ts=end, first_ts=ts, first_seq=seq) for end, ts, seq in matches)
-
-    def _advance(self, ready: list[tuple], begun: list[tuple], watermark: int) -> tuple[list, list]:
-        """Matches ``(ts, first_ts, first_seq)`` the ready events complete, and what stays begun."""
-        ts = np.array([row[0] for row in ready], dtype=np.int64)
-        seq = np.array([row[1] for row in ready], dtype=np.int64)
-        flags = np.array([row[2:] for row in ready], dtype=bool).T
+        held = [np.concatenate(x) for x in zip(*map(_as_arrays, self.held.get()))]
+        ready = held[0] <= watermark if held else np.zeros(0, bool)
+        if not ready.any():
+            return iter(())
+        ts, seq, steps = (column[ready] for column in held)
+        order = np.lexsort((seq, ts))
+        flags = steps[order] >> np.arange(len(self.skips))[:, None] & 1 > 0
+        begun = _as_arrays(self.begun.get()) if self.begun.exists() else [np.empty(0, np.int64)] * 3
+        done, still = self._advance(ts[order], seq[order], flags, begun, watermark)
+        self.held.clear()
+        if not ready.all():
+            ahead = [column[~ready] for column in held]
+            self._hold(*ahead)
+            self.handle.registerTimer(int(ahead[0].min()))
+        if len(still[0]):
+            self.begun.update(_as_bytes(still))
+        elif self.begun.exists():
+            self.begun.clear()
+        if not len(done[0]):
+            return iter(())
+        found = pd.DataFrame(dict(zip(("ts", "first_ts", "first_seq"), done)))
+        found.insert(0, "id", key[0])
+        found.insert(1, "rule", self.rule)
+        return iter([found])
+
+    def _advance(
+        self, ts: np.ndarray, seq: np.ndarray, flags: np.ndarray, begun: list[np.ndarray], watermark: int
+    ) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Matches ``(ts, first_ts, first_seq)`` the ready events complete, and what stays begun
+        ``(wait, first_ts, first_seq)``."""
         starts = np.flatnonzero(flags[0])
-        if not begun and not len(starts):
-            return [], []
         ends, waits = _scan(ts, flags, self.skips)
-        older = np.array(begun, dtype=np.int64).reshape(-1, 3)
         # Sequences begun earlier go on at the first row, new ones just after their own.
-        first_ts = np.concatenate([older[:, 1], ts[starts]])
-        first_seq = np.concatenate([older[:, 2], seq[starts]])
-        end = np.concatenate([ends[older[:, 0], 0], ends[1, starts + 1]])
-        wait = np.concatenate([waits[older[:, 0], 0], waits[1, starts + 1]])
+        first_ts = np.concatenate([begun[1], ts[starts]])
+        first_seq = np.concatenate([begun[2], seq[starts]])
+        end = np.concatenate([ends[begun[0], 0], ends[1, starts + 1]])
+        wait = np.concatenate([waits[begun[0], 0], waits[1, starts + 1]])
         done = (end != _FAILED) & (end < first_ts + self.within)
         still = (wait > 0) & (first_ts + self.within > watermark)
-
-        def rows(which: np.ndarray, *columns: np.ndarray) -> list[tuple]:
-            return list(zip(*[column[which].tolist() for column in columns], strict=True))
-
-        return rows(done, end, first_ts, first_seq), rows(still, wait, first_ts, first_seq)
+        return [x[done] for x in (end, first_ts, first_seq)], [x[still] for x in (wait, first_ts, first_seq)]
 
     def close(self) -> None:
         pass
+
+
+def _as_bytes(arrays) -> tuple[bytes, ...]:
+    return tuple(np.ascontiguousarray(x, np.int64).tobytes() for x in arrays)
+
+
+def _as_arrays(row) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.int64) for x in row]
