@@ -50,12 +50,11 @@ class _Part:
     def __init__(self, table: pa.Table, window: int):
         table = table.sort_by([("doc_id", "ascending"), ("k", "ascending")]).combine_chunks()
         self.window, self.block = window, (window + 1) // 2
-        self.texts = table["text"].combine_chunks()
         known = table["doc_id"].is_valid().to_numpy(zero_copy_only=False)
-        self.ids = table["doc_id"].fill_null(0).to_numpy()
+        self.doc_id = table["doc_id"]
+        self.ids = self.doc_id.fill_null(0).to_numpy()
         hashes, first, total = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)], 0
-        if isinstance(self.texts, pa.ChunkedArray):
-            self.texts = pa.concat_arrays(self.texts.chunks) if self.texts.num_chunks else pa.array([], pa.string())
+        self.texts = pa.concat_arrays(table["text"].chunks or [pa.array([], pa.string())])
         for _, some in words.slices(self.texts):
             found = words.scan(some)
             hashes.append(words.word_hashes(found))
@@ -218,7 +217,6 @@ def _cleaned(window: int):
     def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _table({"doc_id": [], "n_words": [], "n_removed": [], "kept": []}, _KEPT)
-        order = [("doc_id", "ascending"), ("k", "ascending")]
         part = _Part(docs, window)
         removed = words.covered(_all_places(found), window, len(part.hashes))
         counts = words.by_row(removed, part.first)
@@ -229,7 +227,7 @@ def _cleaned(window: int):
                 stays = ~removed[part.first[row]:part.first[row + 1]]
                 own = [own[i] for i in np.flatnonzero(stays)]
             kept.append(b" ".join(own).decode())
-        return _table({"doc_id": docs.sort_by(order)["doc_id"], "n_words": part.lengths, "n_removed": counts, "kept": kept}, _KEPT)
+        return _table({"doc_id": part.doc_id, "n_words": part.lengths, "n_removed": counts, "kept": kept}, _KEPT)
 
     return run
 
