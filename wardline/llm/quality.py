@@ -15,10 +15,11 @@ text are carried along by :func:`keep_good` and dropped by :func:`judged` but fo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -81,14 +82,16 @@ def _lines(text: str) -> tuple[int, int]:
 
 def signals(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with :data:`COUNTS` of the text; columns of ``docs`` with such a name are replaced."""
-    docs = docs.drop(*(name for name in COUNTS if name != text))
+    return _counted(docs.drop(*(name for name in COUNTS if name != text)), lambda batch: batch[text])
 
+
+def _counted(rows: DataFrame, texts: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = count_signals(batch[text])
+            counts = count_signals(texts(batch))
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, counts.values())], [*batch.schema.names, *counts])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(name, LongType()) for name in COUNTS)]))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *(StructField(name, LongType()) for name in COUNTS)]))
 
 
 def _rules() -> dict[str, Column]:
@@ -149,5 +152,5 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns. Texts are read twice and stay where they are."""
     votes = signals(docs.select(F.col(text).alias("text"))).drop("text")
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
-    return _judge(signals(whole), votes).where("kept").select("row.*")
+    whole = _counted(docs.select(F.struct(*docs.columns).alias("row")), lambda batch: pc.struct_field(batch["row"], [text]))
+    return _judge(whole, votes).where("kept").select("row.*")

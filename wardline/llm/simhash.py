@@ -19,11 +19,12 @@ component has no other; an empty table gives an empty result; columns other than
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,14 +56,16 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 def fingerprinted(docs: DataFrame, shingle: int = 4, text: str = "text") -> DataFrame:
     """``docs`` with ``fingerprint`` (a signed long), in place of a column of that name."""
-    docs = docs.drop("fingerprint")
+    return _printed(docs.drop("fingerprint"), shingle, lambda batch: batch[text])
 
+
+def _printed(rows: DataFrame, shingle: int, texts: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch[text]), np.uint64, len(batch))
+            found = np.fromiter((fingerprint(x.as_py(), shingle) for x in texts(batch)), np.uint64, len(batch))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, "fingerprint"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("fingerprint", LongType())]))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("fingerprint", LongType())]))
 
 
 def _positions(bits: int) -> list[tuple[int, ...]]:
@@ -213,7 +216,7 @@ def keep_one(docs: DataFrame, shingle: int = 4, bits: int = 4, doc_id: str = "do
     rooted = cut(_rooted(cut(known), bits))
     firsts = rooted.groupBy("root").agg(F.min(F.struct("least", "fingerprint")).alias("first"))
     firsts = firsts.select(F.col("first.fingerprint").alias("_fingerprint"), F.col("first.least.doc_id").alias("_id"))
-    whole = fingerprinted(docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text")), shingle).drop("text")
+    whole = _printed(docs.select(F.struct(*docs.columns).alias("row")), shingle, lambda batch: pc.struct_field(batch["row"], [text]))
     held = whole.withColumn("_own", F.col(f"row.{doc_id}"))
     kept = held.join(firsts, (F.col("fingerprint") == F.col("_fingerprint")) & F.col("_own").eqNullSafe(F.col("_id")))
     among = Window.partitionBy("fingerprint", "_own").orderBy(F.xxhash64("row"))
