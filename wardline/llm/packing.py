@@ -35,7 +35,7 @@ from wardline.llm.shared import cut
 CAPACITY = 4096
 PIECES = 50_000
 ROUNDS = 4
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 
 # Words whose pieces (letters, single digits, runs of signs) can be counted without the tokenizer: no apostrophes, which
 # may start a suffix, no signs of special tokens, no letters that change their number in lower case.
