@@ -10,7 +10,8 @@ Strict matches (:func:`base_spans`) always stay; the classifier adds spans, of t
 tokens, passwords). Both passes read texts in place: the first returns counts of patterns, whose number is bounded by
 the votes and features, the second the spans. Nothing is shuffled but these counts.
 
-Every pattern here runs in time linear in the text, whatever the text.
+Every pattern here runs in time linear in the text, whatever the text. Keys and named values are taken whole, however
+long they are.
 
 Defined results: a null or empty text has no spans; repeated rows get the same spans; a null id is carried through; an
 empty table gives an empty result; :func:`masked` keeps all columns of its input.
@@ -40,10 +41,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])")
-_KEY = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,128}+(?![A-Za-z0-9])")
+_KEY = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}+(?![A-Za-z0-9])")
 _GIVEN = re.compile(
     r"(?i)(?<![a-z])(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,3}[=:][ \t]{0,3}"
-    r"[\"']?([A-Za-z0-9+/_.~-]{6,200})")
+    r"[\"']?([A-Za-z0-9+/_.~-]{6,}+)")
 
 # Gazetteers: fixed values.
 DOMAINS = frozenset("com org net edu gov io info biz de fr es it uk eu us ca ch at nl".split())
@@ -117,7 +118,11 @@ def candidates(text: str) -> list[Candidate]:
         wide += [(3, *m.span()) for m in _LOCAL_PHONE.finditer(text)]
         wide += [(4, *m.span()) for m in _KEY.finditer(text) if _mixed_key(m.group())]
     if "=" in text or ":" in text:
-        wide += [(4, *m.span(1)) for m in _GIVEN.finditer(text)]
+        given, named = _Taken(), [m.span(1) for m in _GIVEN.finditer(text)]
+        for span in named:
+            given.add(*span)
+        # A value that is named goes whole: a key that is part of it would leave the rest.
+        wide = [span for span in wide if span[0] != 4 or not given.touches(*span[1:])] + [(4, *span) for span in named]
     taken = _Taken()
     for _, start, end in sorted(base, key=lambda span: span[1:]):
         taken.add(start, end)
