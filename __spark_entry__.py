@@ -11,7 +11,9 @@ a day) are chosen because the usual ones match nothing in this table.
 
 from __future__ import annotations
 
+import importlib
 import sys
+import warnings
 from collections.abc import Callable
 from pathlib import Path
 
@@ -750,23 +752,24 @@ def _combined_stream(spark, folder):
     return _replayed(table, "combined", folder)
 
 
-# --- queries of the training-data operators, where that subpackage is present ------------------------
+# --- queries of the training-data operators, where that subpackage and all it needs are present ------
 
-try:
-    import wardline.llm.queries as _llm
-except ModuleNotFoundError as missing:
-    if missing.name not in ("wardline.llm", "wardline.llm.queries"):
-        raise
-else:
+
+def _optional(module: str):
+    """The module, or None (with a warning, unless it was simply left out) where it can't be imported."""
+    try:
+        return importlib.import_module(module)
+    except ImportError as error:
+        if getattr(error, "name", None) not in ("wardline.llm", "corpus_pipeline"):
+            warnings.warn(f"{module} is not registered: {error}", stacklevel=2)
+        return None
+
+
+if _llm := _optional("wardline.llm.queries"):
     _QUERIES.update(_llm.QUERIES)
     _SQL.update(_llm.SQL)
 
-try:
-    import corpus_pipeline as _pipeline
-except ModuleNotFoundError as missing:
-    if missing.name != "corpus_pipeline":
-        raise
-else:
+if _pipeline := _optional("corpus_pipeline"):
     _QUERIES["pipeline"] = _pipeline.run
     if _pipeline.ORACLE_SQL:
         _SQL["pipeline"] = _pipeline.ORACLE_SQL

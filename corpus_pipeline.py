@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import mixing, packing, pii, quality, shingles
+from wardline.llm import mixing, packing, pii, quality, simhash
 from wardline.session import scratch_path
 
 
@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates the document of least id stays."""
-    return shingles.keep_one(docs, shingle=5, least=0.8)
+    """Of every group that fingerprints within 4 bits link the document of least id stays."""
+    return simhash.keep_one(docs, shingle=4, bits=4)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
