@@ -6,10 +6,12 @@ many positions, that is at the intersections of its bytes' postings, so two fing
 of positional bytes they share reaches the minimum; below that no pair is ever formed. Pairs that meet are verified
 by their distance.
 
+No tally is kept per pair: the choices of positions stand for it, and find the same pairs without forming any other.
+
 Equal fingerprints are merged before the index, so copies cost nothing there. Inside a posting no list of pairs is
 made: a search spreads from one fingerprint to all within reach and takes each away once reached, which yields one
 link per fingerprint. A long posting is divided first by the parts of its remaining bytes, of which at least one must
-agree. Components come from alternating large-star and small-star rounds over these links, in the shared folder.
+agree. Buckets of the index hold some ``BUCKET_POSTINGS`` postings each, however many there are. Components come from alternating large-star and small-star rounds over these links, in the shared folder.
 
 Defined results: a null, empty or blank text has fingerprint zero and links like any other; fewer words than a shingle
 make one shingle; rows that repeat an id are rows of their own; a null id can't be a component's id unless the
@@ -35,6 +37,7 @@ from wardline.llm.words import mixed
 
 SEED = 42
 LONG_POSTING = 4096
+BUCKET_POSTINGS = 4_000_000
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -113,7 +116,9 @@ def _posting_links(prints: np.ndarray, shared: int, bits: int) -> Iterator[tuple
 def links(prints: DataFrame, bits: int = 4) -> DataFrame:
     """``a, b``: links between the different fingerprints of ``prints.fingerprint``, which connect all that are
     connected by distances of at most ``bits``."""
-    buckets = 2 * tasks(prints.sparkSession)
+    distinct = cut(prints.select("fingerprint").distinct())
+    postings = distinct.count() * len(_positions(bits))
+    buckets = max(2 * tasks(prints.sparkSession), -(-postings // BUCKET_POSTINGS))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         choices = np.arange(len(_positions(bits)), dtype=np.uint8)
@@ -149,7 +154,6 @@ def links(prints: DataFrame, bits: int = 4) -> DataFrame:
         pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
         return pa.table({"a": pair[:, 0].view(np.int64), "b": pair[:, 1].view(np.int64)})
 
-    distinct = prints.select("fingerprint").distinct()
     indexed = distinct.mapInArrow(index, "bucket int, prints binary, choices binary")
     return indexed.groupBy("bucket").applyInArrow(meet, "a long, b long")
 
