@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import mixing, packing, pii, pseudo, quality, repeats, sharding, simhash, topk, urls
+from wardline.llm import merkle, mixing, packing, pii, pseudo, quality, repeats, sharding, simhash, topk, urls
 from wardline.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +209,72 @@ r AS (
 SELECT doc_id, size, source_size, round(target, 6) AS target,
        CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM r"""
+
+
+@_query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every second document, by a checksum of its id, is shown without its line feeds, which its proof must tell."""
+    docs = read(spark, folder, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    shown = F.when(altered, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    leaves = docs.select("doc_id", "source", merkle.leaf(*map(F.col, columns)).alias("leaf"),
+                         merkle.leaf(*map(F.col, columns[:4]), shown).alias("seen"))
+    found = merkle.manifest(leaves, keep=("seen",))
+    found = merkle.folded(found.withColumn("proof_sha256", F.sha2(merkle.siblings(F.col("proof")), 256)), "seen", "proof")
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root",
+                        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+# Trees grow level by level; a document's siblings are looked up at the levels below its subroot, then above it.
+SQL["op13_merkle_manifest"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+         || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+         || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head, text,
+         list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
+           lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]),
+             lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) & 1 AS crc_bit
+  FROM documents),
+l AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         -- The checksum is the register's complement: it is even where the register is odd.
+         sha256(head || coalesce(CASE WHEN crc_bit = 1 THEN strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), '')
+                                      ELSE strlen(text) || ':' || text END, '-')) AS seen
+  FROM d),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS spot,
+         dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER () AS id
+  FROM l),
+low AS (
+  SELECT 0 AS level, tree, spot, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM p
+  UNION ALL
+  SELECT level + 1, tree, spot // 3, sha256(string_agg(h, '' ORDER BY spot)), any_value((n + 2) // 3)
+  FROM low WHERE n > 1 GROUP BY level, tree, spot // 3),
+subs AS (SELECT tree, h FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, tree AS spot, h, count(*) OVER () AS n FROM subs
+  UNION ALL
+  SELECT level + 1, spot // 3, sha256(string_agg(h, '' ORDER BY spot)), any_value((n + 2) // 3)
+  FROM high WHERE n > 1 GROUP BY level, spot // 3),
+steps AS (
+  SELECT p.id, low.level, string_agg(low.h, '' ORDER BY low.spot) FILTER (low.spot < p.spot // CAST(pow(3, low.level) AS BIGINT)) AS l,
+         string_agg(low.h, '' ORDER BY low.spot) FILTER (low.spot > p.spot // CAST(pow(3, low.level) AS BIGINT)) AS r
+  FROM p JOIN low ON low.tree = p.tree AND low.n > 1 AND low.spot // 3 = p.spot // CAST(pow(3, low.level + 1) AS BIGINT)
+  GROUP BY p.id, low.level
+  UNION ALL
+  SELECT p.id, 1000 + high.level, string_agg(high.h, '' ORDER BY high.spot) FILTER (high.spot < p.tree // CAST(pow(3, high.level) AS BIGINT)),
+         string_agg(high.h, '' ORDER BY high.spot) FILTER (high.spot > p.tree // CAST(pow(3, high.level) AS BIGINT))
+  FROM p JOIN high ON high.n > 1 AND high.spot // 3 = p.tree // CAST(pow(3, high.level + 1) AS BIGINT)
+  GROUP BY p.id, high.level),
+proofs AS (
+  SELECT id, string_agg(coalesce(l, '') || coalesce(r, ''), '' ORDER BY level) AS proof,
+         list({'l': coalesce(l, ''), 'r': coalesce(r, '')} ORDER BY level) AS way
+  FROM steps GROUP BY id),
+folds AS (
+  SELECT p.id, coalesce(way, []) AS way, seen AS h, 1 AS step FROM p LEFT JOIN proofs USING (id)
+  UNION ALL
+  SELECT id, way, sha256(way[step].l || h || way[step].r), step + 1 FROM folds WHERE step <= len(way))
+SELECT p.doc_id, p.leaf, subs.h AS subroot, (SELECT h FROM high WHERE n = 1) AS root,
+       sha256(coalesce(proofs.proof, '')) AS proof_sha256, f.h AS folded_root, f.h = (SELECT h FROM high WHERE n = 1) AS verified
+FROM p JOIN subs USING (tree) LEFT JOIN proofs USING (id) JOIN folds f ON f.id = p.id AND f.step = len(f.way) + 1"""
