@@ -210,8 +210,9 @@ def manifest(rows: DataFrame, group: str = "source", order: str = "doc_id", leaf
     )
     waves, subroots = _rising(leaves, depth)
     subroots = cut(subroots)
-    above = subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("place"),
-                            F.lit(subroots.count()).cast("long").alias("n"), "digest")
+    # Written, so that the one tree's number is a column to join by and not a constant.
+    above = cut(subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("place"),
+                                F.lit(subroots.count()).cast("long").alias("n"), "digest"))
     upper, roots = _rising(above, depth)
     root = roots.first()
     told = roots.select("tree", F.lit("").alias("path"), F.lit(None).cast("string").alias("subroot"))
