@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import merkle, mixing, packing, pii, pseudo, quality, repeats, sharding, simhash, topk, urls
+from wardline.llm import lexical, merkle, mixing, packing, pii, pseudo, quality, repeats, sharding, simhash, topk, urls
 from wardline.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,6 +211,37 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
 FROM r"""
 
 
+@_query
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"), k=20)
+
+
+SQL["op11_lexical_search"] = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+q AS (
+  SELECT item_id, row_number() OVER () AS q, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM benchmark),
+asked AS (SELECT q, term, count(*) AS times FROM (SELECT q, unnest(terms) AS term FROM q) GROUP BY q, term),
+facts AS (SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM d WHERE len(terms) > 0),
+held AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM held GROUP BY term), facts),
+scores AS (
+  SELECT a.q, h.r, CAST(sum(a.times * w.w * ((1000000000 * h.tf) // (1000 * h.tf + 12 * (75 + (25 * len(d.terms) * n_docs) // total)))) AS BIGINT) AS score
+  FROM asked a JOIN held h USING (term) JOIN weights w USING (term) JOIN d ON d.r = h.r, facts GROUP BY a.q, h.r)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT q.item_id, d.doc_id, s.score, row_number() OVER (PARTITION BY s.q ORDER BY s.score DESC, d.doc_id NULLS LAST) AS rank
+      FROM scores s JOIN d USING (r) JOIN q ON q.q = s.q WHERE s.score > 0)
+WHERE rank <= 20"""
+
+
 @_query
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Every second document, by a checksum of its id, is shown without its line feeds, which its proof must tell."""
