@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import lexical, merkle, mixing, packing, pii, pseudo, quality, repeats, sharding, simhash, topk, urls
+from wardline.llm import lexical, merkle, mixing, packing, pii, pseudo, quality, repeats, sharding, simhash, topk, toxicity, urls
 from wardline.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -242,6 +242,12 @@ FROM (SELECT q.item_id, d.doc_id, s.score, row_number() OVER (PARTITION BY s.q O
 WHERE rank <= 20"""
 
 
+@_query
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    found = toxicity.toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
+    return found.withColumn("score", F.round("score", 6))
+
+
 @_query
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Every second document, by a checksum of its id, is shown without its line feeds, which its proof must tell."""
