@@ -161,7 +161,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
                 if times == 1:
                     choices.append((letter, LOOK_ALIKE))
                 else:
-                    choices += [(letter, LOOK_ALIKE + ONCE), (letter * 2, LOOK_ALIKE + (0 if times == 2 else DOUBLED))]
+                    choices += [(letter, LOOK_ALIKE + (UNDOUBLED if times == 2 else ONCE)),
+                                (letter * 2, LOOK_ALIKE + (0 if times == 2 else DOUBLED))]
         elif char in SEPARATORS:
             single = _SINGLE.match(token[max(0, run.start() - 2):run.start()]) or _SINGLE.match(token[run.end():run.end() + 2][::-1])
             choices = [("", LIKELY if single else UNLIKELY), (" ", UNLIKELY if single else LIKELY)]
@@ -281,7 +282,7 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame, d
 def _each(docs: DataFrame, counts: np.ndarray, schema: str, found: Callable[[Restorer, str | None], object], name: str) -> DataFrame:
     """``docs`` without ``text`` and with what ``found`` makes of each text, as ``name``."""
     kept = [column for column in docs.columns if column != "text"]
-    kind = pa.float64() if schema == "double" else pa.list_(pa.string())
+    kind = {"double": pa.float64(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}[schema]
     schema = docs.select(*kept, F.lit(None).cast(schema).alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,11 +305,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, features: int = FE
     often = toxic.select(F.explode("found").alias("feature")).groupBy("feature").count().where("count > 1")
     often = [row["feature"] for row in often.orderBy(F.col("count").desc(), "feature").limit(CANDIDATES).select("feature").collect()]
     place = {name: i for i, name in enumerate(often)}
-    both = _each(texts, counts, "array<string>", lambda restorer, text: list(restorer.features(text) & place.keys()), "found")
-    held = both.select("toxic", "found").collect()  # rows of a bounded sample, and only candidates of theirs
+    both = _each(texts, counts, "binary", lambda restorer, text: np.array(
+        [place[name] for name in restorer.features(text) if name in place], np.int32).tobytes(), "found")
+    held = both.select("toxic", "found").collect()  # a bounded sample, with only the candidates in it, four bytes each
     label = np.array([row["toxic"] for row in held], float)
-    lines = np.repeat(np.arange(len(held)), [len(row["found"]) for row in held])
-    columns = np.array([place[name] for row in held for name in row["found"]], np.int64)
+    lines = np.repeat(np.arange(len(held), dtype=np.int32), [len(row["found"]) // 4 for row in held])
+    columns = np.frombuffer(b"".join(row["found"] for row in held), np.int32)
     n = [max(1, int((label == kind).sum())) for kind in (0, 1)]
     size = np.where(label == 1, sizes[1] / n[1], sizes[0] / n[0])
     bad, good = (np.bincount(columns, label[lines] == kind, len(often)) / n[kind] for kind in (1, 0))
