@@ -41,7 +41,7 @@ def test_restores(restorer, hidden, meant):
 
 @pytest.mark.parametrize("hidden, word", [("i d i o t", "idiot"), ("you w o r t h l e s s", "worthless"), ("the 1 d 1 0 t said", "idiot"), ("s c u m", "scum")])
 def test_spaced_letters_are_joined_too(restorer, hidden, word):
-    assert word in restorer.features(hidden)
+    assert word in restorer.vocabulary(hidden)
 
 
 def code(char):
@@ -97,11 +97,11 @@ def test_held_out_accuracy(spark, tables, model):
 def test_hidden_words_score_like_plain_ones(model, restorer):
     clean = "the and of them are seen. "
     for word in ("idiot", "moron", "worthless", "stupid", "clown"):
-        plain = model.score(restorer.features(clean + word))
-        assert plain >= 0.5 > model.score(restorer.features(clean))
+        plain = model.score(restorer.vocabulary(clean + word))
+        assert plain >= 0.5 > model.score(restorer.vocabulary(clean))
         leet = word.translate(str.maketrans("ieost", "13057"))
         for hidden in (leet, ".".join(word), " ".join(word), word[:2] + word[2] * 4 + word[3:], "*".join(word)):
-            assert model.score(restorer.features(clean + hidden)) >= plain - 1e-9, hidden
+            assert model.score(restorer.vocabulary(clean + hidden)) >= plain - 1e-9, hidden
 
 
 def test_pieces_are_whole_and_end_between_words():
@@ -112,7 +112,7 @@ def test_pieces_are_whole_and_end_between_words():
 
 
 def test_very_long_text(restorer):
-    assert "idiot" in restorer.features("word " * 600_000 + "1d10t " + "more " * 10) and len(list(restorer.read("x" * 3_000_000))) == 1
+    assert "idiot" in restorer.vocabulary("word " * 600_000 + "1d10t " + "more " * 10) and len(list(restorer.read("x" * 3_000_000))) == 1
 
 
 def test_awkward_rows(spark):

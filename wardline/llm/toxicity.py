@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from wardline.llm.shared import broadcast_checked, cut
 
-ROWS = 10_000
+ROWS = 5_000
 FEATURES = 5_000
-CANDIDATES = 200_000
+CANDIDATES = 50_000
 PENALTY = 2.0
 STEMS = (4, 5, 6)
 PIECE = 1 << 20
@@ -63,7 +63,7 @@ _CLASS[0xF7] = 0
 _RUN = re.compile(r"(.)\1*", re.DOTALL)
 _LONG_RUN = re.compile(r"(.)\1\1")
 _DOUBLE = re.compile(r"(.)\1")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_][ ]){2,}[^\W_](?!\S)|(?<!\S)(?:[\w@$!|+][ ]){3,}[\w@$!|+](?!\S)")
+_SPACED = re.compile(r" \S(?: \S){2,}(?!\S)")
 _SINGLE = re.compile(r"(?:^|[ .*_~-])[\w@$!|+€]$")  # a single letter before a place (or, reversed, after it)
 _LETTER = re.compile(r"[^\W\d_]")
 _SAFE_END = re.compile(r"\S\S\s")
@@ -110,8 +110,8 @@ def character_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     found = docs.select(F.col(text).alias("text")).mapInArrow(run, "place long, times long").groupBy("place").agg(F.sum("times").alias("times"))
     counts = np.zeros(CLASSES**3, np.int64)
-    for row in found.collect():
-        counts[row["place"]] = row["times"]
+    held = found.toArrow()
+    counts[held["place"].to_numpy()] = held["times"].to_numpy()
     return counts
 
 
@@ -161,7 +161,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
                 if times == 1:
                     choices.append((letter, LOOK_ALIKE))
                 else:
-                    choices += [(letter, LOOK_ALIKE + (UNDOUBLED if times == 2 else ONCE)),
+                    choices += [(letter, LOOK_ALIKE + (2 * UNDOUBLED if times == 2 else ONCE)),
                                 (letter * 2, LOOK_ALIKE + (0 if times == 2 else DOUBLED))]
         elif char in SEPARATORS:
             single = _SINGLE.match(token[max(0, run.start() - 2):run.start()]) or _SINGLE.match(token[run.end():run.end() + 2][::-1])
@@ -184,6 +184,8 @@ class Restorer:
 
     def words(self, token: str) -> tuple[str, ...]:
         """The words that a lower-cased token without white space stands for."""
+        if token.isalpha() and not _DOUBLE.search(token):
+            return (token,)
         held = self.known.get(token)
         if held is None:
             if len(self.known) >= REMEMBERED:
@@ -205,25 +207,34 @@ class Restorer:
             return ()
         return tuple(self.letters.best(lattice(core)).split())
 
+    def _spaced(self, low: str) -> Iterator[str]:
+        """The words of single letters that stand apart."""
+        for run in _SPACED.findall(" " + low.replace("\n", " ").replace("\t", " ")):
+            if _LETTER.search(run):
+                yield from self.letters.best(lattice(run.strip())).split()
+
     def read(self, text: str | None) -> Iterator[str]:
         """The words of the restored text, in pieces in order; a spaced-out run's come after its piece."""
         for piece in pieces(text or ""):
             low = piece.lower()
             for token in low.split():
                 yield from self.words(token)
-            for run in _SPACED.finditer(low):
-                yield from self.letters.best(lattice(run.group(0))).split()
+            yield from self._spaced(low)
 
-    def features(self, text: str | None) -> set[str]:
-        """Words of the restored text, and their beginnings, marked by a caret."""
+    def vocabulary(self, text: str | None) -> set[str]:
+        """The different words of the restored text."""
         found = set()
         for piece in pieces(text or ""):
             low = piece.lower()
             for token in set(low.split()):
                 found.update(self.words(token))
-            for run in _SPACED.finditer(low):
-                found.update(self.letters.best(lattice(run.group(0))).split())
-        return found | {f"^{word[:size]}" for word in found for size in STEMS if len(word) >= size}
+            found.update(self._spaced(low))
+        return found
+
+
+def features(words: set[str]) -> set[str]:
+    """Words, and their beginnings, marked by a caret."""
+    return words | {f"^{word[:size]}" for word in words for size in STEMS if len(word) >= size}
 
 
 @dataclass
@@ -232,8 +243,14 @@ class Model:
     weights: dict[str, float]
     intercept: float
 
-    def score(self, found: set[str]) -> float:
-        total = self.intercept + sum(self.weights[name] for name in found & self.weights.keys())
+    def __post_init__(self):
+        self._heads = {name[1:1 + STEMS[0]] for name in self.weights if name.startswith("^")}
+
+    def score(self, words: set[str]) -> float:
+        """The chance that a text of these words is toxic."""
+        stems = features({word for word in words if word[:STEMS[0]] in self._heads})
+        found = (words & self.weights.keys()) | (stems & self.weights.keys())
+        total = self.intercept + math.fsum(self.weights[name] for name in found)
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, total))))
 
 
@@ -294,28 +311,28 @@ def _each(docs: DataFrame, counts: np.ndarray, schema: str, found: Callable[[Res
     return docs.mapInArrow(run, schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, features: int = FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, most: int = FEATURES) -> Model:
     """The model of ``docs`` (``doc_id, text``) whose ``labels`` (``doc_id, toxic``) are not held out."""
     counts = character_counts(docs)
     sample, sizes = _sample(docs, labels, rows)
     if not sizes.get(1) or not sizes.get(0):
         return Model(counts, {}, -700.0 if not sizes.get(1) else 700.0)
     texts = docs.join(F.broadcast(sample), "doc_id")  # at most twice ``rows`` ids
-    toxic = _each(texts.where("toxic = 1"), counts, "array<string>", lambda restorer, text: list(restorer.features(text)), "found")
+    toxic = _each(texts.where("toxic = 1"), counts, "array<string>", lambda restorer, text: list(features(restorer.vocabulary(text))), "found")
     often = toxic.select(F.explode("found").alias("feature")).groupBy("feature").count().where("count > 1")
-    often = [row["feature"] for row in often.orderBy(F.col("count").desc(), "feature").limit(CANDIDATES).select("feature").collect()]
+    often = often.orderBy(F.col("count").desc(), "feature").limit(CANDIDATES).select("feature").toArrow()["feature"].to_pylist()
     place = {name: i for i, name in enumerate(often)}
     both = _each(texts, counts, "binary", lambda restorer, text: np.array(
-        [place[name] for name in restorer.features(text) if name in place], np.int32).tobytes(), "found")
-    held = both.select("toxic", "found").collect()  # a bounded sample, with only the candidates in it, four bytes each
-    label = np.array([row["toxic"] for row in held], float)
-    lines = np.repeat(np.arange(len(held), dtype=np.int32), [len(row["found"]) // 4 for row in held])
-    columns = np.frombuffer(b"".join(row["found"] for row in held), np.int32)
+        [place[name] for name in features(restorer.vocabulary(text)) if name in place], np.int32).tobytes(), "found")
+    held = both.select("toxic", "found").toArrow()  # a bounded sample, with only the candidates in it, four bytes each
+    label, found = held["toxic"].to_numpy().astype(float), held["found"].to_pylist()
+    lines = np.repeat(np.arange(len(found), dtype=np.int32), [len(row) // 4 for row in found])
+    columns = np.frombuffer(b"".join(found), np.int32)
     n = [max(1, int((label == kind).sum())) for kind in (0, 1)]
     size = np.where(label == 1, sizes[1] / n[1], sizes[0] / n[0])
     bad, good = (np.bincount(columns, label[lines] == kind, len(often)) / n[kind] for kind in (1, 0))
     worth = bad * np.log((bad + 1e-6) / (good + 1 / n[0]))
-    chosen = np.sort(np.argsort(-worth, kind="stable")[:features])
+    chosen = np.sort(np.argsort(-worth, kind="stable")[:most])
     chosen = chosen[bad[chosen] > good[chosen]]
     number = np.full(len(often), -1)
     number[chosen] = np.arange(len(chosen))
@@ -331,7 +348,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, features: int = FE
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score`` of every row of ``docs`` (``doc_id, text``): the chance that it is toxic."""
-    return _each(docs, model.counts, "double", lambda restorer, text: model.score(restorer.features(text)), "score")
+    return _each(docs, model.counts, "double", lambda restorer, text: model.score(restorer.vocabulary(text)), "score")
 
 
 def restored(docs: DataFrame, counts: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
