@@ -150,9 +150,14 @@ class Letters:
         return "".join(reversed(out))
 
 
+def _all_doubled(token: str) -> bool:
+    doubles = sum(len(x.group(0)) for x in _DOUBLE.finditer(token))
+    return doubles >= 4 and 5 * doubles > 4 * len(token)
+
+
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """What each run of one character may stand for."""
-    out = []
+    out, undoubled = [], ONCE if _all_doubled(token) else 2 * UNDOUBLED
     for run in _RUN.finditer(token):
         char, times = run.group(1), len(run.group(0))
         if char in LOOK_ALIKES:
@@ -161,7 +166,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
                 if times == 1:
                     choices.append((letter, LOOK_ALIKE))
                 else:
-                    choices += [(letter, LOOK_ALIKE + (2 * UNDOUBLED if times == 2 else ONCE)),
+                    choices += [(letter, LOOK_ALIKE + (undoubled if times == 2 else ONCE)),
                                 (letter * 2, LOOK_ALIKE + (0 if times == 2 else DOUBLED))]
         elif char in SEPARATORS:
             single = _SINGLE.match(token[max(0, run.start() - 2):run.start()]) or _SINGLE.match(token[run.end():run.end() + 2][::-1])
@@ -171,7 +176,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         elif times == 1:
             choices = [(char, 0.0)]
         else:
-            choices = [(char, UNDOUBLED if times == 2 else ONCE), (char * 2, 0.0 if times == 2 else DOUBLED)]
+            choices = [(char, undoubled if times == 2 else ONCE), (char * 2, 0.0 if times == 2 else DOUBLED)]
         out.append(choices)
     return out
 
@@ -200,8 +205,7 @@ class Restorer:
             core = core[:-len(last.group(0))]
         core = core.strip(ORNAMENT)
         if core.isalpha():
-            doubles = sum(len(x.group(0)) for x in _DOUBLE.finditer(core))
-            if not _LONG_RUN.search(core) and not (doubles >= 4 and 5 * doubles > 4 * len(core)):
+            if not _LONG_RUN.search(core) and not _all_doubled(core):
                 return (core,)
         elif not _LETTER.search(core):
             return ()
