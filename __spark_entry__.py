@@ -28,7 +28,7 @@ from wardline.operators.decode import (
 )
 from wardline.operators.quality import ALERT_RULES, EVENT_RULES, violation_counts
 from wardline.operators.sequence import (
-    insider_exfil, match_sequence, small_then_large, to_alerts,
+    insider_exfil, match_sequence, sequence_timeouts, small_then_large, to_alerts,
 )
 from wardline.plans import alerts as alert_plans
 from wardline.plans import events as event_plans
@@ -37,7 +37,7 @@ from wardline.session import configure, scratch_path
 from wardline.sources import adapters
 from wardline.streaming import combined
 from wardline.streaming.runs import drain
-from wardline.streaming.sequence import match_sequence_stream
+from wardline.streaming.sequence import match_sequence_stream, sequence_outcomes_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -407,6 +407,28 @@ def _followed_by(spark, folder):
     return match_sequence(adapters.all_activity(_source(spark, folder)), PAIR_WITH_SKIPS)
 
 
+@_query("sequence_timeouts", f"""WITH {_DOMAIN}, after AS (
+  SELECT *, lead(type, 1) OVER w AS type2, lead(ts, 1) OVER w AS ts2, lead(ts, 2) OVER w AS ts3
+  FROM ({_INSIDER_ONLY}) WINDOW w AS (PARTITION BY who ORDER BY ts, seq)),
+open AS (
+  SELECT *, CASE WHEN ts2 IS NULL OR ts2 >= ts + 86400000 THEN 'bulk_export'
+                 WHEN type2 = 'BULK_EXPORT' AND (ts3 IS NULL OR ts3 >= ts + 86400000) THEN 'ext_share' END AS waited_for
+  FROM after WHERE type = 'PRIV_ESC')
+SELECT who AS id, 'INSIDER_EXFIL' AS rule, ts + 86400000 AS ts, ts AS first_ts, seq AS first_seq, waited_for
+FROM open WHERE waited_for IS NOT NULL""")
+def _sequence_timeouts(spark, folder):
+    return sequence_timeouts(adapters.insider_events(_source(spark, folder)), TRIPLE)
+
+
+@_query("followed_by_timeouts", f"""WITH {_DOMAIN}, after AS (
+  SELECT *, min(CASE WHEN type = 'TXN' AND value > 60 THEN ts END) OVER (
+    PARTITION BY who ORDER BY ts, seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS end_ts FROM dom)
+SELECT who AS id, 'SMALL_THEN_LARGE' AS rule, ts + 86400000 AS ts, ts AS first_ts, seq AS first_seq, 'large' AS waited_for
+FROM after WHERE type = 'TXN' AND value < 20 AND (end_ts IS NULL OR end_ts >= ts + 86400000)""")
+def _followed_by_timeouts(spark, folder):
+    return sequence_timeouts(adapters.all_activity(_source(spark, folder)), PAIR_WITH_SKIPS)
+
+
 _ALL_ALERTS = f"""
 SELECT id, rule, ts FROM ({_pair_sql(_TXN_ONLY, strict=True)})
 UNION ALL SELECT id, rule, ts FROM ({_triple_sql(_INSIDER_ONLY)})"""
@@ -684,6 +706,20 @@ def _followed_by_stream(spark, folder):
     return _replayed(match_sequence_stream(events, PAIR_WITH_SKIPS, LATE), "followed-by", folder)
 
 
+@_twin("sequence_timeouts")
+def _sequence_timeouts_stream(spark, folder):
+    events = adapters.insider_events(_replay(spark, folder))
+    outcomes = _replayed(sequence_outcomes_stream(events, TRIPLE, LATE), "timeouts", folder)
+    return outcomes.where("waited_for IS NOT NULL")
+
+
+@_twin("followed_by_timeouts")
+def _followed_by_timeouts_stream(spark, folder):
+    events = adapters.all_activity(_replay(spark, folder))
+    outcomes = _replayed(sequence_outcomes_stream(events, PAIR_WITH_SKIPS, LATE), "followed-by-timeouts", folder)
+    return outcomes.where("waited_for IS NOT NULL")
+
+
 @_twin("gold_alert_dashboard")
 def _dashboard_stream(spark, folder):
     return _replayed(gold.alert_dashboard(_silver_alerts(_replay(spark, folder))), "dashboard", folder)

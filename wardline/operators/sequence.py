@@ -111,6 +111,25 @@ def match_sequence(events: DataFrame, rule: SequenceRule, bucket_spans: int = BU
     )
 
 
+def sequence_timeouts(events: DataFrame, rule: SequenceRule, bucket_spans: int = BUCKET_SPANS) -> DataFrame:
+    """Sequences that began and ran out of time: ``id, rule``, ``ts`` (when the time was up), ``first_ts``,
+    ``first_seq`` and ``waited_for``, the step that had not come.
+
+    A sequence that a wrong next event broke in time has failed, it is no timeout; what comes at the end of the time or
+    later counts for nothing. The table is all there is: what is open at its end has run out of time as well.
+    """
+    rows = spread_over_buckets(step_flags(events, rule), rule, bucket_spans)
+    deadline = F.col("ts") + F.lit(rule.within_ms)
+    begun = _courses(rows, rule).where("is_step0").withColumn("deadline", deadline)
+    taken = F.size(F.filter("go1.taken", lambda at: at < F.col("deadline")))
+    names = F.array(*[F.lit(step.name) for step in rule.steps])
+    open_ = begun.withColumn("taken", taken).where(F.col("taken") < len(rule.steps) - 1)
+    return open_.where(F.col("go1.broke").isNull() | (F.col("go1.broke") >= F.col("deadline"))).select(
+        "id", F.lit(rule.rule).alias("rule"), F.col("deadline").alias("ts"), F.col("ts").alias("first_ts"),
+        F.col("seq").alias("first_seq"), F.get(names, F.col("taken") + 1).alias("waited_for"),
+    )
+
+
 def spread_over_buckets(rows: DataFrame, rule: SequenceRule, bucket_spans: int) -> DataFrame:
     """Each row once per ``bucket`` that sees it; it can begin a match in its own bucket only."""
     width = rule.within_ms * bucket_spans
@@ -157,6 +176,28 @@ def _scan(rows: DataFrame, rule: SequenceRule) -> DataFrame:
     return rows
 
 
+def _courses(rows: DataFrame, rule: SequenceRule) -> DataFrame:
+    """``go{j}``: how a sequence goes on that needs step ``j`` next, from just after each row: when it has ``taken``
+    the steps from ``j`` on, and when an event ``broke`` it after these. Works like :func:`_scan`."""
+    backward = Window.partitionBy("id", "bucket").orderBy(F.col("ts").desc(), F.col("seq").desc())
+    later = backward.rowsBetween(Window.unboundedPreceding, -1)
+
+    def course(taken, broke):
+        return F.struct(taken.cast("array<long>").alias("taken"), broke.cast("long").alias("broke"))
+
+    nothing = course(F.array(), F.lit(None))
+    go = nothing
+    for j, flag in reversed(list(enumerate(_flags(rule)))[1:]):
+        taken = course(F.concat(F.array("ts"), go["taken"]), go["broke"])
+        if rule.steps[j].skip:
+            step = F.last(F.when(F.col(flag), taken), ignorenulls=True).over(later)
+        else:
+            step = F.lag(F.when(F.col(flag), taken).otherwise(course(F.array(), F.col("ts")))).over(backward)
+        rows = rows.withColumn(f"go{j}", F.coalesce(step, nothing))
+        go = F.col(f"go{j}")
+    return rows
+
+
 def to_alerts(matches: DataFrame) -> DataFrame:
     """A match as an alert: ``id, rule, ts``."""
     return matches.select("id", "rule", "ts")

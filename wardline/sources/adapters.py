@@ -39,27 +39,36 @@ def stream_table(
     )
 
 
-# Flush rows: user, distance from the last event and from each other, and how many.
-FLUSH_USER, FLUSH_EVERY_DAYS, FLUSHES = -1, 100, 3
+# Flush rows: distance from the last event and from each other, and how many.
+FLUSH_EVERY_DAYS, FLUSHES = 100, 3
+
+
+def flush_user(source: DataFrame) -> int:
+    """A user that ``source`` doesn't have: one below its least, and below 0."""
+    return min(0, source.agg(F.min("user_id").alias("least")).first()["least"] or 0) - 1
 
 
 def replay(spark: SparkSession, folder: str, path: str, slices: int = 3) -> DataFrame:
     """The table as a stream that ends with all of its results: written to ``path`` as one file per time slice,
     then files of one event of each type far in the future, and read file by file. A stream emits what its
-    watermark has passed, so the last rows need later ones; these belong to :data:`FLUSH_USER` and lie
-    ``FLUSH_EVERY_DAYS`` after the table's last event."""
+    watermark has passed, so the last rows need later ones; these belong to :func:`flush_user` and lie
+    ``FLUSH_EVERY_DAYS`` after the table's last event. An empty table, or one without times, has no slices and no
+    flush rows: it is one file."""
     table = read_table(spark, folder)
     first, last = table.agg(F.min("ts"), F.max("ts")).first()
+    if last is None:
+        table.coalesce(1).write.parquet(path)
+        return spark.readStream.schema(table.schema).parquet(path)
     step = (last - first) / slices
     for number in range(slices):
         from_here = F.col("ts").isNull() if number == 0 else F.lit(False)  # events without a time go first
         to_there = F.lit(True) if number == slices - 1 else F.col("ts") < _moment(first + (number + 1) * step)
         part = table.where(from_here | ((F.col("ts") >= _moment(first + number * step)) & to_there))
         part.coalesce(1).write.mode("append").parquet(path)
-    kinds = [name for name, _ in [*TYPE_OF, ("error", None)]]
+    kinds, user = [name for name, _ in [*TYPE_OF, ("error", None)]], flush_user(table)
     for number in range(1, FLUSHES + 1):
         at = last + timedelta(days=FLUSH_EVERY_DAYS * number)
-        rows = [(-number * 10 - i, at, FLUSH_USER, kind, 0.0, None) for i, kind in enumerate(kinds)]
+        rows = [(-number * 10 - i, at, user, kind, 0.0, None) for i, kind in enumerate(kinds)]
         spark.createDataFrame(rows, table.select("event_id", "ts", "user_id", "event_type", "value", "props").schema
                               ).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
@@ -69,8 +78,11 @@ def without_flush(results: DataFrame, source: DataFrame) -> DataFrame:
     """``results`` of a replay of ``source`` without those of the flush rows, told by entity or else by time."""
     for name in ("id", "entity", "cardId"):
         if name in results.columns:
-            return results.where(F.col(name).isNull() | (F.col(name) != str(FLUSH_USER)))
-    end = source.agg(F.max("ts").alias("end")).first()["end"] + timedelta(days=FLUSH_EVERY_DAYS // 2)
+            return results.where(F.col(name).isNull() | (F.col(name) != str(flush_user(source))))
+    end = source.agg(F.max("ts").alias("end")).first()["end"]
+    if end is None:
+        return results
+    end += timedelta(days=FLUSH_EVERY_DAYS // 2)
     if "window_start" in results.columns:
         return results.where(F.col("window_start") < F.lit(str(end)).cast("timestamp"))
     return results.where(F.col("date").isNull() | (F.col("date") < end.strftime("%Y-%m-%d")))

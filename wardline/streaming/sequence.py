@@ -23,7 +23,8 @@ from wardline.operators.sequence import BUCKET_SPANS, SequenceRule, spread_over_
 # Executors need not have this package installed: the matcher travels with the query.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_FAILED = np.iinfo(np.int64).min
+_NEVER = np.iinfo(np.int64).max
+_NONE = np.empty(0, np.int64)
 _MATCH = "id string, rule string, ts long, first_ts long, first_seq long"
 
 
@@ -35,6 +36,19 @@ def match_sequence_stream(
     ``delay`` is how late an event may come. A match is emitted (append mode) once the watermark has
     passed its last event.
     """
+    return _followed(events, rule, delay, bucket_spans, timeouts=False)
+
+
+def sequence_outcomes_stream(
+    events: DataFrame, rule: SequenceRule, delay: str, bucket_spans: int = BUCKET_SPANS
+) -> DataFrame:
+    """Matches and, once the watermark has passed their time, the sequences that ran out of it: a timeout names the step it
+    ``waited_for`` (null for a match) and has the end of its time as ``ts``, as in ``operators.sequence.sequence_timeouts``.
+    """
+    return _followed(events, rule, delay, bucket_spans, timeouts=True)
+
+
+def _followed(events: DataFrame, rule: SequenceRule, delay: str, bucket_spans: int, timeouts: bool) -> DataFrame:
     flags = [f"is_step{i}" for i in range(len(rule.steps))]
     rows = step_flags(events, rule, "event_time").withWatermark("event_time", delay)
     spread = spread_over_buckets(rows, rule, bucket_spans)
@@ -42,38 +56,14 @@ def match_sequence_stream(
         spread.select("id", "bucket", "ts", "seq", *flags, "event_time")
         .groupBy("id", "bucket")
         .transformWithStateInPandas(
-            statefulProcessor=_Matcher(rule),
-            outputStructType=_MATCH,
+            statefulProcessor=_Matcher(rule, timeouts),
+            outputStructType=f"{_MATCH}, waited_for string" if timeouts else _MATCH,
             outputMode="Append",
             timeMode="EventTime",
         )
     )
 
 
-def _scan(ts: np.ndarray, flags: np.ndarray, skips: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-    """For every step ``j`` and row, how a sequence goes on that needs step ``j`` from this row on:
-    the time it ends, or the step it waits for when the rows run out (0: none, it has failed).
-
-    Column ``n`` stands for "after the last row". Row 0 of the result is unused.
-    """
-    steps, n = flags.shape
-    ends = np.full((steps, n + 1), _FAILED)
-    waits = np.zeros((steps, n + 1), dtype=np.int64)
-    end, wait = ts, np.zeros(n, dtype=np.int64)
-    for j in range(steps - 1, 0, -1):
-        waits[j, n] = j
-        if skips[j]:
-            at = np.where(flags[j], np.arange(n), n)
-            at = np.minimum.accumulate(at[::-1])[::-1]
-            ends[j, :n] = np.append(end, _FAILED)[at]
-            waits[j, :n] = np.append(wait, j)[at]
-        else:
-            ends[j, :n] = np.where(flags[j], end, _FAILED)
-            waits[j, :n] = np.where(flags[j], wait, 0)
-        end, wait = ends[j, 1:], waits[j, 1:]
-    return ends, waits
-
-
 class _Matcher(StatefulProcessor):
     """Holds, per key and bucket, the events ahead of the watermark and the sequences begun before it.
 
@@ -83,10 +73,12 @@ class _Matcher(StatefulProcessor):
     the watermark has passed.
     """
 
-    def __init__(self, rule: SequenceRule) -> None:
+    def __init__(self, rule: SequenceRule, timeouts: bool = False) -> None:
         self.rule = rule.rule
         self.within = rule.within_ms
         self.skips = [step.skip for step in rule.steps]
+        self.names = [step.name for step in rule.steps]
+        self.timeouts = timeouts
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -109,46 +101,69 @@ class _Matcher(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        held = [np.concatenate(x) for x in zip(*map(_as_arrays, self.held.get()))]
-        ready = held[0] <= watermark if held else np.zeros(0, bool)
-        if not ready.any():
-            return iter(())
+        held = [np.concatenate(x) for x in zip(*map(_as_arrays, self.held.get()))] or [_NONE] * 3
+        begun = _as_arrays(self.begun.get()) if self.begun.exists() else [_NONE] * 3
+        ready = held[0] <= watermark
         ts, seq, steps = (column[ready] for column in held)
         order = np.lexsort((seq, ts))
         flags = steps[order] >> np.arange(len(self.skips))[:, None] & 1 > 0
-        begun = _as_arrays(self.begun.get()) if self.begun.exists() else [np.empty(0, np.int64)] * 3
-        done, still = self._advance(ts[order], seq[order], flags, begun, watermark)
-        self.held.clear()
-        if not ready.all():
-            ahead = [column[~ready] for column in held]
-            self._hold(*ahead)
-            self.handle.registerTimer(int(ahead[0].min()))
+        done, out, still = self._advance(ts[order], seq[order], flags, begun, watermark)
+        if ready.any():
+            self.held.clear()
+            if not ready.all():
+                self._hold(*[column[~ready] for column in held])
         if len(still[0]):
             self.begun.update(_as_bytes(still))
-        elif self.begun.exists():
+        elif len(begun[0]):
             self.begun.clear()
-        if not len(done[0]):
-            return iter(())
-        found = pd.DataFrame(dict(zip(("ts", "first_ts", "first_seq"), done)))
-        found.insert(0, "id", key[0])
-        found.insert(1, "rule", self.rule)
-        return iter([found])
+        # The next event held, or the next deadline, by which at the latest no state of this bucket is left.
+        waiting = np.concatenate([held[0][~ready], still[1] + self.within])
+        if len(waiting):
+            self.handle.registerTimer(int(waiting.min()))
+        kinds = [(done, None)] + [(out, np.array(self.names, object)[out[3]])] * self.timeouts
+        return iter([self._rows(key[0], found, step) for found, step in kinds if len(found[0])])
+
+    def _rows(self, key: str, found: list[np.ndarray], waited_for: np.ndarray | None) -> pd.DataFrame:
+        rows = pd.DataFrame(dict(zip(("ts", "first_ts", "first_seq"), found)))
+        rows.insert(0, "id", key)
+        rows.insert(1, "rule", self.rule)
+        if self.timeouts:
+            rows["waited_for"] = waited_for
+        return rows
 
     def _advance(
         self, ts: np.ndarray, seq: np.ndarray, flags: np.ndarray, begun: list[np.ndarray], watermark: int
-    ) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Matches ``(ts, first_ts, first_seq)`` the ready events complete, and what stays begun
-        ``(wait, first_ts, first_seq)``."""
-        starts = np.flatnonzero(flags[0])
-        ends, waits = _scan(ts, flags, self.skips)
+    ) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        """Matches ``(ts, first_ts, first_seq)`` the ready events complete, timeouts ``(ts, first_ts, first_seq, wait)``,
+        and what stays begun ``(wait, first_ts, first_seq)``.
+
+        All sequences take their steps together, step by step; row ``n`` stands for "after the last event".
+        """
+        starts, n = np.flatnonzero(flags[0]), len(ts)
         # Sequences begun earlier go on at the first row, new ones just after their own.
         first_ts = np.concatenate([begun[1], ts[starts]])
         first_seq = np.concatenate([begun[2], seq[starts]])
-        end = np.concatenate([ends[begun[0], 0], ends[1, starts + 1]])
-        wait = np.concatenate([waits[begun[0], 0], waits[1, starts + 1]])
-        done = (end != _FAILED) & (end < first_ts + self.within)
-        still = (wait > 0) & (first_ts + self.within > watermark)
-        return [x[done] for x in (end, first_ts, first_seq)], [x[still] for x in (wait, first_ts, first_seq)]
+        wait = np.concatenate([begun[0], np.ones(len(starts), np.int64)])
+        row = np.concatenate([np.zeros(len(begun[0]), np.int64), starts + 1])
+        times, flags = np.append(ts, _NEVER), np.pad(flags, ((0, 0), (0, 1)))
+        deadline, end, failed = first_ts + self.within, np.zeros(len(wait), np.int64), np.zeros(len(wait), bool)
+        for j in range(1, len(flags)):
+            here = np.flatnonzero((wait == j) & ~failed)
+            at = row[here]
+            if self.skips[j]:
+                at = np.minimum.accumulate(np.where(flags[j], np.arange(n + 1), n)[::-1])[::-1][at]
+            in_time = times[at] < deadline[here]
+            hit = in_time & flags[j][at]
+            failed[here] = in_time & ~hit
+            went = here[hit]
+            wait[went], row[went], end[went] = j + 1, at[hit] + 1, times[at[hit]]
+        done = wait == len(flags)
+        open_ = ~done & ~failed
+        out, still = open_ & (deadline <= watermark), open_ & (deadline > watermark)
+        return (
+            [x[done] for x in (end, first_ts, first_seq)], [x[out] for x in (deadline, first_ts, first_seq, wait)],
+            [x[still] for x in (wait, first_ts, first_seq)],
+        )
 
     def close(self) -> None:
         pass
