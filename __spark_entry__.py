@@ -32,10 +32,10 @@ from wardline.operators.sequence import (
 )
 from wardline.plans import alerts as alert_plans
 from wardline.plans import events as event_plans
-from wardline.plans import gold, reports
+from wardline.plans import gold, incremental, reports
 from wardline.session import configure, scratch_path
 from wardline.sources import adapters
-from wardline.streaming import combined
+from wardline.streaming import combined, upserts
 from wardline.streaming.runs import drain
 from wardline.streaming.sequence import match_sequence_stream, sequence_outcomes_stream
 
@@ -788,6 +788,77 @@ def _combined_stream(spark, folder):
     return _replayed(table, "combined", folder)
 
 
+# --- estimated distinct counts ----------------------------------------------------------------------
+# Shown as whether they lie within 5 % (or 1) of the exact ones, which hold for every row.
+
+
+def _close(estimated: DataFrame, exact: DataFrame, keys: list[str], count: str) -> DataFrame:
+    exact = exact.select(*keys, F.col(count).alias("exactly"))
+    off = F.abs(F.col(count) - F.col("exactly"))
+    joined = estimated.join(exact, keys, "left").withColumn("unique_close", F.coalesce(off <= F.greatest(F.lit(1), F.col("exactly") * 0.05), F.lit(False)))
+    return joined.drop(count, "exactly")
+
+
+_DASHBOARD_KEYS = ["window_start", "alert_type", "severity"]
+_DAILY_KEYS = ["date", "alert_type", "alert_category", "severity"]
+
+
+@_query("gold_alert_dashboard_approx", f"WITH {_DASHBOARD} SELECT * EXCLUDE (unique_entities), TRUE AS unique_close FROM dashboard")
+def _dashboard_approx(spark, folder):
+    return _close(gold.alert_dashboard(_silver(spark, folder), distinct="approx"), _dashboard(spark, folder), _DASHBOARD_KEYS, "unique_entities")
+
+
+@_query("gold_daily_alert_summary_approx", f"WITH {_DAILY} SELECT * EXCLUDE (unique_entities_affected), TRUE AS unique_close FROM daily")
+def _daily_approx(spark, folder):
+    estimated = gold.daily_alert_summary(_silver(spark, folder), distinct="approx")
+    return _close(estimated, _daily(spark, folder), _DAILY_KEYS, "unique_entities_affected")
+
+
+@_query("gold_daily_rolled_up", f"""WITH {_DAILY}
+SELECT date, alert_type, alert_category, severity, total_alerts, TRUE AS unique_close FROM daily""")
+def _daily_rolled_up(spark, folder):
+    days = gold.daily_entities(gold.entity_sketches(_silver(spark, folder)))
+    return _close(days, _daily(spark, folder), _DAILY_KEYS, "unique_entities_affected")
+
+
+@_twin("gold_alert_dashboard_approx")
+def _dashboard_approx_stream(spark, folder):
+    found = _replayed(gold.alert_dashboard(_silver_alerts(_replay(spark, folder)), distinct="approx"), "dashboard-approx", folder)
+    return _close(found, _dashboard(spark, folder), _DASHBOARD_KEYS, "unique_entities")
+
+
+@_twin("gold_daily_alert_summary_approx")
+def _daily_approx_stream(spark, folder):
+    found = _replayed(gold.daily_alert_summary(_silver_alerts(_replay(spark, folder)), distinct="approx"), "daily-approx", folder)
+    return _close(found, _daily(spark, folder), _DAILY_KEYS, "unique_entities_affected")
+
+
+@_query("gold_alert_dashboard_update", _SQL["gold_alert_dashboard_approx"])
+def _dashboard_update(spark, folder):
+    """The dashboard as a table kept up to date by a stream in update mode."""
+    table, path = gold.alert_dashboard(_silver_alerts(_replay(spark, folder)), distinct="approx"), scratch_path(spark, "upserts")
+    upserts.upsert_stream(table, path, scratch_path(spark, "upserts-checkpoint")).awaitTermination()
+    found = adapters.without_flush(upserts.current(spark, path, _DASHBOARD_KEYS, table.schema), _source(spark, folder))
+    return _close(found, _dashboard(spark, folder), _DASHBOARD_KEYS, "unique_entities")
+
+
+# --- gold by increments -----------------------------------------------------------------------------
+
+
+def _by_increments(spark, folder, name):
+    """A gold table after three batches: the events up to a day, those after it, and some of all days that come late."""
+    store, source = incremental.DailyGold(scratch_path(spark, "daily-gold")), _source(spark, folder)
+    late, early = F.col("event_id") % 37 == 0, F.coalesce(F.col("ts") < F.lit("2024-01-15 12:00:00").cast("timestamp"), F.lit(True))
+    for batch, some in (("early", ~late & early), ("rest", ~late & ~early), ("late", late)):
+        part = source.where(some)
+        store.add(batch, _silver_alerts(part), *_features(part), tables=[name])
+    return store.read(spark, name)
+
+
+for _name, _of in [(name, name.removesuffix("_analytics")) for name in incremental.TABLES]:
+    _query(f"{_of}_incremental", _SQL[_of])(lambda spark, folder, name=_name: _by_increments(spark, folder, name))
+
+
 # --- queries of the training-data operators, where that subpackage and all it needs are present ------
 
 

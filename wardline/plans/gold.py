@@ -1,9 +1,11 @@
 """Reporting tables over the enriched alerts.
 
-Every function takes a batch table or a stream. Distinct counts are exact on both: entities are
+Every function takes a batch table or a stream. Distinct counts are exact on both by default: entities are
 grouped first (which also spreads a busy window over as many tasks as it has entities, after a
 map-side combine), then counted. On a stream each result row is emitted once, when the watermark has
-passed its window.
+passed its window. Where that state, a row per window and entity, is too much, ``distinct="approx"`` keeps one
+sketch of bounded size per window instead. Sketches merge, so five-minute ones add up to days
+(:func:`entity_sketches`, :func:`daily_entities`), and a single aggregate may also run in update mode.
 """
 
 from __future__ import annotations
@@ -67,6 +69,24 @@ def entity_totals(
     )
 
 
+# Sketches of 2 ** 14 registers: the standard error of an estimate is 0.8 %, at 16 KB a sketch at most.
+SKETCH_BITS = 14
+
+
+def sketch_totals(
+    rows: DataFrame, keys: list[str], measures: dict[str, tuple[Column, Callable]], sets: tuple[str, ...] = ()
+) -> DataFrame:
+    """What :func:`entity_totals` gives, in one aggregate, with ``entities`` estimated from a sketch of ``id``."""
+    return rows.groupBy(*keys).agg(
+        F.hll_sketch_estimate(F.hll_sketch_agg("id", SKETCH_BITS)).alias("entities"),
+        *[column.alias(name) for name, (column, _) in measures.items()],
+        *[F.sort_array(F.collect_set(name)).alias(f"{name}s") for name in sets],
+    )
+
+
+_TOTALS = {"exact": entity_totals, "approx": sketch_totals}
+
+
 def _windowed(
     alerts: DataFrame,
     watermark: str | None,
@@ -76,6 +96,7 @@ def _windowed(
     sums: dict[str, Column] | None = None,
     times: bool = False,
     sets: tuple[str, ...] = (),
+    distinct: str = "exact",
 ) -> DataFrame:
     """Per event-time window and ``dims``: ``n`` alerts, ``entities`` distinct ids, further sums,
     first and last time, sets, and the window's bounds."""
@@ -89,7 +110,7 @@ def _windowed(
         measures["last_time"] = (F.max("event_time"), F.max)
     spans = alerts.withColumn("window", _span(alerts, length, slide))
     return (
-        entity_totals(spans, ["window", *dims], measures, sets)
+        _TOTALS[distinct](spans, ["window", *dims], measures, sets)
         .withColumns({"window_start": F.col("window.start"), "window_end": F.col("window.end")})
         .drop("window")
     )
@@ -106,12 +127,12 @@ def _span(alerts: DataFrame, length: str, slide: str | None) -> Column:
     return F.window("event_time", length)
 
 
-def alert_dashboard(silver: DataFrame, watermark: str | None = "10 minutes") -> DataFrame:
+def alert_dashboard(silver: DataFrame, watermark: str | None = "10 minutes", distinct: str = "exact") -> DataFrame:
     """Alerts per five minutes, type and severity."""
     minutes = millis(DASHBOARD_WINDOW) / 60_000
     score = ladders.by_value(F.col("severity"), ladders.SEVERITY_SCORE, 1)
     return _windowed(
-        silver, watermark, DASHBOARD_WINDOW, None, ["alert_type", "severity"]
+        silver, watermark, DASHBOARD_WINDOW, None, ["alert_type", "severity"], distinct=distinct
     ).select(
         "window_start", "window_end", "alert_type", "severity",
         F.col("n").alias("alert_count"),
@@ -122,11 +143,11 @@ def alert_dashboard(silver: DataFrame, watermark: str | None = "10 minutes") ->
     )
 
 
-def daily_alert_summary(silver: DataFrame, watermark: str | None = DAY) -> DataFrame:
+def daily_alert_summary(silver: DataFrame, watermark: str | None = DAY, distinct: str = "exact") -> DataFrame:
     """Alerts per day, type, category and severity."""
     dims = ["alert_type", "alert_category", "severity"]
     weight = ladders.by_value(F.col("severity"), ladders.SEVERITY_WEIGHT, 0)
-    return _windowed(silver, watermark, DAY, None, dims, times=True, sets=("rule",)).select(
+    return _windowed(silver, watermark, DAY, None, dims, times=True, sets=("rule",), distinct=distinct).select(
         iso_date(F.col("window_start")).alias("date"), *dims,
         F.col("n").alias("total_alerts"),
         F.col("entities").alias("unique_entities_affected"),
@@ -139,6 +160,27 @@ def daily_alert_summary(silver: DataFrame, watermark: str | None = DAY) -> DataF
     )
 
 
+def entity_sketches(silver: DataFrame, watermark: str | None = "10 minutes") -> DataFrame:
+    """Per five minutes, type, category and severity the number of alerts and a sketch of their entities."""
+    if watermark:
+        silver = silver.withWatermark("event_time", watermark)
+    dims = ["alert_type", "alert_category", "severity"]
+    return (
+        silver.groupBy(F.window("event_time", DASHBOARD_WINDOW).alias("window"), *dims)
+        .agg(F.count("*").alias("alert_count"), F.hll_sketch_agg("id", SKETCH_BITS).alias("entities_sketch"))
+        .select(F.col("window.start").alias("window_start"), *dims, "alert_count", "entities_sketch")
+    )
+
+
+def daily_entities(sketches: DataFrame) -> DataFrame:
+    """Days from the windows of :func:`entity_sketches`, without another look at the alerts."""
+    dims = ["alert_type", "alert_category", "severity"]
+    return sketches.groupBy(iso_date(F.col("window_start")).alias("date"), *dims).agg(
+        F.sum("alert_count").alias("total_alerts"),
+        F.hll_sketch_estimate(F.hll_union_agg("entities_sketch")).alias("unique_entities_affected"),
+    )
+
+
 PATTERN_WINDOW, PATTERN_SLIDE = "1 hour", "30 minutes"
 
 
