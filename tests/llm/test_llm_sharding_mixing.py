@@ -39,6 +39,23 @@ def test_cuts_are_minimax(spark, shards, cells):
     assert cuts[-1] == ends[-1] and max(np.diff([0, *cuts])) <= capacity and set(cuts) <= {0, *map(int, ends)}
 
 
+@pytest.mark.parametrize("sizes, shards", [
+    ([10] * 100 + [500] + [10] * 100, 8), ([500] + [10] * 100, 4), ([10] * 100 + [500], 4), ([7, 900, 5], 2), ([7, 900, 5], 3), ([900], 4),
+    ([600, 340, 60], 3), ([10] * 30 + [400] + [10] * 30 + [300] + [10] * 40, 8), ([1, 1, 1], 8),
+])
+def test_a_large_group_leaves_no_shard_empty(spark, sizes, shards):
+    ends = [int(x) for x in np.cumsum(sizes)]
+    frame = spark.createDataFrame(list(zip(sizes, ends)), "size long, end long")
+    capacity, cuts = sharding.even_cuts(frame, shards)
+    loads = list(np.diff([0, *cuts]))
+    assert capacity == smallest(sizes, shards) and max(loads) <= capacity and cuts[-1] == ends[-1] and set(cuts) <= set(ends)
+    if max(sizes) * shards > sum(sizes) and len(sizes) >= shards and max(sizes) == capacity:
+        assert min(loads) > 0
+    others = sorted(loads)[:-1]
+    if len(sizes) > 200:
+        assert max(others) - min(others) <= 40
+
+
 def check(found, pairs, shards=8):
     sizes = [len((text or "").encode()) + 1 for _, text in pairs]
     want = sorted(((n, size, crc32((text or "").encode())) for (n, text), size in zip(pairs, sizes)), key=repr)
@@ -62,6 +79,13 @@ def test_shard_slots_of_many_copies(spark):
     check(sharding.shard(frame, 4).collect(), pairs, 4)
 
 
+def test_a_text_of_a_third_of_all_bytes(spark):
+    pairs = [(i, "hot" * 99) for i in range(100)] + [(i, f"own text number {i} " * 14) for i in range(100, 300)]
+    frame = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
+    loads = sorted(check(sharding.shard(frame, 8).collect(), pairs))
+    assert loads[0] > 0 and loads[6] - loads[0] <= 3 * 400 and loads[7] == 100 * 298
+
+
 def test_empty_tables(spark):
     assert sharding.shard(empty(spark)).collect() == []
     assert mixing.copies(empty(spark)).collect() == [] == mixing.mix(empty(spark)).collect()

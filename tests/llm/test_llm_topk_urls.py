@@ -73,7 +73,7 @@ def test_search_prunes():
 @pytest.mark.parametrize("url, host", [
     ("http://A.Example.COM/x?y#z", "a.example.com"), (" https://user:pw@h.org:8080/", "h.org"), ("https://h.org..", "h.org"),
     ("ftp://[::1]:21/x", "[::1]"), ("mailto:a@b.c", None), ("", None), (None, None), ("//h.org/", None), ("http:///x", None),
-    ("http://" + "a." * 126 + "a/", "a." * 126 + "a"), ("http://" + "a." * 5000 + "a/", None)])
+    ("http://" + "a." * 126 + "a/", "a." * 126 + "a"), ("http://" + "a." * 5000 + "a/", "a." * 5000 + "a")])
 def test_host_of(spark, url, host):
     frame = spark.createDataFrame([(url,)], "u string")
     assert frame.select(urls.host_of(F.col("u")).alias("h")).first().h == host
@@ -109,7 +109,7 @@ def plain_verdict(host, day):
 
 
 def test_verdicts(spark):
-    hosts = ["a.example.com", "ok.example.com", "x.ok.example.com", "example.org", "1.2.3.4", "www.old.net", "com", None]
+    hosts = ["a." * 200 + "example.com", "b" * 300 + ".org", "x." * 150 + "example.org", "a.example.com", "ok.example.com", "x.ok.example.com", "example.org", "1.2.3.4", "www.old.net", "com", None]
     captures = [(i, f"http://{h}/p{i}" if h else h, d(day), None, "x", 3) for i, (h, day) in enumerate(
         (h, day) for h in hosts for day in (0, 5, 10, 14, 15, 19, 20, 39, 40, 89, 90, 300, None) for _ in range(2))]
     frame = spark.createDataFrame(captures, "page_id long, url string, fetched date, host string, pattern string, bucket int")
@@ -122,3 +122,5 @@ def test_verdicts(spark):
     assert found == want
     assert urls.evaluate(frame.limit(0), log).collect() == []
     assert {r.verdict for r in urls.evaluate(frame, log.limit(0)).collect()} == {"none"}
+    bare = spark.createDataFrame([(1, "a.example.com/x", d(10))], "page_id long, url string, fetched date")
+    assert [(r.host, r.verdict) for r in urls.evaluate(bare, log).collect()] == [(None, "none")]

@@ -79,7 +79,7 @@ WITH named AS (
          regexp_replace(regexp_extract(lower(trim(url)),
            '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^:/?#]*)', 1), '\.+$', '') AS h
   FROM pages),
-c AS (SELECT page_id, fetched, CASE WHEN length(h) BETWEEN 1 AND 253 THEN h END AS host FROM named),
+c AS (SELECT page_id, fetched, CASE WHEN length(h) > 0 THEN h END AS host FROM named),
 cov AS (
   SELECT DISTINCT host, CASE WHEN regexp_matches(host, '^(\[.*|[0-9.]+)$') THEN [host]
     ELSE list_transform(range(1, len(string_split(host, '.')) + 1),

@@ -3,7 +3,9 @@
 Rows with equal texts form an atomic group. Groups stand in one fixed order, that of their text's hash, and a
 shard is a run of neighbouring groups. The smallest capacity for which a greedy fill needs no more than the given
 number of shards is found by binary search, and the groups are cut there, so the largest shard is as small as
-a contiguous partition allows.
+a contiguous partition allows. Where one group is larger than an even share it sets that capacity, and a greedy fill by it would
+leave the last shards with little or nothing. Such a group gets a shard of its own, and the groups before and after it are
+partitioned again, over the shards left, if that needs no larger capacity.
 
 At scale: groups are summed map-side, so a text that makes up a third of all rows is one row. Running sums are
 taken inside 4096 hash blocks and shifted by the blocks' totals. The search never sees the groups: it gets, for at
@@ -107,6 +109,36 @@ def minimax_cuts(ends: DataFrame, shards: int, cells: int = CELLS) -> tuple[int,
         settled = [(x, y) for x, y in intervals if not any(a < x and y <= b for a, b in spans)]
 
 
+def even_cuts(ends: DataFrame, shards: int, cells: int = CELLS) -> tuple[int, list[int]]:
+    """The smallest feasible capacity, and ``shards`` running sums to cut at, with groups above an even share set apart."""
+    last = ends.agg(F.max("end").alias("end")).first()["end"] or 0
+
+    def solve(low: int, high: int, count: int) -> tuple[int, list[int]]:
+        part = ends.where((F.col("end") > low) & (F.col("end") <= high)).select("size", (F.col("end") - low).alias("end"))
+        capacity, cuts = minimax_cuts(part, count, cells)
+        plain = capacity, [low + at for at in cuts]
+        big = part.orderBy(F.col("size").desc(), "end").first()
+        if big is None or count == 1 or big["size"] * count <= high - low:
+            return plain
+        before, after = big["end"] - big["size"], high - low - big["end"]
+        sides = (before > 0) + (after > 0)
+        if not sides or count - 1 < sides:
+            return plain
+        left = round((count - 1) * before / (before + after)) if sides == 2 else (count - 1) * (before > 0)
+        left = min(max(left, 1), count - 2) if sides == 2 else left
+        most, found = big["size"], []
+        for a, b, n in ((low, low + before, left), (low + big["end"], high, count - 1 - left)):
+            if n:
+                needed, inside = solve(a, b, n)
+                most = max(most, needed)
+                found += inside
+            if a == low:
+                found.append(low + big["end"])
+        return (capacity, found) if most <= capacity else plain
+
+    return solve(0, last, shards) if last else (0, [0] * shards)
+
+
 def _outermost(ends: DataFrame, spans: list[tuple[int, int]], width: int) -> list[tuple[int, int]]:
     """First and last group end in each cell of ``width`` of the spans (a, b]."""
     cell, span = F.lit(None).cast("long"), F.lit(None).cast("int")
@@ -150,7 +182,7 @@ def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str =
     parts = cut(rows.groupBy("k1", "k2", "salt").agg(F.sum("size").alias("size"), F.count("*").alias("rows")))
     groups = parts.groupBy("k1", "k2").agg(F.sum("size").alias("size"))
     ends = cut(_ends(groups))
-    _, cuts = minimax_cuts(ends, shards)
+    _, cuts = even_cuts(ends, shards)
     # The last group of each shard: a handful of keys. A group's shard is the number of shards that end before it.
     marks = ends.where(F.col("end").isin([int(c) for c in cuts[:-1]])).select("k1", "k2", "end").collect()
     number = F.lit(0)

@@ -10,8 +10,10 @@ third of all captures costs as many rows as there are days. Intervals and days m
 bounds what a pattern of long history or many hosts brings together. The verdicts, one row per pair, are written and
 joined to the captures, where adaptive execution splits a pair that is still large.
 
-Defined results: a null, empty or hostless URL, one whose host is longer than the 253 characters that names may have,
-or a null day gets the verdict ``none``; repeated captures get a row each; entries without list, pattern or date are
+A host of any length is looked up by the domains above it, of as many labels as the longest pattern has.
+
+Defined results: a null, empty or hostless URL, one without a scheme (nothing marks its host), or a null day gets the
+verdict ``none``; repeated captures get a row each; entries without list, pattern or date are
 no entries; of entries equal in list, pattern and date the one that removes, then the blocking one, holds; empty tables
 give no rows or no matches; columns other than those named are left out.
 """
@@ -24,7 +26,6 @@ from pyspark.sql import functions as F
 from wardline.llm.shared import cut
 
 BUCKET_DAYS = 32
-LONGEST_HOST = 253
 
 _HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^:/?#]*)"
 _ADDRESS = r"^(\[.*|[0-9.]+)$"
@@ -33,13 +34,14 @@ _ADDRESS = r"^(\[.*|[0-9.]+)$"
 def host_of(url: Column) -> Column:
     """The lower-case host of a URL without user, port and closing dots; null if there is none."""
     found = F.regexp_replace(F.regexp_extract(F.lower(F.trim(url)), _HOST, 1), r"\.+$", "")
-    return F.when((F.length(found) > 0) & (F.length(found) <= LONGEST_HOST), found)
+    return F.when(F.length(found) > 0, found)
 
 
-def covering(host: Column) -> Column:
-    """The host and the domains above it, as an array; an address has none above it."""
+def covering(host: Column, most: int | None = None) -> Column:
+    """The host and the domains above it, or those of at most ``most`` labels, as an array; an address has none above it."""
     labels = F.split(host, "[.]")
-    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    first = F.lit(1) if most is None else F.greatest(F.lit(1), F.size(labels) - F.lit(most - 1))
+    above = F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     return F.when(host.rlike(_ADDRESS), F.array(host)).otherwise(above)
 
 
@@ -69,13 +71,14 @@ def evaluate(captures: DataFrame, entries: DataFrame, capture_id: str = "page_id
                             F.col(fetched).cast("date").alias("fetched"))
     asked = cut(named.select("host", "fetched").where("host IS NOT NULL AND fetched IS NOT NULL").distinct())
     days = asked.agg(F.min("fetched").alias("first"), F.max("fetched").alias("last")).first()
-    valid = intervals(entries)
+    valid = cut(intervals(entries))
+    most = valid.agg(F.max(F.size(F.split("pattern", "[.]"))).alias("labels")).first()["labels"] or 1
     over = valid.where((F.col("since") <= F.lit(days["last"])) & (F.col("until").isNull() | (F.col("until") > F.lit(days["first"]))))
     spread = over.withColumn("bucket", F.explode(F.sequence(
         _bucket(F.greatest(F.col("since"), F.lit(days["first"]))),
         _bucket(F.least(F.coalesce(F.date_sub("until", 1), F.lit(days["last"])), F.lit(days["last"]))))))
     patterns = asked.select("host", "fetched", _bucket(F.col("fetched")).alias("bucket"),
-                            F.posexplode(covering(F.col("host"))).alias("depth", "covering"))
+                            F.posexplode(covering(F.col("host"), most)).alias("depth", "covering"))
     matched = patterns.join(spread, (F.col("covering") == F.col("pattern")) & (patterns["bucket"] == spread["bucket"])
                             & (F.col("since") <= F.col("fetched"))
                             & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
