@@ -52,8 +52,8 @@ def test_a_large_group_leaves_no_shard_empty(spark, sizes, shards):
     if max(sizes) * shards > sum(sizes) and len(sizes) >= shards and max(sizes) == capacity:
         assert min(loads) > 0
     others = sorted(loads)[:-1]
-    if len(sizes) > 200:
-        assert max(others) - min(others) <= 40
+    if len(sizes) > 200:  # contiguous runs: the sides of a large group have whole numbers of shards
+        assert max(others) <= 1.5 * min(others)
 
 
 def check(found, pairs, shards=8):
@@ -83,7 +83,7 @@ def test_a_text_of_a_third_of_all_bytes(spark):
     pairs = [(i, "hot" * 99) for i in range(100)] + [(i, f"own text number {i} " * 14) for i in range(100, 300)]
     frame = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
     loads = sorted(check(sharding.shard(frame, 8).collect(), pairs))
-    assert loads[0] > 0 and loads[6] - loads[0] <= 3 * 400 and loads[7] == 100 * 298
+    assert loads[0] > 0 and loads[6] <= 2 * loads[0] and loads[7] == 100 * 298
 
 
 def test_empty_tables(spark):
