@@ -1,7 +1,7 @@
 import glob
 
 import pytest
-from pyspark.errors import StreamingQueryException
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -270,3 +270,12 @@ def test_folders_must_be_named(capsys):
     for argv in (["ingest", "--out", "/x"], ["detect", "--checkpoint", "/x"], ["train", "--checkpoint", "/x", "--out", "/x"]):
         with pytest.raises(SystemExit):
             jobs.main(argv)
+
+
+def test_an_unreadable_table_is_no_missing_one(spark, tmp_path):
+    tables = Tables(str(tmp_path))
+    spark.range(3).write.mode("overwrite").saveAsTable("wl_fallback")
+    assert tables.stream_or_static(spark, "features_fraud", "wl_fallback").count() == 3
+    (tmp_path / "features_fraud").mkdir()
+    with pytest.raises(AnalysisException):
+        tables.stream_or_static(spark, "features_fraud", "wl_fallback")

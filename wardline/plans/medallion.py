@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -64,12 +63,11 @@ class Tables:
 
     def stream_or_static(self, spark: SparkSession, name: str, fallback: str) -> DataFrame:
         """The stream of what is appended to ``name``, or the catalog table ``fallback`` as it stands now if no job
-        has written ``name`` here."""
-        try:
-            schema = self.read(spark, name).schema
-        except AnalysisException:
+        has written ``name`` here. A folder that is there but can't be read is an error."""
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
             return spark.table(fallback)
-        return spark.readStream.schema(schema).parquet(self.path(name))
+        return spark.readStream.schema(self.read(spark, name).schema).parquet(self.path(name))
 
     def lay_out(self, spark: SparkSession, name: str) -> DataFrame:
         """A copy of ``name`` under ``laid_out`` with rows of neighbouring values side by side: streams append many
