@@ -117,35 +117,87 @@ def test_network_learns_what_stands_around(spark):
         return " ".join(w for _ in range(count) for w in draw.choice(pairs))
 
     frame = spark.createDataFrame([(i, text(400)) for i in range(60)], "doc_id long, text string").repartition(3)
-    model = pseudo.train(frame)
-    held = pa.array([text(500)])
-    found, buckets = pseudo._buckets(held)
-    logs = model.word_logs(buckets, found.first)
-    classes = model.classes
-    assert logs.mean() > (np.log(classes.prior[classes.of[buckets]]) + classes.share[buckets]).mean() + 0.3
+    scorer = pseudo.train(frame).scorer
+    assert gain(scorer, pa.array([text(500)])) > 0.3
+
+
+def gain(scorer, texts):
+    """By how much the context makes a word likelier than its frequency does."""
+    found, hashes = pseudo._hashes(texts)
+    buckets, counts = scorer.lexicon.look_up(hashes)
+    plain = np.log(scorer.lexicon.prior[scorer.lexicon.of[buckets]]) + scorer.lexicon.shares(buckets, counts)
+    return scorer.word_logs(hashes, found.first)[0].mean() - plain.mean()
 
 
 def test_network_beats_frequencies_on_held_out_documents(spark):
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(4)
-    model = pseudo.train(frame.where("doc_id % 5 > 0"))
+    scorer = pseudo.train(frame.where("doc_id % 5 > 0")).scorer
     texts = pa.array([r.text for r in frame.where("doc_id % 5 = 0").select("text").collect()])
-    found, buckets = pseudo._buckets(texts)
-    plain = np.log(model.classes.prior[model.classes.of[buckets]]) + model.classes.share[buckets]
-    assert model.word_logs(buckets, found.first).mean() > plain.mean() + 0.01
+    assert gain(scorer, texts) > 0.01
+
 
+def hash_of(word):
+    return int(pseudo._hashes(pa.array([word]))[1][0])
+
+
+def test_vocabulary_holds_every_word(spark):
+    frame = docs(spark)
+    found = {r.word: r.n for r in pseudo.train(frame).vocabulary.collect()}
+    want = Counter(w for _, t, *_ in rows() for w in words(t))
+    assert found == {hash_of(w): n for w, n in want.items()}
 
-def test_class_and_share_probabilities_sum_to_one():
-    classes = pseudo.Classes.cut(np.random.default_rng(1).zipf(1.3, pseudo.BUCKETS).astype(float) % 10_000)
-    network = pseudo.Network.start(classes.prior)
+
+@pytest.mark.parametrize("known", [0, 1, 40, 100_000])
+def test_probabilities_sum_to_one_over_the_vocabulary(spark, known):
+    """Every word of the corpus in one place, and one unseen word per class for the rest."""
+    frame = docs(spark)
+    model = pseudo.train(frame, known=known)
+    vocabulary, lexicon = {r.word: r.n for r in model.vocabulary.collect()}, model.scorer.lexicon
+    assert len(lexicon.known) <= known
+    hashes = np.array(list(vocabulary), np.int64)
+    buckets, counts = lexicon.look_up(hashes)
+    true = np.array(list(vocabulary.values()))
+    assert np.array_equal(counts[counts > 0], true[counts > 0])
+    assert np.array_equal(np.bincount(lexicon.of[buckets], true, pseudo.CLASSES), lexicon.totals)
     around = np.random.default_rng(2).integers(0, pseudo.BUCKETS + 1, (50, 2 * pseudo.SIDE))
-    logs = network.forward(around)[1][:, classes.of] + classes.share
-    assert np.allclose(np.exp(logs).sum(axis=1), 1, atol=1e-4)
+    logs = model.scorer.network.forward(around)[1]
+    seen = np.exp(logs[:, lexicon.of[buckets]] + lexicon.shares(buckets, true)).sum(axis=1)
+    unseen = np.exp(logs - np.log(lexicon.totals + 1)).sum(axis=1)
+    assert np.allclose(seen + unseen, 1, atol=1e-4)
+
+
+@pytest.mark.parametrize("known", [0, 5, 100_000])
+def test_score_is_the_sum_of_the_words(spark, known):
+    """Against a plain sum with every word's count at hand, whether counts are known to the tasks or joined."""
+    frame = docs(spark)
+    model = pseudo.train(frame, known=known)
+    vocabulary, lexicon = {r.word: r.n for r in model.vocabulary.collect()}, model.scorer.lexicon
+    other = rows() + [(99, "word neverseen word", *rows()[0][2:])]
+    want = {}
+    for number, text, *_ in other:
+        found, hashes = pseudo._hashes(pa.array([text], pa.string()))
+        logs, lacking = model.scorer.word_logs(hashes, found.first)
+        own = [np.log(vocabulary.get(int(h), 1)) if lacks else 0 for h, lacks in zip(hashes, lacking)]
+        want.setdefault(number, []).append(float(np.sum(logs) + np.sum(own)))
+    got = {}
+    for r in pseudo.score(docs(spark, other), model).collect():
+        got.setdefault(r.doc_id, []).append(r.log_probability)
+    assert got.keys() == want.keys()
+    assert all(np.allclose(sorted(got[k]), sorted(want[k]), rtol=1e-5, atol=1e-3) for k in want)
+
+
+def test_a_rarer_word_in_the_same_place_is_less_likely(spark):
+    """Two words of one class, told apart by their own counts."""
+    frame = spark.createDataFrame([(i, f"left {'common' if i % 10 else 'rare'} right") for i in range(400)], "doc_id long, text string")
+    model = pseudo.train(frame, known=0)
+    asked = spark.createDataFrame([(1, "left common right"), (2, "left rare right"), (3, "left neverseen right")], "doc_id long, text string")
+    found = {r.doc_id: r.log_probability for r in pseudo.score(asked, model).collect()}
+    assert found[1] > found[2] > found[3]
 
 
 def test_learning_follows_the_gradient():
     draw = np.random.default_rng(3)
-    classes = pseudo.Classes.cut(np.ones(pseudo.BUCKETS))
-    network = pseudo.Network.start(classes.prior)
+    network = pseudo.Network.start(np.full(pseudo.CLASSES, 1 / pseudo.CLASSES))
     around, target = draw.integers(0, 9, (512, 2 * pseudo.SIDE)), draw.integers(0, 4, 512)
     def loss():
         return -network.forward(around)[1][np.arange(512), target].mean()
