@@ -28,7 +28,7 @@ from wardline.operators.decode import (
 )
 from wardline.operators.quality import ALERT_RULES, EVENT_RULES, violation_counts
 from wardline.operators.sequence import (
-    insider_exfil, match_sequence, sequence_timeouts, small_then_large, to_alerts,
+    insider_exfil, match_sequence, sequence_steps, sequence_timeouts, small_then_large, to_alerts,
 )
 from wardline.plans import alerts as alert_plans
 from wardline.plans import events as event_plans
@@ -407,6 +407,41 @@ def _followed_by(spark, folder):
     return match_sequence(adapters.all_activity(_source(spark, folder)), PAIR_WITH_SKIPS)
 
 
+def _nearest(column, condition):
+    return f"""first_value(CASE WHEN {condition} THEN {column} END IGNORE NULLS) OVER (
+    PARTITION BY who ORDER BY ts, seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"""
+
+
+_LARGE = "type = 'TXN' AND value > 60"
+
+
+@_query("followed_by_steps", f"""WITH {_DOMAIN}, after AS (
+  SELECT *, {_nearest("ts", _LARGE)} AS end_ts, {_nearest("seq", _LARGE)} AS end_seq, {_nearest("value", _LARGE)} AS end_value FROM dom)
+SELECT who AS id, 'SMALL_THEN_LARGE' AS rule, end_ts AS ts, ts AS first_ts, seq AS first_seq, end_seq AS last_seq,
+       round(value, 6) AS small, round(end_value, 6) AS large, 'small,large' AS steps
+FROM after WHERE type = 'TXN' AND value < 20 AND end_ts < ts + 86400000""")
+def _followed_by_steps(spark, folder):
+    found = sequence_steps(adapters.all_activity(_source(spark, folder)), PAIR_WITH_SKIPS, "amount")
+    first, last = F.col("steps")[0], F.col("steps")[1]
+    return found.select(
+        "id", "rule", "ts", "first_ts", "first_seq", last["seq"].alias("last_seq"), F.round(first["amount"], 6).alias("small"),
+        F.round(last["amount"], 6).alias("large"), F.array_join("steps.step", ",").alias("steps"))
+
+
+@_query("insider_exfil_steps", f"""WITH {_DOMAIN}, after AS (
+  SELECT *, lead(type, 1) OVER w AS type2, lead(type, 2) OVER w AS type3, lead(ts, 2) OVER w AS ts3,
+         lead(ts, 1) OVER w AS ts2, lead(seq, 1) OVER w AS seq2, lead(seq, 2) OVER w AS seq3
+  FROM ({_INSIDER_ONLY}) WINDOW w AS (PARTITION BY who ORDER BY ts, seq))
+SELECT who AS id, 'INSIDER_EXFIL' AS rule, ts3 AS ts, ts AS first_ts, seq AS first_seq,
+       concat_ws(',', ts, ts2, ts3) AS times, concat_ws(',', seq, seq2, seq3) AS seqs, 'PRIV_ESC,BULK_EXPORT,EXT_SHARE' AS types
+FROM after WHERE type = 'PRIV_ESC' AND type2 = 'BULK_EXPORT' AND type3 = 'EXT_SHARE' AND ts3 < ts + 86400000""")
+def _insider_exfil_steps(spark, folder):
+    found = sequence_steps(adapters.insider_events(_source(spark, folder)), TRIPLE, "type")
+    return found.select("id", "rule", "ts", "first_ts", "first_seq", *[
+        F.array_join(F.col(f"steps.{name}").cast("array<string>"), ",").alias(shown)
+        for name, shown in (("ts", "times"), ("seq", "seqs"), ("type", "types"))])
+
+
 @_query("sequence_timeouts", f"""WITH {_DOMAIN}, after AS (
   SELECT *, lead(type, 1) OVER w AS type2, lead(ts, 1) OVER w AS ts2, lead(ts, 2) OVER w AS ts3
   FROM ({_INSIDER_ONLY}) WINDOW w AS (PARTITION BY who ORDER BY ts, seq)),
@@ -516,6 +551,18 @@ def _pattern_entities(spark, folder):
     return gold.pattern_entities(_silver(spark, folder))
 
 
+@_query("gold_alert_pattern_top_entities", f"""WITH {_ENTITIES_SQL}, placed AS (
+  SELECT *, row_number() OVER (PARTITION BY window_start, rule, alert_type ORDER BY alerts DESC, entity) AS place FROM entities)
+SELECT window_start, window_end, rule, alert_type, count(*) AS entities, CAST(sum(alerts) AS BIGINT) AS alerts,
+       string_agg(entity || ':' || alerts, ',' ORDER BY place) FILTER (place <= 3) AS top,
+       count(*) FILTER (place > 3) AS rest_entities, CAST(coalesce(sum(alerts) FILTER (place > 3), 0) AS BIGINT) AS rest_alerts
+FROM placed GROUP BY window_start, window_end, rule, alert_type""")
+def _pattern_top_entities(spark, folder):
+    found = gold.top_entities(gold.pattern_entities(_silver(spark, folder)), most=3)
+    shown = F.transform("top", lambda x: F.concat_ws(":", x["entity"], x["alerts"].cast("string")))
+    return found.withColumn("top", F.array_join(shown, ","))
+
+
 @_query("gold_combined_threat", f"WITH {_COMBINED} {_COMBINED_ROUNDED}")
 def _combined(spark, folder):
     source = _source(spark, folder)

@@ -18,9 +18,10 @@ key's events of ``bucket_spans + 1`` times ``within``, in a sort that spills, an
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.times import millis, own_bucket, visible_buckets
@@ -130,6 +131,26 @@ def sequence_timeouts(events: DataFrame, rule: SequenceRule, bucket_spans: int =
     )
 
 
+def sequence_steps(events: DataFrame, rule: SequenceRule, *emit: str, bucket_spans: int = BUCKET_SPANS) -> DataFrame:
+    """All matches with the events they are made of: ``id, rule, ts, first_ts, first_seq`` as in :func:`match_sequence` and
+    ``steps``, per step a struct of ``step`` (its name), ``ts``, ``seq`` and the ``emit`` columns of its event.
+
+    The columns travel with the rows through the same shuffle and sort, so that no join back to the events is needed.
+    """
+    event = F.struct("ts", "seq", *[F.col(name).alias(name) for name in emit]).alias("event")
+    rows = spread_over_buckets(step_flags(events, rule, event), rule, bucket_spans)
+
+    def taken(j: int, rest: Column | None) -> Column:
+        own = F.array(F.struct(F.lit(rule.steps[j].name).alias("step"), *[F.col("event")[name].alias(name) for name in ("ts", "seq", *emit)]))
+        return own if rest is None else F.concat(own, rest)
+
+    begun = _scan(rows, rule, taken).where("is_step0").withColumn("steps", taken(0, F.col("end1")))
+    end = F.element_at("steps", -1)["ts"]
+    return begun.where(end < F.col("ts") + F.lit(rule.within_ms)).select(
+        "id", F.lit(rule.rule).alias("rule"), end.alias("ts"), F.col("ts").alias("first_ts"), F.col("seq").alias("first_seq"), "steps",
+    )
+
+
 def spread_over_buckets(rows: DataFrame, rule: SequenceRule, bucket_spans: int) -> DataFrame:
     """Each row once per ``bucket`` that sees it; it can begin a match in its own bucket only."""
     width = rule.within_ms * bucket_spans
@@ -143,7 +164,7 @@ def spread_over_buckets(rows: DataFrame, rule: SequenceRule, bucket_spans: int)
     ).withColumn("is_step0", F.col("is_step0") & (own_bucket(F.col("ts"), width) == F.col("bucket")))
 
 
-def step_flags(events: DataFrame, rule: SequenceRule, *keep: str) -> DataFrame:
+def step_flags(events: DataFrame, rule: SequenceRule, *keep: str | Column) -> DataFrame:
     """The columns matching needs: ``id, ts, seq`` and a never-null boolean per step."""
     flags = [
         F.coalesce(F.expr(step.where), F.lit(False)).alias(flag)
@@ -156,23 +177,29 @@ def _flags(rule: SequenceRule) -> list[str]:
     return [f"is_step{i}" for i in range(len(rule.steps))]
 
 
-def _scan(rows: DataFrame, rule: SequenceRule) -> DataFrame:
+def _end_time(j: int, rest: Column | None) -> Column:
+    return F.col("ts") if rest is None else rest
+
+
+def _scan(rows: DataFrame, rule: SequenceRule, taking: Callable[[int, Column | None], Column] = _end_time) -> DataFrame:
     """``end{j}``: when a sequence ends that needs step ``j`` next, from just after each row; NULL if it
-    has no end among the rows at hand.
+    has no end among the rows at hand. ``taking`` may carry something else: what a row that takes step ``j`` makes of
+    ``end{j + 1}`` (None at the last step).
 
     Works from the last step to the first over rows in descending order, where "the next row" and "the
     nearest later row of step j" are a lag and a running last value, so one sort serves all steps.
     """
     backward = Window.partitionBy("id", "bucket").orderBy(F.col("ts").desc(), F.col("seq").desc())
     later = backward.rowsBetween(Window.unboundedPreceding, -1)
-    end = F.col("ts")
+    rest = None
     for j, flag in reversed(list(enumerate(_flags(rule)))[1:]):
+        end = taking(j, rest)
         if rule.steps[j].skip:
             hit = F.last(F.when(F.col(flag), F.struct(end.alias("end"))), ignorenulls=True).over(later)["end"]
         else:
             hit = F.when(F.lag(flag).over(backward), F.lag(end).over(backward))
         rows = rows.withColumn(f"end{j}", hit)
-        end = F.col(f"end{j}")
+        rest = F.col(f"end{j}")
     return rows
 
 

@@ -225,6 +225,27 @@ def pattern_entities(silver: DataFrame, watermark: str | None = "30 minutes") ->
     )
 
 
+def top_entities(entities: DataFrame, most: int = 5) -> DataFrame:
+    """Of :func:`pattern_entities`, one row per pattern: its number of ``entities`` and ``alerts``, the ``most`` affected
+    entities with their alerts (``top``, most alerts first, then by entity) and what the rest amounts to.
+
+    Each task passes on at most ``most`` rows of a pattern, so that one with a third of all entities fills no task.
+    """
+    pattern = ["window_start", "window_end", "rule", "alert_type"]
+    place = F.row_number().over(Window.partitionBy(*pattern).orderBy(F.desc("alerts"), "entity"))
+    one = F.struct("place", "entity", "alerts")
+    first = entities.withColumn("place", place).where(F.col("place") <= most).select(
+        *pattern, one.alias("one"), F.lit(0).cast("long").alias("entities"), F.lit(0).cast("long").alias("alerts"))
+    totals = entities.groupBy(*pattern).agg(F.count("*").alias("entities"), F.sum("alerts").alias("alerts")).select(
+        *pattern, F.lit(None).cast(first.schema["one"].dataType).alias("one"), "entities", "alerts")
+    rows = first.unionByName(totals).groupBy(*pattern).agg(
+        F.sum("entities").alias("entities"), F.sum("alerts").alias("alerts"), F.array_sort(F.collect_list("one")).alias("top"))
+    shown = F.aggregate("top", F.lit(0).cast("long"), lambda total, x: total + x["alerts"])
+    return rows.select(
+        *pattern, "entities", "alerts", F.transform("top", lambda x: F.struct(x["entity"].alias("entity"), x["alerts"].alias("alerts"))).alias("top"),
+        (F.col("entities") - F.size("top")).alias("rest_entities"), (F.col("alerts") - shown).alias("rest_alerts"))
+
+
 def executive_dashboard(silver: DataFrame, watermark: str | None = DAY) -> DataFrame:
     """Key figures per day."""
 
