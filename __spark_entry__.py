@@ -22,7 +22,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.operators import scoring
+from wardline.operators import model_versions, scoring
 from wardline.operators.decode import (
     broken_values, decode_events, encode_alerts, with_event_time,
 )
@@ -36,6 +36,7 @@ from wardline.plans import gold, incremental, reports
 from wardline.session import configure, scratch_path
 from wardline.sources import adapters
 from wardline.streaming import combined, upserts
+from wardline.streaming.models import score_stream_by_version
 from wardline.streaming.runs import drain
 from wardline.streaming.sequence import match_sequence_stream, sequence_outcomes_stream
 
@@ -727,6 +728,41 @@ def _scored_sink(spark, folder):
     return _drained(scored, "scored")
 
 
+LATER_MODEL = scoring.LinearModel((2.0, -0.5), -1.0, (40.0, 12.0), (30.0, 6.0))
+LATER_FROM = "2024-01-15 12:00:00"
+
+
+@_query("score_by_version", f"""WITH {_DOMAIN},
+scored AS (
+  SELECT who AS "cardId", value AS amount, ts AS event_time, hour(make_timestamp(ts * 1000)) AS h,
+         CASE WHEN ts >= epoch_ms(TIMESTAMP '{LATER_FROM}') THEN 2 WHEN ts >= epoch_ms(TIMESTAMP '2024-01-02 00:00:00') THEN 1 END AS version
+  FROM dom WHERE type = 'TXN'),
+judged AS (
+  SELECT *, coalesce(CASE version
+      WHEN 1 THEN 1 / (1 + exp(-(-3.0 + 4.0 * (amount - 50) / 50 + 0.25 * (h - 11.5) / 7.0)))
+      WHEN 2 THEN 1 / (1 + exp(-(-1.0 + 2.0 * (amount - 40) / 30 - 0.5 * (h - 12.0) / 6.0))) END, 0.0) AS score FROM scored)
+SELECT "cardId", round(amount, 6) AS amount, event_time, CAST(version AS BIGINT) AS version, round(score, 6) AS score,
+       score > 0.85 AS decision FROM judged""")
+def _score_by_version(spark, folder):
+    models = _published(spark)
+    return scoring.decide(model_versions.score_by_version(_features(_source(spark, folder))[0], model_versions.versions(spark, models)))
+
+
+def _published(spark):
+    path = scratch_path(spark, "models")
+    model_versions.publish(spark, path, 2, LATER_FROM, LATER_MODEL)
+    model_versions.publish(spark, path, 1, "2024-01-02 00:00:00", MODEL)
+    return path
+
+
+@_query("score_by_version_stream", _SQL["score_by_version"])
+def _score_by_version_stream(spark, folder):
+    path, payments = scratch_path(spark, "scored-by-version"), _features(_stream(spark, folder))[0]
+    score_stream_by_version(payments, _published(spark), path, scratch_path(spark, "scored-by-version-checkpoint")).awaitTermination()
+    kinds = [f"{field.name} {field.dataType.simpleString()}" for field in payments.schema]
+    return spark.read.schema(", ".join([*kinds, "version long", "score double", "decision boolean"])).parquet(f"{path}/changes").drop("batch")
+
+
 # --- streams ----------------------------------------------------------------------------------------
 # Each has the SQL of its batch twin: a replay ends with rows that make the stream emit all of its results.
 
