@@ -760,7 +760,7 @@ def _score_by_version_stream(spark, folder):
     path, payments = scratch_path(spark, "scored-by-version"), _features(_stream(spark, folder))[0]
     score_stream_by_version(payments, _published(spark), path, scratch_path(spark, "scored-by-version-checkpoint")).awaitTermination()
     kinds = [f"{field.name} {field.dataType.simpleString()}" for field in payments.schema]
-    return spark.read.schema(", ".join([*kinds, "version long", "score double", "decision boolean"])).parquet(f"{path}/changes").drop("batch")
+    return upserts.written(spark, path, ", ".join([*kinds, "version long", "score double", "decision boolean"]))
 
 
 # --- streams ----------------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ import pytest
 
 from wardline.operators import model_versions, scoring
 from wardline.session import scratch_path
+from wardline.streaming import upserts
 from wardline.streaming.models import score_stream_by_version
 
 OLD = scoring.LinearModel((1.0, 0.5), -1.0, (10.0, 12.0), (5.0, 6.0))
@@ -62,6 +63,14 @@ def test_empty_tables(spark):
     assert model_versions.score_by_version(frame.where("false"), model_versions.versions(spark, published(spark))).collect() == []
 
 
+def test_a_stream_without_rows(spark):
+    source, path = scratch_path(spark, "test-none"), scratch_path(spark, "test-none-scored")
+    payments(spark, ROWS).where("false").write.parquet(source)
+    stream = spark.readStream.schema(PAYMENTS).parquet(source)
+    score_stream_by_version(stream, published(spark), path, scratch_path(spark, "test-none-checkpoint")).awaitTermination()
+    assert upserts.written(spark, path, f"{PAYMENTS}, version long, score double, decision boolean").collect() == []
+
+
 def test_no_join_and_no_shuffle(spark):
     plan = model_versions.score_by_version(payments(spark, ROWS), model_versions.versions(spark, published(spark)))
     text = plan._jdf.queryExecution().executedPlan().toString()

@@ -33,6 +33,12 @@ def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
     return sorted(int(status.getPath().getParent().getName().split("=")[1]) for status in found or [])
 
 
+def written(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The rows of all whole batches, for streams whose rows never change; none before the first."""
+    folders = [f"{path}/changes/batch={n}" for n in _numbers(spark, path, "changes/batch")]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
 def current(spark: SparkSession, path: str, keys: list[str], schema: StructType) -> DataFrame:
     """The latest row of each key."""
     folded = _numbers(spark, path, "snapshots/upto")[-1:]
