@@ -85,17 +85,32 @@ def test_partitions_with_gaps_exchange(spark):
     draw = np.random.default_rng(4)
     lengths = draw.choice([3, 5, 7, 11, 13], 3000)
     items = spark.createDataFrame(list(enumerate(map(int, lengths))), "row long, length long")
-    one = {r.sequence_id for r in packing.pack(items, 32, size=60, rounds=1).collect()}
     found = packing.pack(items, 32, size=60).collect()
     assert len(found) == 3000 and len({r.row for r in found}) == 3000
     several = {r.sequence_id for r in found}
-    assert packing.lower_bound(lengths, 32) <= len(several) <= len(one)
+    apart = sum(len(packing.best_fit(lengths[at:at + 60], 32)[2]) for at in range(0, 3000, 60))
+    assert {r.fewest for r in found} == {packing.lower_bound(lengths, 32)}
+    assert packing.lower_bound(lengths, 32) <= len(several) < apart
     held = {}
     for r in found:
         held.setdefault(r.sequence_id, []).append((r.offset, int(lengths[r.row])))
     assert all([o for o, _ in sorted(x)] == [0, *np.cumsum([n for _, n in sorted(x)])[:-1]] for x in held.values())
 
 
+@pytest.mark.parametrize("kind", ["uniform", "lognormal"])
+def test_exchange_comes_within_one_of_a_run_over_all(spark, kind):
+    draw = np.random.default_rng(7)
+    lengths = draw.integers(1000, 1600, 20_000) if kind == "uniform" else np.clip(draw.lognormal(5.5, 1, 40_000), 1, 4096).astype(int)
+    items = spark.createDataFrame(list(enumerate(map(int, lengths))), "row long, length long")
+    found = packing.pack(items, size=len(lengths) // 10).toPandas()
+    held = found.merge(items.toPandas(), on="row")
+    assert len(held) == len(lengths) and held.groupby("sequence_id").length.sum().max() <= 4096
+    whole = len(packing.best_fit(lengths)[2])
+    assert packing.lower_bound(lengths) == found.fewest[0] <= found.sequence_id.nunique()
+    apart = sum(len(packing.best_fit(lengths[at::10])[2]) for at in range(10))
+    assert found.sequence_id.nunique() <= min(whole + 1, apart - 1)
+
+
 def test_query(spark):
     pairs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     found = queries.op5_pack_sequences(spark, SMALL).collect()

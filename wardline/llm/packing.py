@@ -2,10 +2,12 @@
 
 Documents become pieces of at most ``capacity`` tokens; only longer documents are cut. Pieces are dealt into partitions
 of about ``PIECES`` and packed best-fit decreasing in each. A partition whose number of sequences equals a
-dual-feasible-function lower bound is certified: no packing of its pieces has fewer. A partition with a gap keeps its
-full sequences, which no packing can better, and gives up the pieces of the others; the pieces given up are dealt
-anew, mixed with those of other partitions with gaps, and packed again. Rounds end when no gap is left or nothing
-more can be exchanged.
+dual-feasible-function lower bound is certified: no packing of its pieces has fewer. A certified partition gives up its
+emptiest sequences only, so that no more room is kept than the fewest sequences would have. A partition with a gap keeps
+its full sequences, which no packing can better, and gives up the pieces of the others. The pieces given up are dealt
+anew, mixed with those of other partitions, and packed again. Rounds end when the whole reaches the bound of the whole,
+when one partition holds all that is left, or when a round saves nothing, whose packing is then dropped for the one
+before.
 
 Only lengths and ids are exchanged, never texts. The number of partitions follows the number of pieces, so no task
 holds more than about ``PIECES`` of them, whatever share one source or group of copies has.
@@ -20,7 +22,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import chain
 from zlib import crc32
 
@@ -34,7 +36,6 @@ from wardline.llm.shared import cut
 
 CAPACITY = 4096
 PIECES = 50_000
-ROUNDS = 4
 CACHED_WORDS = 250_000
 
 # Words whose pieces (letters, single digits, runs of signs) can be counted without the tokenizer: no apostrophes, which
@@ -121,12 +122,16 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
-    """A number of sequences that no packing of ``lengths`` undercuts.
+    """A number of sequences that no packing of ``lengths`` undercuts."""
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def bound_of_counts(counts: np.ndarray, capacity: int = CAPACITY) -> int:
+    """:func:`lower_bound` for ``counts[n]`` pieces of each length n up to ``capacity``.
 
     Sums of dual feasible functions: the identity; for each threshold t up to half, 1 above capacity - t, the length
     itself from t, 0 below; and for small k the function that rounds (k + 1) * length / capacity down to k-ths.
     """
-    counts = np.bincount(lengths, minlength=capacity + 1)[:capacity + 1]
     sizes = np.arange(capacity + 1)
     number, volume = np.cumsum(counts), np.cumsum(counts * sizes)
     t = np.arange(1, capacity // 2 + 1)
@@ -171,46 +176,62 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
     return place, offset, np.array(room, np.int64)
 
 
-_PACKED = "row long, sequence_id long, offset long, certified boolean, given_up boolean"
+_PACKED = "row long, length long, sequence_id long, offset long, certified boolean, given_up boolean"
 
 
-def _packer(number: int, capacity: int, last: bool):
-    """Pack a partition in round ``number``. Without a certificate, and unless this is the ``last`` round, the pieces
-    of sequences with room are given up."""
+def _packer(number: int, partitions: int, capacity: int, spare: int):
+    """Pack one of ``partitions`` in round ``number``. Without a certificate it gives up all sequences with room, with
+    one only as many of the emptiest that all such partitions together keep at most ``spare`` room."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("row")
         lengths = table["length"].to_numpy()
         place, offset, room = best_fit(lengths, capacity)
         certified = len(room) == lower_bound(lengths, capacity)
-        given_up = np.zeros(len(lengths), bool) if certified or last else room[place] > 0
-        sequence = ((number << 30 | key[0].as_py()) << 28) + place
-        return pa.table({"row": table["row"], "sequence_id": sequence, "offset": offset,
+        fullest = np.argsort(room, kind="stable")
+        kept = fullest[np.cumsum(room[fullest]) * partitions <= (spare if certified else 0)]
+        given_up = ~np.isin(place, kept)
+        sequence = ((number << 26 | key[0].as_py()) << 24) + place
+        return pa.table({"row": table["row"], "length": table["length"], "sequence_id": sequence, "offset": offset,
                          "certified": np.full(len(lengths), certified), "given_up": given_up})
 
     return run
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, size: int = PIECES, rounds: int = ROUNDS) -> DataFrame:
-    """``row, sequence_id, offset, certified`` for ``items`` of ``row, length``; rows are distinct."""
-    left, settled, before = items.select("row", "length"), None, 0
-    for number in range(rounds):
-        count = left.count()
+def pack(items: DataFrame, capacity: int = CAPACITY, size: int = PIECES) -> DataFrame:
+    """``row, sequence_id, offset, certified, fewest`` for ``items`` of ``row, length``; rows are distinct, lengths at
+    least 1. ``certified`` says that the partition needed no more sequences for what it was dealt, ``fewest`` is a
+    number of sequences that no packing of all items undercuts."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for row in items.groupBy("length").count().collect():  # at most one row per token of the capacity
+        counts[row["length"]] = row["count"]
+    fewest = bound_of_counts(counts, capacity)
+    spare = fewest * capacity - int(counts @ np.arange(capacity + 1))  # the room that even the fewest sequences have
+    left, count, settled, pending = items.select("row", "length"), int(counts.sum()), [], None
+    done, best, number = 0, None, 0
+    while True:
         partitions = max(1, -(-count // size))
-        last = number == rounds - 1 or (partitions == 1 and before == 1)
-        dealt = left.select("row", "length", F.pmod(F.xxhash64(F.lit(number), "row"), F.lit(partitions)).cast("int").alias("part"))
-        packed = cut(dealt.groupBy("part").applyInArrow(_packer(number, capacity, last), _PACKED))
-        fixed = packed.where("NOT given_up")
-        settled = fixed if settled is None else settled.union(fixed)
-        if last or not packed.where("given_up").limit(1).count():
+        dealt = left.withColumn("part", F.pmod(F.xxhash64(F.lit(number), "row"), F.lit(partitions)).cast("int"))
+        packed = cut(dealt.groupBy("part").applyInArrow(_packer(number, partitions, capacity, spare >> (number + 1)), _PACKED))
+        groups = {r["given_up"]: r for r in packed.groupBy("given_up").agg(
+            F.count_if(F.col("offset") == 0).alias("sequences"), F.count("*").alias("pieces")).collect()}
+        total = done + sum(r["sequences"] for r in groups.values())
+        if best is not None and total >= best:  # nothing saved: what was given up stays where it was
+            settled.append(pending)
+            break
+        best = total
+        if total == fewest or partitions == 1 or True not in groups:
+            settled.append(packed)
             break
-        left = cut(left.join(packed.where("given_up").select("row"), "row"))
-        before = partitions
-    return settled.select("row", "sequence_id", "offset", "certified")
+        settled.append(packed.where("NOT given_up"))
+        done += groups[False]["sequences"] if False in groups else 0
+        pending = packed.where("given_up")
+        left, count, number = pending.select("row", "length"), groups[True]["pieces"], number + 1
+    return reduce(DataFrame.union, settled).select("row", "sequence_id", "offset", "certified", F.lit(fewest).alias("fewest"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, doc_id: str = "doc_id",
                    text: str = "text") -> DataFrame:
-    """Per piece ``row, doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified``."""
+    """Per piece ``row, doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified, fewest``."""
     found = cut(pieces(docs, tokenizer, capacity, end_id, doc_id, text).withColumn("row", F.monotonically_increasing_id()))
     return found.join(pack(found, capacity), "row")
