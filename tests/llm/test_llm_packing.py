@@ -1,3 +1,4 @@
+import re
 from itertools import product
 from zlib import crc32
 
@@ -52,6 +53,19 @@ def test_words_encode_like_the_text(text):
     assert packing._encoder(PATH)([text])[0] + (1).to_bytes(4, "little") == ids_of(text).tobytes()
 
 
+def test_pieces_are_counted_as_the_tokenizer_cuts_them():
+    draw = np.random.default_rng(5)
+    signs = list("aZé÷×Àÿ09.-_!&\x7f\x1fß'<|½中ø~@[`")
+    made = {"".join(draw.choice(signs, draw.integers(1, 9))).encode() for _ in range(3000)}
+    made = sorted(word for word in made if word.split() == [word])
+    plain = [len(re.findall("[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^0-9A-Za-zÀ-ÖØ-öø-ÿ]+", word.decode()))
+             if re.fullmatch(r"[0-9A-Za-zÀ-ÖØ-öø-ÿ!-&(-/:;=-@\[-`{}~]+", word.decode()) else 0 for word in made]
+    assert packing._pieces(made).tolist() == plain
+    assert packing._pieces([b"a1"]).tolist() == [2]
+    text = " ".join(word.decode() for word in made)
+    assert packing._encoder(PATH)([text])[0] + (1).to_bytes(4, "little") == ids_of(text).tobytes()
+
+
 def test_kept_words_are_forgotten_without_harm():
     texts = [f"alpha{i} beta{i % 7} gamma" for i in range(60)]
     small = packing._Encoder(PATH, kept=20)

@@ -19,7 +19,6 @@ an empty table gives an empty result; columns other than id and text are ignored
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache, reduce
@@ -39,9 +38,33 @@ PIECES = 50_000
 CACHED_WORDS = 250_000
 
 # Words whose pieces (letters, single digits, runs of signs) can be counted without the tokenizer: no apostrophes, which
-# may start a suffix, no signs of special tokens, no letters that change their number in lower case.
-_COUNTABLE = re.compile(r"[0-9A-Za-zÀ-ÖØ-öø-ÿ!-&(-/:;=-@\[-`{}~]+")
-_PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^0-9A-Za-zÀ-ÖØ-öø-ÿ]+")
+# may start a suffix, no signs of special tokens, no letters that change their number in lower case: of those beyond ASCII
+# only À to ÿ, which are the byte C3 and another.
+_OTHER, _LETTER, _DIGIT, _SIGN = 0, 1, 2, 3
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = _SIGN
+_KIND[[ord(x) for x in "'<|"]] = _OTHER
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KIND[0x30:0x3A] = _DIGIT
+
+
+def _pieces(words: list[bytes]) -> np.ndarray:
+    """How many pieces each of ``words`` has, none of which is empty; 0 if that must be left to the tokenizer."""
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([np.zeros(1, np.int64), ends[:-1] + 1])
+    kind = _KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    begins = kind == _DIGIT
+    begins[1:] |= kind[1:] != kind[:-1]
+    begins[starts] = True
+    inside = np.ones(len(data), bool)
+    inside[ends[:-1]] = False
+    counts = np.add.reduceat((begins & inside).astype(np.int64), starts)
+    other = np.add.reduceat(((kind == _OTHER) & inside).astype(np.int64), starts)
+    return np.where(other > 0, 0, counts)
 
 
 class _Encoder:
@@ -68,26 +91,31 @@ class _Encoder:
             fresh = set(chain.from_iterable(split))
         known = fresh.intersection(self.older)
         self.recent.update((word, self.older[word]) for word in known)
-        self._learn([word.decode() for word in fresh - known])
+        self._learn(list(fresh - known))
         return [b"".join(map(self.recent.__getitem__, some)) for some in split]
 
-    def _learn(self, fresh: list[str]) -> None:
-        countable = [word for word in fresh if _COUNTABLE.fullmatch(word)]
+    def _learn(self, fresh: list[bytes]) -> None:
+        if not fresh:
+            return
+        numbers = _pieces(fresh)
+        self._learn_singly([fresh[i] for i in np.flatnonzero(numbers == 0)])
+        countable, numbers = [fresh[i] for i in np.flatnonzero(numbers)], numbers[numbers > 0]
         for at in range(0, len(countable), 2000):
             some = countable[at:at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            last = np.cumsum([len(_PIECE.findall(word)) for word in some]) - 1
+            text = b" ".join(some).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            last = np.cumsum(numbers[at:at + 2000]) - 1
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != last[-1] + 1:
                 self._learn_singly(some)
                 continue
             raw, bounds = ids.tobytes(), [0, *(4 * ends[last]).tolist()]
-            self.recent.update((word.encode(), raw[a:b]) for word, a, b in zip(some, bounds, bounds[1:]))
-        self._learn_singly([word for word in fresh if not _COUNTABLE.fullmatch(word)])
+            self.recent.update((word, raw[a:b]) for word, a, b in zip(some, bounds, bounds[1:]))
 
-    def _learn_singly(self, some: list[str]) -> None:
-        for word, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-            self.recent[word.encode()] = np.array(found.ids, "<u4").tobytes()
+    def _learn_singly(self, some: list[bytes]) -> None:
+        found = self.tokenizer.encode_batch([word.decode() for word in some], add_special_tokens=False)
+        for word, found in zip(some, found):
+            self.recent[word] = np.array(found.ids, "<u4").tobytes()
 
 
 @cache
