@@ -33,11 +33,12 @@ from wardline.operators.sequence import (
 from wardline.plans import alerts as alert_plans
 from wardline.plans import events as event_plans
 from wardline.plans import gold, incremental, reports
+from wardline.plans.medallion import Tables
 from wardline.session import configure, scratch_path
 from wardline.sources import adapters
 from wardline.streaming import combined, upserts
 from wardline.streaming.models import score_stream_by_version
-from wardline.streaming.runs import drain
+from wardline.streaming.runs import drain, write_stream
 from wardline.streaming.sequence import match_sequence_stream, sequence_outcomes_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -505,6 +506,22 @@ def _silver(spark, folder):
     return _silver_alerts(_source(spark, folder))
 
 
+@_query("silver_alerts_compacted", _SQL["silver_alerts"])
+def _silver_compacted(spark, folder):
+    """A stream appends the first half of the time, its table is compacted, and the same stream appends the rest."""
+    table, root = _source(spark, folder), scratch_path(spark, "compacted")
+    tables, arriving = Tables(root), f"{root}/arriving"
+    first, last = table.agg(F.min("ts"), F.max("ts")).first()
+    early = F.lit(True) if last is None else F.col("ts").isNull() | (F.col("ts") < F.lit(first + (last - first) / 2))
+    for part in (early, ~early):
+        table.where(part).write.mode("append").parquet(arriving)
+        silver = _silver_alerts(spark.readStream.schema(table.schema).parquet(arriving))
+        write_stream(silver, tables.path("silver_alerts"), f"{root}/checkpoint", every=None).awaitTermination()
+        if part is early:
+            tables.compact(spark, "silver_alerts", silver.schema)
+    return tables.read_compacted(spark, "silver_alerts", silver.schema)
+
+
 @_query("alerts_join_txn", f"""WITH {_PAYMENT_JOIN}
 SELECT id, rule, ts, card AS "cardId", round(amount, 6) AS amount, txn_time FROM paid""")
 def _alerts_join_txn(spark, folder):

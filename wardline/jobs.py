@@ -3,7 +3,7 @@
     spark-submit --packages org.apache.spark:spark-sql-kafka-0-10_2.13:4.1.2 \\
         -m wardline.jobs detect --mode fraud --broker host:9093 --checkpoint /shared/chk --out /shared/tables
 
-``ingest`` writes the event tables under ``--out``, where ``analyse`` finds the features and ``train`` its payments;
+``ingest`` writes the event tables under ``--out``, where ``analyse`` finds the features and ``train`` its payments; ``compact`` gathers the small files of one of these tables;
 ``train`` saves the model that ``score`` loads. The broker's password comes from the environment only, since command
 lines show in process lists. A setting is taken from the command line, else from the environment, else from its default; an empty
 environment variable counts as not set.
@@ -22,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 from wardline.operators.decode import broken_values, decode_events, with_event_time
 from wardline.operators.scoring import decide, evaluate, load, save, score, split, train, training_set
 from wardline.operators.sequence import SequenceRule, rule_for_mode, to_alerts
-from wardline.plans.medallion import Tables, start_alert_streams, start_event_streams
+from wardline.plans.medallion import CLUSTERED_BY, Tables, start_alert_streams, start_event_streams
 from wardline.session import configure
 from wardline.sources.topics import read_topics, source_options, topic_options, write_alerts
 from wardline.streaming.runs import SCORING_INTERVAL, write_stream
@@ -129,8 +129,8 @@ def await_all(spark: SparkSession, queries: Sequence[StreamingQuery]) -> None:
 
 def main(argv: Sequence[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="wardline")
-    parser.add_argument("job", choices=["detect", "ingest", "analyse", "train", "score"])
-    for name in ("mode", "broker", "topic", "group", "model"):
+    parser.add_argument("job", choices=["detect", "ingest", "analyse", "train", "score", "compact"])
+    for name in ("mode", "broker", "topic", "group", "model", "table"):
         parser.add_argument(f"--{name}")
     for name, what in (("checkpoint", "progress and state"), ("out", "the tables")):
         parser.add_argument(f"--{name}", required=True, help=f"folder of {what}, shared by all executors")
@@ -139,6 +139,8 @@ def main(argv: Sequence[str] | None = None) -> None:
     args = vars(parser.parse_args(argv))
     if args["job"] in ("train", "score") and not args["model"]:
         parser.error(f"{args['job']} needs --model")
+    if args["job"] == "compact" and args["table"] not in CLUSTERED_BY:
+        parser.error(f"compact needs --table, one of {', '.join(CLUSTERED_BY)}")
     spark = configure(SparkSession.builder.appName(f"wardline-{args['job']}").getOrCreate())
     settings, checkpoint, out = Settings.of(args), args["checkpoint"], args["out"]
 
@@ -148,6 +150,9 @@ def main(argv: Sequence[str] | None = None) -> None:
     if args["job"] == "train":
         train_model(spark, out, args["model"]).show()
         return
+    if args["job"] == "compact":
+        Tables(out).compact(spark, args["table"])
+        return
     if args["job"] == "detect":
         messages = topics(settings.topic, group=settings.group, max_per_trigger=args["messages_per_batch"])
         queries = detect(messages, settings, checkpoint, out, args["delay"])

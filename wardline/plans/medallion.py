@@ -10,10 +10,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from wardline.plans import alerts as alert_plans
 from wardline.plans import events as event_plans
 from wardline.plans import gold
+from wardline.sources import compaction
 from wardline.sources.tables import write_table
 from wardline.streaming.combined import stream_combined_threat_analytics
 from wardline.streaming.runs import write_stream
@@ -69,6 +71,21 @@ class Tables:
             return spark.table(fallback)
         return spark.readStream.schema(self.read(spark, name).schema).parquet(self.path(name))
 
+    def _store(self, name: str) -> str:
+        return f"{self.root}/compacted/{name}"
+
+    def compact(
+        self, spark: SparkSession, name: str, schema: StructType | None = None, target: int = compaction.TARGET
+    ) -> int:
+        """Gather the small files of ``name``, which a stream may be writing, and return the version of the result."""
+        columns = [CLUSTERED_BY[name], *_TIES.get(name, ())[:1]]
+        schema = schema or self.read(spark, name).schema
+        return compaction.compact(spark, self.path(name), self._store(name), schema, columns, target)
+
+    def read_compacted(self, spark: SparkSession, name: str, schema: StructType | None = None) -> DataFrame:
+        """All rows of ``name``, from compacted files as far as there are any."""
+        return compaction.read(spark, self.path(name), self._store(name), schema or self.read(spark, name).schema)
+
     def lay_out(self, spark: SparkSession, name: str) -> DataFrame:
         """A copy of ``name`` under ``laid_out`` with rows of neighbouring values side by side: streams append many
         small files in order of arrival, which scans can't skip."""

@@ -25,7 +25,7 @@ def upsert_stream(rows: DataFrame, path: str, checkpoint: str, every: str | None
     return writer.foreachBatch(lambda batch, number: write_changes(batch, number, path)).start()
 
 
-def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
+def folder_numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
     """The numbers in the names of the folders under ``path`` that are wholly written."""
     jvm = spark.sparkContext._jvm
     pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}=*/_SUCCESS")
@@ -35,14 +35,14 @@ def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
 
 def written(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """The rows of all whole batches, for streams whose rows never change; none before the first."""
-    folders = [f"{path}/changes/batch={n}" for n in _numbers(spark, path, "changes/batch")]
+    folders = [f"{path}/changes/batch={n}" for n in folder_numbers(spark, path, "changes/batch")]
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
 def current(spark: SparkSession, path: str, keys: list[str], schema: StructType) -> DataFrame:
     """The latest row of each key."""
-    folded = _numbers(spark, path, "snapshots/upto")[-1:]
-    later = [n for n in _numbers(spark, path, "changes/batch") if not folded or n > folded[0]]
+    folded = folder_numbers(spark, path, "snapshots/upto")[-1:]
+    later = [n for n in folder_numbers(spark, path, "changes/batch") if not folded or n > folded[0]]
     sources = [(folded[0], f"{path}/snapshots/upto={folded[0]}")] if folded else []
     sources += [(n, f"{path}/changes/batch={n}") for n in later]
     if not sources:
@@ -57,6 +57,6 @@ def current(spark: SparkSession, path: str, keys: list[str], schema: StructType)
 
 def snapshot(spark: SparkSession, path: str, keys: list[str], schema: StructType) -> None:
     """Fold all changes so far into one folder. Readers go on with the one before until it is whole."""
-    batches = _numbers(spark, path, "changes/batch")
-    if batches and batches[-1:] != _numbers(spark, path, "snapshots/upto")[-1:]:
+    batches = folder_numbers(spark, path, "changes/batch")
+    if batches and batches[-1:] != folder_numbers(spark, path, "snapshots/upto")[-1:]:
         current(spark, path, keys, schema).write.mode("overwrite").parquet(f"{path}/snapshots/upto={batches[-1]}")
