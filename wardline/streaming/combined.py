@@ -7,15 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wardline.functions.times import iso_date, millis
-from wardline.operators.bandjoin import BAND
+from wardline.functions.times import iso_date, millis, visible_buckets
+from wardline.operators.bandjoin import BAND, whole_seconds
 from wardline.plans.gold import (
     DAY, alerts_with_activity, alerts_with_payments, entity_totals, threat_columns,
 )
+from wardline.streaming.threats import ACTIVITY, ALERT, DAY_SECONDS, DIMS, OUTPUT, PAYMENT, DayThreats
 
 
 def watermarked(rows: DataFrame, delay: str, column: str = "event_time") -> DataFrame:
@@ -63,10 +64,58 @@ def join_by_batch(
     return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
 
 
+SLOTS = 64
+
+
 def stream_combined_threat_analytics(
-    silver: DataFrame, fraud: DataFrame, insider: DataFrame, delay: str = DAY, band: str = BAND
+    silver: DataFrame, fraud: DataFrame, insider: DataFrame, delay: str = DAY, band: str = BAND, slots: int = SLOTS
 ) -> DataFrame:
-    """``gold.combined_threat_analytics`` on streams; a day is emitted once the watermark has passed it.
+    """``gold.combined_threat_analytics`` on streams; a day is emitted once the watermark has passed it and the band after it.
+
+    Entities are dealt to ``slots`` by hash. The rows of a slot's day are held until then and worked out together
+    (``streaming.threats``); payments and activities near midnight are copied to both days. So a slot's share of the open
+    days must fit a task: take more slots for a larger stream. Their number is part of the state and stays with the checkpoint.
+    Features that are tables are joined as such, which keeps no state of them.
+    """
+    if not (fraud.isStreaming and insider.isStreaming):
+        return _combined_by_joins(silver, fraud, insider, delay, band)
+    reach = millis(band) // 1000 - 1
+    nothing = F.lit(None).cast("string")
+    columns = {"name": nothing, **dict.fromkeys(DIMS, nothing), "amount": F.lit(None).cast("double")}
+
+    def rows(frame: DataFrame, kind: int, key: str, **own: Column) -> DataFrame:
+        at = whole_seconds(F.col("event_time"))
+        # An alert stands in its own day only, a point in every day whose alerts it can reach.
+        days = visible_buckets(at, DAY_SECONDS, *([0, 0] if kind == ALERT else [reach, reach]))
+        return watermarked(frame.where(F.col("event_time").isNotNull()), delay).select(
+            "event_time", F.lit(kind).alias("kind"), F.col(key).alias("id"), at.alias("at"), F.explode(days).alias("day"),
+            *[value.alias(name) for name, value in (columns | own).items()],
+        )
+
+    paid = rows(fraud.where(F.col("cardId").isNotNull()), PAYMENT, "cardId", amount=F.col("amount"))
+    acted = rows(insider.where(F.col("actor").isNotNull()), ACTIVITY, "actor", name=F.col("type"))
+    alerts = rows(silver, ALERT, "id", name=F.col("rule"), **{name: F.col(name) for name in DIMS})
+    parts = (
+        alerts.union(paid).union(acted)
+        .withColumns({"slot": F.pmod(F.xxhash64("id"), F.lit(slots)), "has_amount": F.col("amount").isNotNull()})
+        .groupBy("slot", "day")
+        .transformWithStateInPandas(
+            statefulProcessor=DayThreats(reach), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime",
+            eventTimeColumnName="event_time",
+        )
+    )
+    # A sum of amounts that is not a number comes back as null.
+    total = F.when(F.col("amounts") > 0, F.coalesce("paid", F.lit(float("nan"))))
+    grouped = parts.groupBy("event_time", "day", *DIMS).agg(
+        F.sum(total).alias("paid"),
+        *[F.sum(name).alias(name) for name in ("alert_count", "amounts", "cards_involved", "actors_involved")],
+        *[F.sort_array(F.array_distinct(F.flatten(F.collect_set(name)))).alias(name) for name in ("rules", "types")],
+    )
+    return threat_columns(grouped.withColumn("date", iso_date(F.timestamp_seconds(F.col("day") * DAY_SECONDS))))
+
+
+def _combined_by_joins(silver: DataFrame, fraud: DataFrame, insider: DataFrame, delay: str, band: str) -> DataFrame:
+    """The same where a side is a table.
 
     Payments are summed up per alert second before activities are joined, so an alert meets its
     payments and then its activities instead of every combination of the two. All figures add up over
