@@ -67,6 +67,11 @@ def join_by_batch(
 SLOTS = 64
 
 
+def slot_of(key: str, slots: int, without: Column) -> Column:
+    """The slot of a key, by hash; rows without a key are dealt by ``without``, since they meet no others."""
+    return F.pmod(F.xxhash64(key, F.when(F.col(key).isNull(), without)), F.lit(slots))
+
+
 def stream_combined_threat_analytics(
     silver: DataFrame, fraud: DataFrame, insider: DataFrame, delay: str = DAY, band: str = BAND, slots: int = SLOTS
 ) -> DataFrame:
@@ -97,7 +102,7 @@ def stream_combined_threat_analytics(
     alerts = rows(silver, ALERT, "id", name=F.col("rule"), **{name: F.col(name) for name in DIMS})
     parts = (
         alerts.union(paid).union(acted)
-        .withColumns({"slot": F.pmod(F.xxhash64("id"), F.lit(slots)), "has_amount": F.col("amount").isNotNull()})
+        .withColumns({"slot": slot_of("id", slots, F.col("at")), "has_amount": F.col("amount").isNotNull()})
         .groupBy("slot", "day")
         .transformWithStateInPandas(
             statefulProcessor=DayThreats(reach), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime",
