@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from awkward import docs, empty, rows
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
 from conftest import SMALL
 from wardline.llm import packing, queries
@@ -72,6 +72,34 @@ def test_kept_words_are_forgotten_without_harm():
     assert [small([t])[0] for t in texts] == packing._encoder(PATH)(texts)
 
 
+def test_pieces_are_kept_in_place_of_words():
+    encoder = packing._Encoder(PATH)
+    text = "house house, (House) HOUSE!! house7house don't Don't À2à"
+    assert encoder([text])[0] + (1).to_bytes(4, "little") == ids_of(text).tobytes()
+    assert set(encoder.recent) == {*"house , ( ) !! 7 don't Don't à 2".encode().split()}
+
+
+def test_texts_encode_together_as_they_do_alone():
+    texts = ["a B", "", " \t", "don't ÀB×é ÀB x", "", "é", "x\x00Y Y\x00x", "中文 ok", "ends", "Starts 7", "\x85 \x1c", "ß÷ Þ9"]
+    assert [x + (1).to_bytes(4, "little") for x in packing._Encoder(PATH)(texts)] == [ids_of(x).tobytes() for x in texts]
+    assert packing._Encoder(PATH)([]) == []
+
+
+def test_long_texts_are_cut_between_words():
+    text = "abc, Dé'f 中7 " * 90_000 + "z" * 100
+    assert packing._encoder(PATH)(["x", text])[1] + (1).to_bytes(4, "little") == ids_of(text).tobytes()
+
+
+def test_tokenizers_with_other_rules_get_their_words_whole(tmp_path):
+    other = Tokenizer.from_file(PATH)
+    other.normalizer = normalizers.NFC()
+    other.save(str(tmp_path / "other.json"))
+    text = "House HOUSE, a1B2 Àé don't\nhouse."
+    found = packing._Encoder(str(tmp_path / "other.json"))([text])[0]
+    assert found == np.array(other.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert found != packing._Encoder(PATH)([text])[0]
+
+
 def optimum(lengths, capacity):
     best = len(lengths)
     for bins in product(range(len(lengths)), repeat=len(lengths)):

@@ -19,8 +19,11 @@ an empty table gives an empty result; columns other than id and text are ignored
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache, reduce
 from itertools import chain
 from zlib import crc32
@@ -30,92 +33,138 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from wardline.llm.shared import cut
+from wardline.llm.words import SLICE_BYTES, slices
 
 CAPACITY = 4096
 PIECES = 50_000
-CACHED_WORDS = 250_000
+CACHED_PIECES = 250_000
 
-# Words whose pieces (letters, single digits, runs of signs) can be counted without the tokenizer: no apostrophes, which
+# Words that can be cut into pieces (letters, single digits, runs of signs) without the tokenizer: no apostrophes, which
 # may start a suffix, no signs of special tokens, no letters that change their number in lower case: of those beyond ASCII
 # only À to ÿ, which are the byte C3 and another.
-_OTHER, _LETTER, _DIGIT, _SIGN = 0, 1, 2, 3
+_OTHER, _LETTER, _DIGIT, _SIGN, _SPACE = 0, 1, 2, 3, 4
 _KIND = np.zeros(256, np.uint8)
 _KIND[0x21:0x7F] = _SIGN
 _KIND[[ord(x) for x in "'<|"]] = _OTHER
 _KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
 _KIND[0x30:0x3A] = _DIGIT
-
-
-def _pieces(words: list[bytes]) -> np.ndarray:
-    """How many pieces each of ``words`` has, none of which is empty; 0 if that must be left to the tokenizer."""
-    data = np.frombuffer(b" ".join(words), np.uint8)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([np.zeros(1, np.int64), ends[:-1] + 1])
+_KIND[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_WHOLE = re.compile(rb"[\x00-\x08\x0E-\x1F\x7F'<|\xC2\xC4-\xFF]|\xC3[\x97\xB7]")  # in the words with some _OTHER
+_BLOCK = re.compile(rb"(?s).{1,%d}[^\x20\x09-\x0D]*" % SLICE_BYTES)  # whole words of a long text
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+
+# What a tokenizer must do before its model for those pieces to be its own.
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
+
+def _cut_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``begins, whole, lowered``: where in ``data`` pieces begin, which bytes are of words that must be left to the
+    tokenizer, which are not cut, and the bytes with all other words in lower case."""
     kind = _KIND[data]
     lead = np.flatnonzero(data[:-1] == 0xC3)
-    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    second = data[lead + 1]
+    letter = (second != 0x97) & (second != 0xB7)
+    lead, second = lead[letter], second[letter]
     kind[lead] = kind[lead + 1] = _LETTER
+    lowered = _LOWER[data]
+    lowered[lead + 1] += (second < 0x9F).view(np.uint8) * np.uint8(0x20)
+    whole = kind == _OTHER
+    if whole.any():
+        inside = kind != _SPACE
+        first = inside.copy()
+        first[1:] &= kind[:-1] == _SPACE
+        odd = np.add.reduceat(whole, np.flatnonzero(first), dtype=np.int64) > 0
+        whole = inside & odd[np.cumsum(first, dtype=np.int32) - 1]
+        kind[whole] = _OTHER
+        lowered[whole] = data[whole]
     begins = kind == _DIGIT
     begins[1:] |= kind[1:] != kind[:-1]
-    begins[starts] = True
-    inside = np.ones(len(data), bool)
-    inside[ends[:-1]] = False
-    counts = np.add.reduceat((begins & inside).astype(np.int64), starts)
-    other = np.add.reduceat(((kind == _OTHER) & inside).astype(np.int64), starts)
-    return np.where(other > 0, 0, counts)
+    begins[:1] = True
+    begins &= kind != _SPACE
+    return begins, whole, lowered
+
+
+def _pieces(words: list[bytes]) -> np.ndarray:
+    """How many pieces each of ``words`` has, none of which is empty; 0 if that must be left to the tokenizer."""
+    begins, whole, _ = _cut_words(np.frombuffer(b" ".join(words), np.uint8))
+    starts = np.cumsum([0, *[len(word) + 1 for word in words[:-1]]])
+    return np.where(whole[starts], 0, np.add.reduceat(begins, starts, dtype=np.int64))
+
+
+class _Recent(dict):
+    """``find`` of each key asked for, found once."""
+
+    def __init__(self, find: Callable[[bytes], bytes]):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, key: bytes) -> bytes:
+        value = self[key] = self.find(key)
+        return value
 
 
 class _Encoder:
     """Little-endian ids of texts, for a tokenizer that never joins or looks across ASCII white space.
 
-    Its ids of a text are then those of its words one after the other, and words repeat: the ids of recent words are
-    kept, in two generations of up to ``kept`` words. New words are encoded together; where the tokens say which of
-    them end a piece, the ids are cut by counting pieces, otherwise words are encoded one by one.
+    Its ids of a text are then those of its words one after the other, and those of a word, if the tokenizer cuts by
+    ``_RULES``, those that its model gives for each piece. Pieces repeat, more than words do: the ids of recent ones are
+    kept, in two generations of some ``kept``. Other words, and all words of other tokenizers, are kept whole.
     """
 
-    def __init__(self, path: str, kept: int = CACHED_WORDS):
+    def __init__(self, path: str, kept: int = CACHED_PIECES):
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
-        self.recent: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        made = json.loads(self.tokenizer.to_str())
+        special = [token["content"].encode() for token in made["added_tokens"]]
+        self.cuts = all(made[k] == rule for k, rule in _RULES.items()) and not any(_pieces([x])[0] for x in special)
+        self.model, self.bytes = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.recent, self.older = _Recent(self._find), {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [text.encode().split() for text in texts]
-        fresh = set(chain.from_iterable(split)).difference(self.recent)
-        if len(self.recent) + len(fresh) > self.kept:
-            self.recent, self.older = {}, self.recent
-            fresh = set(chain.from_iterable(split))
-        known = fresh.intersection(self.older)
-        self.recent.update((word, self.older[word]) for word in known)
-        self._learn(list(fresh - known))
-        return [b"".join(map(self.recent.__getitem__, some)) for some in split]
-
-    def _learn(self, fresh: list[bytes]) -> None:
-        if not fresh:
-            return
-        numbers = _pieces(fresh)
-        self._learn_singly([fresh[i] for i in np.flatnonzero(numbers == 0)])
-        countable, numbers = [fresh[i] for i in np.flatnonzero(numbers)], numbers[numbers > 0]
-        for at in range(0, len(countable), 2000):
-            some = countable[at:at + 2000]
-            text = b" ".join(some).decode()
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            last = np.cumsum(numbers[at:at + 2000]) - 1
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != last[-1] + 1:
-                self._learn_singly(some)
-                continue
-            raw, bounds = ids.tobytes(), [0, *(4 * ends[last]).tolist()]
-            self.recent.update((word, raw[a:b]) for word, a, b in zip(some, bounds, bounds[1:]))
-
-    def _learn_singly(self, some: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch([word.decode() for word in some], add_special_tokens=False)
-        for word, found in zip(some, found):
-            self.recent[word] = np.array(found.ids, "<u4").tobytes()
+        if max(map(len, texts), default=0) <= SLICE_BYTES:
+            return self._encode([text.encode() for text in texts])
+        return [b"".join(ids for block in _BLOCK.findall(text.encode()) for ids in self._encode([block])) for text in texts]
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        parts, ends = self._split(texts)
+        found = list(map(self.recent.__getitem__, parts))
+        if len(self.recent) > self.kept:
+            self.recent, self.older = _Recent(self._find), self.recent
+        return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends)]
+
+    def _split(self, texts: list[bytes]) -> tuple[list[bytes], list[int]]:
+        """The pieces and uncut words of all texts, and how many there are up to the end of each text."""
+        if not self.cuts:
+            split = [text.split() for text in texts]
+            return [*chain.from_iterable(split)], np.cumsum([len(x) for x in split]).tolist()
+        data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+        begins, _, lowered = _cut_words(data)
+        inner = np.flatnonzero(begins)
+        ends = np.searchsorted(inner, np.cumsum([len(text) + 1 for text in texts]))
+        joined = inner[(inner > 0) & (_KIND[data[inner - 1]] != _SPACE)]
+        return np.insert(lowered, joined, 0x20).tobytes().split(), ends.tolist()
+
+    def _find(self, part: bytes) -> bytes:
+        known = self.older.get(part)
+        if known is not None:
+            return known
+        text = part.decode()
+        if not self.cuts or _WHOLE.search(part):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            shown = text if part.isascii() else self.bytes.pre_tokenize_str(text)[0][0]
+            ids = [token.id for token in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @cache
@@ -131,11 +180,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer)
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                texts = [x or "" for x in part["text"].to_pylist()]
+            for at, part in slices(batch["text"]):
+                texts = [x or "" for x in part.to_pylist()]
                 rows: list[list[int]] = [[], [], [], [], []]
-                for number, ids in zip(part["doc_id"].to_pylist(), encode(texts)):
+                for number, ids in zip(batch["doc_id"].slice(at, len(part)).to_pylist(), encode(texts)):
                     ids += end
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[start:start + 4 * capacity]
